@@ -7,6 +7,11 @@ one to the other, weighed by their sizes, until one of them is whole, and the
 other goes on. A task rounds one bounded group of documents and leaves at most
 one fractional document; the leftovers meet again in groups of ``fan_in``, level
 by level, until one is left for a source.
+
+That last one may be a long document, so a bounded number of documents of each
+source, drawn by hash, sit out the pairing. The last one is drawn with its
+fraction, and those that sat out are then taken or left, longest first, so that
+the source's words meet its target.
 """
 
 from __future__ import annotations
@@ -24,6 +29,8 @@ WORDS = r"[^\x20\x09-\x0D]+"
 CYCLE = (5.0, 2.0, 1.0)
 GROUP = 20_000
 FAN_IN = 64
+#: Documents of a source that sit out: so many at most, and at most a quarter of its first group.
+SIT_OUT = 64
 
 
 def source_targets(sizes: DataFrame, cycle: tuple[float, ...] = CYCLE, most: float = 3.0) -> DataFrame:
@@ -79,25 +86,48 @@ def pivot_chain(size: np.ndarray, part: np.ndarray, key: np.ndarray) -> np.ndarr
     return np.array(out, float)
 
 
-def _round_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def settle(size: np.ndarray, part: np.ndarray, key: np.ndarray, waits: np.ndarray) -> np.ndarray:
+    """The last group of a source: every fraction becomes 0 or 1."""
+    out = part.astype(float).copy()
+    chain = np.flatnonzero(~waits)
+    out[chain] = pivot_chain(size[chain], part[chain], key[chain])
+    owed = float((part[waits] * size[waits]).sum())
+    for k in chain[(out[chain] > 0) & (out[chain] < 1)]:
+        taken = float(_draw(key[k : k + 1], key[k : k + 1] + 1)[0] < out[k])
+        owed += (out[k] - taken) * size[k]
+        out[k] = taken
+    for k in sorted(np.flatnonzero(waits), key=lambda k: (-size[k], key[k], k)):
+        out[k] = float(owed >= size[k] / 2)
+        owed -= out[k] * size[k]
+    return out
+
+
+def _round_groups(batches: Iterator[pd.DataFrame], first: bool, last: bool) -> Iterator[pd.DataFrame]:
     """Rows come sorted by (source, bucket); a group may span batches."""
     rest = None
     for pdf in batches:
         pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-        last = (pdf["sid"] == pdf["sid"].iloc[-1]) & (pdf["bucket"] == pdf["bucket"].iloc[-1]) if len(pdf) else None
-        rest = pdf[last] if last is not None else None
-        if last is not None and not last.all():
-            yield _rounded(pdf[~last])
+        if len(pdf):
+            open_ = (pdf["sid"] == pdf["sid"].iloc[-1]) & (pdf["bucket"] == pdf["bucket"].iloc[-1])
+            rest = pdf[open_]
+            if not open_.all():
+                yield _rounded(pdf[~open_], first, last)
     if rest is not None and len(rest):
-        yield _rounded(rest)
+        yield _rounded(rest, first, last)
 
 
-def _rounded(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.copy()
-    for _, at in pdf.groupby(["sid", "bucket"], sort=False).indices.items():
-        part = pivot_chain(pdf["size"].to_numpy()[at], pdf["part"].to_numpy()[at], pdf["key"].to_numpy()[at])
-        pdf.iloc[at, pdf.columns.get_loc("part")] = part
-    return pdf
+def _rounded(pdf: pd.DataFrame, first: bool, last: bool) -> pd.DataFrame:
+    pdf = pdf.reset_index(drop=True)
+    size, part, key, waits = (pdf[c].to_numpy(copy=True) for c in ("size", "part", "key", "waits"))
+    for (_, bucket), at in pdf.groupby(["sid", "bucket"], sort=False).indices.items():
+        if first and bucket == 0:
+            waits[at[np.argsort(_draw(key[at], size[at]), kind="stable")[: min(SIT_OUT, len(at) // 4)]]] = True
+        if last:
+            part[at] = settle(size[at], part[at], key[at], waits[at])
+        else:
+            chain = at[~waits[at]]
+            part[chain] = pivot_chain(size[chain], part[chain], key[chain])
+    return pdf.assign(part=part, waits=waits)
 
 
 def mix_sources(docs: DataFrame, cycle: tuple[float, ...] = CYCLE, most: float = 3.0, seed: int = 1, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
@@ -125,13 +155,15 @@ def mix_sources(docs: DataFrame, cycle: tuple[float, ...] = CYCLE, most: float =
     n_groups = F.ceil(F.col("n_docs") / F.lit(GROUP))
     open_ = named.where("part > 0").select("_rid", "sid", F.pmod(F.col("key"), n_groups).alias("bucket"), "size", "part", "key")
     done, most_groups = None, named.agg(F.max(n_groups)).first()[0] or 1
+    open_, first = open_.withColumn("waits", F.lit(False)), True
     while True:
+        last = most_groups <= 1
         dealt = open_.repartition("sid", "bucket").sortWithinPartitions("sid", "bucket", F.col("size").desc(), "key", "_rid")
-        level = stored(dealt.mapInPandas(_round_groups, "_rid long, sid long, bucket long, size long, part double, key long"))
-        whole = level.where("part = 0 or part = 1") if most_groups > 1 else level.withColumn("part", F.round("part"))
-        done = whole.select("_rid", F.col("part").cast("long").alias("up")) if done is None else done.union(whole.select("_rid", F.col("part").cast("long").alias("up")))
-        if most_groups <= 1:
+        level = stored(dealt.mapInPandas(lambda it, f=first, z=last: _round_groups(it, f, z), "_rid long, sid long, bucket long, size long, part double, key long, waits boolean"))
+        whole = level.where("part = 0 or part = 1").select("_rid", F.col("part").cast("long").alias("up"))
+        done = whole if done is None else done.union(whole)
+        if last:
             break
-        most_groups = -(-most_groups // FAN_IN)
+        most_groups, first = -(-most_groups // FAN_IN), False
         open_ = level.where("part > 0 and part < 1").withColumn("bucket", F.floor(F.col("bucket") / F.lit(FAN_IN)))
     return named.join(done, "_rid", "left").select("_rid", "size", "source", "source_size", "target", (F.col("copies") + F.coalesce("up", F.lit(0))).alias("copies"))

@@ -106,4 +106,50 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op3_embedding_near_dedup, op4_quality_classifier, op5_url_filter, op6_suffix_dedup, op7_chat_format, op8_line_dedup, op9_mix_sources, op10_decontaminate)}
 
-ORACLES: dict[str, str] = {}
+def _sql_escape(text: str) -> str:
+    out = f"replace({text}, '\\', '\\\\')"
+    for c in chat.CONTROL:
+        out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+    return out
+
+
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": f"""
+WITH lines AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+placed AS (
+  SELECT doc_id, line, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS beg,
+    list_filter(regexp_split_to_array(lower(line), '\\s+'), w -> w <> '') AS words FROM lines),
+units AS (
+  SELECT doc_id, beg, beg + length(line) AS stop, first_value(doc_id) OVER w AS first_rank, row_number() OVER w AS r
+  FROM placed WHERE len(words) >= {UNIT_WORDS} WINDOW w AS (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, beg)),
+gone AS (
+  SELECT doc_id, sum(stop - beg) AS chars, count(*) AS n, string_agg(beg::BIGINT || '-' || stop::BIGINT || '-' || first_rank, ',' ORDER BY beg) AS spans FROM units WHERE r > 1 GROUP BY doc_id)
+SELECT d.doc_id, coalesce(length(text), 0)::BIGINT AS n_chars, coalesce(chars, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN gone USING (doc_id)""",
+    "op7_chat_format": f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '{INJECTION}'), (-1, 1, 'assistant', '{INJECTION}'))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length('<s>[ROLE][/ROLE]</s>') + length({_sql_escape("role")}) + length({_sql_escape("text")}))::BIGINT AS formatted_chars
+FROM rows GROUP BY conv_id""",
+    "op10_decontaminate": """
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+sizes AS (SELECT DISTINCT least(len(w), 10) AS n FROM items WHERE len(w) > 0),
+starts AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM items WHERE len(w) > 0),
+wins AS (SELECT DISTINCT item_id, array_to_string(w[s:s + 9], ' ') AS win FROM starts),
+places AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM words, sizes WHERE len(w) >= n),
+hits AS (SELECT DISTINCT doc_id, item_id, s, n FROM places JOIN wins ON win = array_to_string(w[s:s + n - 1], ' ')),
+covered AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS k FROM hits) GROUP BY doc_id),
+which AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN which USING (doc_id)""",
+}
