@@ -97,8 +97,11 @@ def settle(size: np.ndarray, part: np.ndarray, key: np.ndarray, waits: np.ndarra
         owed += (out[k] - taken) * size[k]
         out[k] = taken
     for k in sorted(np.flatnonzero(waits), key=lambda k: (-size[k], key[k], k)):
-        out[k] = float(owed >= size[k] / 2)
+        out[k] = float(owed >= size[k])
         owed -= out[k] * size[k]
+    left = [k for k in np.flatnonzero(waits) if out[k] == 0 and abs(owed - size[k]) < abs(owed)]
+    if left:
+        out[min(left, key=lambda k: (abs(owed - size[k]), key[k], k))] = 1.0
     return out
 
 

@@ -119,7 +119,7 @@ WITH lines AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
 placed AS (
   SELECT doc_id, line, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS beg,
-    list_filter(regexp_split_to_array(lower(line), '\\s+'), w -> w <> '') AS words FROM lines),
+    list_filter(regexp_split_to_array(lower(line), '\\s+'), lambda w: w <> '') AS words FROM lines),
 units AS (
   SELECT doc_id, beg, beg + length(line) AS stop, first_value(doc_id) OVER w AS first_rank, row_number() OVER w AS r
   FROM placed WHERE len(words) >= {UNIT_WORDS} WINDOW w AS (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, beg)),
