@@ -27,7 +27,7 @@ from .common import stored, with_row_id
 
 WORDS = r"[^\x20\x09-\x0D]+"
 CYCLE = (5.0, 2.0, 1.0)
-GROUP = 20_000
+GROUP = 2_000
 FAN_IN = 64
 #: Documents of a source that sit out: so many at most, and at most a quarter of its first group.
 SIT_OUT = 64
