@@ -12,9 +12,12 @@ The corpus order is needed only as far as ``length`` bytes: suffixes that agree
 far are neighbours in it. It is combined from two parts. The parse gives the right
 context from a trigger on; runs whose context occurs once have no equal suffix
 anywhere. Of the others, equal dictionary entries are repeated as a whole and are
-taken once; only entries whose context has differing left parts have their
-suffixes told apart one by one, and each distinct entry does so once, with its
-number of occurrences.
+taken once, with their number of occurrences. An entry that shares its context
+with a different one is cut into blocks of ``STEP`` suffixes on a grid that the
+trigger fixes; all suffixes of a block hold the same core. Blocks whose core
+occurs once are done, equal blocks are repeated as a whole, and only the suffixes
+of blocks with one core and different edges are told apart one by one, by the few
+bytes of those edges.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from .common import stored, with_row_id
 
 #: Bytes of the rolling hash, and consecutive positions of which one is a trigger.
 ROLL, REACH = 16, 144
+STEP = 16
 
 
 def triggers(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -76,28 +80,44 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, entries: bool) ->
                 columns += [
                     pa.array(bytetext.span_hash(sums, start, start + n - 1 + length).view(np.int64)),
                     batch.column(0).slice(at).take(pa.array(doc)),
-                    pa.array(((start - offs[doc]) << 16) | n),
+                    pa.array(((start - offs[doc]) << 16) | ((trigger - start) << 8) | n),
                 ]
             yield pa.RecordBatch.from_arrays(columns, names=["context", "entry", "_rid", "run"][: len(columns)])
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Each string of ``length`` bytes of the wanted entries of a text: (context, hash, _rid, start, occurrences)."""
+def _blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """The wanted entries of a text in blocks: (core, edges, _rid, mark, n, low, high, left, right).
+
+    low to high are the distances back from the grid point to the starts; left
+    and right are the bytes that those starts have beside the core.
+    """
     for batch in batches:
-        wanted = batch.column("wanted").to_pylist()
-        rids = batch.column("_rid").to_pylist()
+        wanted, rids = batch.column("wanted").to_pylist(), batch.column("_rid").to_pylist()
         for first, n, data, offs in bytetext.slices(batch.column("text")):
-            sums = bytetext.prefix_sums(data, bytetext._RANDOM)
-            rows = [(offs[i] + (w["run"] >> 16), w["run"] & 0xFFFF, w["context"], w["n"], rids[first + i], offs[i]) for i in range(n) for w in wanted[first + i]]
+            rows = [(offs[i] + (w["run"] >> 16), (w["run"] >> 8) & 0xFF, w["run"] & 0xFF, w["n"], rids[first + i], offs[i]) for i in range(n) for w in wanted[first + i]]
             if not rows:
                 continue
-            start, count, context, times, rid, base = (np.array(c, np.int64) for c in zip(*rows))
-            each = np.repeat(np.arange(len(rows)), count)
-            s = start[each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
+            start, back, count, times, rid, base = (np.array(c, np.int64) for c in zip(*rows))
+            lo, hi = back - count + 1, back  # distances from the trigger back to the starts
+            cells = hi // STEP - lo // STEP + 1
+            e = np.repeat(np.arange(len(rows)), cells)
+            cell = lo[e] // STEP + np.arange(len(e)) - np.repeat(np.cumsum(cells) - cells, cells)
+            low, high = np.maximum(lo[e] - cell * STEP, 0), np.minimum(hi[e] - cell * STEP, STEP - 1)
+            point = (start + back)[e] - cell * STEP
+            sums = bytetext.prefix_sums(data, bytetext._RANDOM)
+            core = bytetext.mix(bytetext.span_hash(sums, point, point + length - STEP + 1) + cell.astype(np.uint64))
+            end = point + length - low
+            edges = bytetext.mix(bytetext.span_hash(sums, point - high, end) + (low * STEP + high).astype(np.uint64))
+            raw = data.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(context[each]), pa.array(bytetext.span_hash(sums, s, s + length).view(np.int64)), pa.array(rid[each]), pa.array((s - base[each]).astype(np.int32)), pa.array(times[each])],
-                names=["context", "suffix", "_rid", "start", "n"],
-            )
+                [
+                    pa.array(core.view(np.int64)), pa.array(edges.view(np.int64)), pa.array(rid[e]), pa.array(((point - high - base[e]) << 16) | (high - low + 1)), pa.array(times[e]),
+                    pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)),
+                    pa.array([raw[p - h : p] for p, h in zip(point.tolist(), high.tolist())], pa.binary()),
+                    pa.array([raw[p + length - STEP + 1 : q] for p, q in zip(point.tolist(), end.tolist())], pa.binary()),
+                ],
+                names=["core", "edges", "_rid", "mark", "n", "low", "high", "left", "right"],
+            )
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -141,13 +161,22 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text") -> Da
     runs = stored(runs.join(repeated, "context", "left_semi"))
     entries = runs.groupBy("context", "entry").agg(F.count("*").alias("n"), F.min(F.struct("_rid", "run")).alias("at"))
     entries = stored(entries.select("context", "entry", "n", "at.*"))
-    whole = runs.join(entries.where("n > 1").select("context", "entry"), ["context", "entry"], "left_semi").select("_rid", "run")
+    mark = F.shiftleft(F.shiftright("run", 16), 16).bitwiseOR(F.col("run").bitwiseAND(0xFF))
+    whole = runs.join(entries.where("n > 1").select("context", "entry"), ["context", "entry"], "left_semi").select("_rid", mark.alias("mark"))
     # A context with one entry has nothing left to tell apart.
     mixed = entries.groupBy("context").agg(F.count("*").alias("entries")).where("entries > 1").select("context")
-    wanted = entries.join(mixed, "context", "left_semi").groupBy("_rid").agg(F.collect_list(F.struct("context", "run", "n")).alias("wanted"))
-    suffixes = stored(texts.join(wanted, "_rid").mapInArrow(lambda it: _suffixes(it, length), "context long, suffix long, _rid long, start int, n long"))
-    equal = suffixes.groupBy("context", "suffix").agg(F.sum("n").alias("total"), F.count("*").alias("entries")).where("total > 1 and entries > 1").select("context", "suffix")
-    single = suffixes.where("n = 1").join(equal, ["context", "suffix"], "left_semi").select("_rid", (F.shiftleft(F.col("start").cast("long"), 16) + 1).alias("run"))
-    marks = whole.union(single).groupBy("_rid").agg(F.collect_list("run").alias("marks"))
+    wanted = entries.join(mixed, "context", "left_semi").groupBy("_rid").agg(F.collect_list(F.struct("run", "n")).alias("wanted"))
+    # Nothing is stored between here and the end: both joins with the texts then read one shuffle of them.
+    blocks = texts.join(wanted, "_rid").mapInArrow(lambda it: _blocks(it, length), "core long, edges long, _rid long, mark long, n long, low int, high int, left binary, right binary")
+    cores = blocks.groupBy("core").agg(F.sum("n").alias("total"), (F.min("edges") == F.max("edges")).alias("alike")).where("total > 1").select("core", "alike")
+    open_ = blocks.join(cores, "core")
+    alike = open_.where("alike and n = 1").select("_rid", "mark")
+    edge = F.struct(F.expr("substring(left, length(left) - d + 1, d)").alias("l"), F.expr(f"substring(right, 1, {STEP - 1} - d)").alias("r"))
+    # The mark holds the farthest start; the one at distance d comes high - d later.
+    suffixes = open_.where("not alike").select("core", "_rid", "n", "mark", "high", "left", "right", F.explode(F.sequence("low", "high")).alias("d"))
+    suffixes = suffixes.select("core", "d", F.xxhash64("core", "d", edge).alias("suffix"), "_rid", "n", (F.shiftleft(F.shiftright("mark", 16) + F.col("high") - F.col("d"), 16) + 1).alias("mark"))
+    equal = suffixes.groupBy("core", "suffix").agg(F.sum("n").alias("total")).where("total > 1").select("core", "suffix")
+    single = suffixes.where("n = 1").join(equal, ["core", "suffix"], "left_semi").select("_rid", "mark")
+    marks = whole.union(alike).union(single).groupBy("_rid").agg(F.collect_list("mark").alias("marks"))
     cut = texts.join(marks, "_rid", "left").mapInArrow(lambda it: _cut(it, length), "_rid long, n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept binary")
     return cut
