@@ -21,7 +21,7 @@ _LOW = (1 << 47) - 1
 
 
 def word_set(line: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(line), r"\s+"), lambda w: w != ""))
+    return F.array_distinct(F.array_remove(F.split(F.lower(line), r"\s+"), ""))
 
 
 def _lines(base: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def _ranks(lines: DataFrame) -> Column:
 
 def _ordered(words: Column, ranks: Column) -> Column:
     """Words as numbers that sort by rarity: the bucket's rank above 47 bits of the hash."""
-    return F.array_sort(F.transform(words, lambda w: F.shiftleft(F.get(ranks, F.xxhash64(w).bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 47).bitwiseOR(F.xxhash64(w).bitwiseAND(_LOW))))
+    return F.sort_array(F.transform(words, lambda w: F.shiftleft(F.get(ranks, F.xxhash64(w).bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 47).bitwiseOR(F.xxhash64(w).bitwiseAND(_LOW))))
 
 
 def _needed(n: Column, m: Column, threshold: float) -> Column:
@@ -63,17 +63,16 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, text: str = "text", k
     sets = stored(sets.select("_rid", "k", "line", F.xxhash64("t").alias("c1"), F.hash("t").alias("c2"), n.alias("n"), prefix.alias("prefix"), bits.alias("bits")))
     # Equal sets are one class; its first line stands for it.
     place = F.struct("k", "_rid", "line")
-    classes = stored(sets.groupBy("c1", "c2").agg(F.min(F.struct(place.alias("place"), "n", "prefix", "bits")).alias("first"), F.count("*").alias("lines")).select("c1", "c2", "first.*", "lines"))
-    index = classes.select("place", "n", "bits", F.posexplode("prefix").alias("at", "word"))
-    index = index.select("word", F.col("place._rid").alias("r"), F.col("place.line").alias("l"), F.shiftleft(F.col("n").cast("long"), 24).bitwiseOR(F.col("at")).alias("na"), "bits")
-    a = index.select("word", F.col("r").alias("r1"), F.col("l").alias("l1"), F.col("na").alias("na1"), F.col("bits").alias("bits1"))
-    b = index.select("word", F.col("r").alias("r2"), F.col("l").alias("l2"), F.col("na").alias("na2"), F.col("bits").alias("bits2"))
-    n1, n2, i1, i2 = F.shiftright("na1", 24), F.shiftright("na2", 24), F.col("na1").bitwiseAND(0xFFFFFF), F.col("na2").bitwiseAND(0xFFFFFF)
+    classes = sets.groupBy("c1", "c2").agg(F.min(F.struct(place.alias("place"), "n", "prefix", "bits")).alias("first")).select("first.*")
+    index = classes.select(F.col("place._rid").alias("r"), F.col("place.line").alias("l"), "n", "bits", F.posexplode("prefix").alias("at", "word")).repartition("word")
+    a, b = index.alias("a"), index.alias("b")
+    n1, n2, i1, i2 = F.col("a.n"), F.col("b.n"), F.col("a.at"), F.col("b.at")
     need = _needed(n1, n2, threshold)
     fits = (n1 >= n2 * F.lit(threshold) - 1e-9) & (n2 >= n1 * F.lit(threshold) - 1e-9) & (1 + F.least(n1 - i1, n2 - i2) - 1 >= need)
-    fits = fits & (F.bit_count(F.col("bits1").bitwiseXOR(F.col("bits2"))) <= n1 + n2 - 2 * need)
-    before = (F.col("r1") < F.col("r2")) | ((F.col("r1") == F.col("r2")) & (F.col("l1") < F.col("l2")))
-    pairs = stored(a.join(b, (a["word"] == b["word"]) & before & fits).select("r1", "l1", "r2", "l2").distinct())
+    fits = fits & (F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= n1 + n2 - 2 * need)
+    before = (F.col("a.r") < F.col("b.r")) | ((F.col("a.r") == F.col("b.r")) & (F.col("a.l") < F.col("b.l")))
+    pairs = a.join(b, (F.col("a.word") == F.col("b.word")) & before & fits)
+    pairs = stored(pairs.select(F.col("a.r").alias("r1"), F.col("a.l").alias("l1"), F.col("b.r").alias("r2"), F.col("b.l").alias("l2")).distinct())
     # The words of the lines in question, fetched by row.
     asked = pairs.select(F.col("r1").alias("_rid"), F.col("l1").alias("line")).union(pairs.select("r2", "l2")).distinct()
     asked = asked.groupBy("_rid").agg(F.collect_list("line").alias("asked"))
@@ -86,7 +85,8 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, text: str = "text", k
     first_is_one = F.struct("k1", "r1", "l1") < F.struct("k2", "r2", "l2")
     late = same.select(F.when(first_is_one, F.col("r2")).otherwise(F.col("r1")).alias("r"), F.when(first_is_one, F.col("l2")).otherwise(F.col("l1")).alias("l")).distinct()
     # Classes of one line that are not late keep it; their lines need no join.
-    judged = classes.join(late, (F.col("place._rid") == late["r"]) & (F.col("place.line") == late["l"]), "left").select("c1", "c2", F.col("place").alias("first"), "lines", F.col("r").isNotNull().alias("is_late")).where("is_late or lines > 1")
+    firsts = sets.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.count("*").alias("lines"))
+    judged = firsts.join(late, (F.col("first._rid") == late["r"]) & (F.col("first.line") == late["l"]), "left").select("c1", "c2", "first", "lines", F.col("r").isNotNull().alias("is_late")).where("is_late or lines > 1")
     return sets.select("c1", "c2", "k", "_rid", "line").join(judged, ["c1", "c2"]).where(F.col("is_late") | (place != F.col("first"))).select("_rid", "line")
 
 
