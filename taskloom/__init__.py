@@ -1,0 +1 @@
+"""Mining of repeated work in session transcripts, on Spark."""
