@@ -41,7 +41,7 @@ turns AS (SELECT user_id AS session, row_number() OVER (PARTITION BY user_id ORD
 
 def _arcs_sql(minutes: int) -> str:
     return f"""{_TURNS},
-a AS (SELECT *, coalesce(epoch_us(t) - epoch_us(lag(t) OVER (PARTITION BY session ORDER BY idx)) > {minutes} * 60000000, false) AS pause FROM turns),
+a AS (SELECT *, coalesce(epoch_us(t) - epoch_us(lag(t) OVER (PARTITION BY session ORDER BY idx)) > {minutes} * 60000000::BIGINT, false) AS pause FROM turns),
 b AS (SELECT *, sum(pause::INT) OVER (PARTITION BY session ORDER BY idx) AS island, kind <> 'result' AS opener FROM a),
 c AS (SELECT *, sum(opener::INT) OVER (PARTITION BY session, island ORDER BY idx) AS openers FROM b),
 d AS (SELECT *, opener AND (openers = 1 OR fresh_prompt) AS first FROM c),

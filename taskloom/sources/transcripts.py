@@ -1,0 +1,72 @@
+"""Transcript files as turns.
+
+One reader for JSON lines of the generic shape: a record has a role, a content
+that is a text or a list of blocks, and a time; blocks are texts, tool calls and
+tool results. Malformed lines cost only themselves.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.redact import redact
+from ..functions.tools import canonical_tool
+
+#: Beginnings of a failed result.
+FAILED = "(?i)(?:error|failed|exception|traceback|no such file|command not found|permission denied|not found)"
+MOST_TURNS, MOST_TEXT = 4000, 8000
+
+
+def _get(record, *paths: str):
+    return F.coalesce(*(F.try_variant_get(record, p, "string") for p in paths))
+
+
+def parse_time(raw):
+    """RFC 3339 times, and seconds or milliseconds since 1970."""
+    number = F.try_to_number(raw, F.lit("99999999999999")).cast("double")
+    seconds = F.when(number > 1e12, number / 1000).otherwise(number)
+    return F.coalesce(F.when(raw.rlike("^[0-9]{9,14}$"), F.timestamp_seconds(seconds)), F.when(~raw.rlike("^[0-9]+$"), F.try_to_timestamp(raw)))
+
+
+def read_jsonl(spark: SparkSession, path: str, agent: str = "generic", home: str = "", glob: str = "*.jsonl") -> DataFrame:
+    """(agent, session, source, idx, actor, kind, at, text, tool, command, is_error) from all files below a path.
+
+    Lines keep their order within a file, whose text is read whole. Records of
+    roles other than user, assistant and tool are dropped, and so are tool calls
+    that are no work. Texts are redacted and cut at 8000 characters.
+    """
+    files = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path, wholetext=True)
+    lines = files.select(F.col("_metadata.file_path").alias("source"), F.posexplode(F.split("value", "\n")).alias("line", "raw")).where(F.trim("raw").startswith("{"))
+    records = lines.select("source", "line", F.try_parse_json("raw").alias("r")).where("r is not null")
+    role = F.lower(_get(F.col("r"), "$.message.role", "$.role", "$.type"))
+    content = F.coalesce(F.try_variant_get("r", "$.message.content", "variant"), F.try_variant_get("r", "$.content", "variant"))
+    records = records.select(
+        F.coalesce(_get(F.col("r"), "$.sessionId", "$.session_id"), F.col("source")).alias("session"), "source", "line", role.alias("role"),
+        parse_time(_get(F.col("r"), "$.timestamp", "$.time", "$.created_at")).alias("at"), content.alias("content"),
+        F.coalesce(F.try_variant_get("r", "$.isSidechain", "boolean"), F.lit(False)).alias("side"),
+    ).where(F.col("role").isin("user", "assistant", "tool") & ~F.col("side"))
+    text = F.try_variant_get("content", "$", "string")
+    blocks = F.coalesce(F.try_variant_get("content", "$", "array<variant>"), F.array(F.col("content")))
+    b = records.select("session", "source", "line", "role", "at", F.posexplode(blocks).alias("part", "b"))
+    kind = F.coalesce(F.try_variant_get("b", "$.type", "string"), F.lit("text"))
+    plain = F.coalesce(F.try_variant_get("b", "$.text", "string"), F.when(F.schema_of_variant("b") == "STRING", F.try_variant_get("b", "$", "string")))
+    b = b.withColumn("type", kind)
+    call, result = F.col("type").isin("tool_use", "tool_call", "function_call"), F.col("type").isin("tool_result", "function_response")
+    said = F.when(result, F.coalesce(F.try_variant_get("b", "$.content", "string"), F.lit(""))).otherwise(plain)
+    command = F.coalesce(F.try_variant_get("b", "$.input.command", "string"), F.try_variant_get("b", "$.arguments.command", "string"))
+    failed = F.coalesce(F.try_variant_get("b", "$.is_error", "boolean"), F.lit(False)) | F.coalesce(F.substring(said, 1, 400).rlike(FAILED), F.lit(False))
+    out = b.select(
+        F.lit(agent).alias("agent"), "session", "source", "line", "part",
+        F.when(result, "tool").otherwise(F.col("role")).alias("actor"),
+        F.when(call, "tool_call").when(result, "tool_result").otherwise("message").alias("kind"),
+        "at", F.substring(redact(said, home), 1, MOST_TEXT).alias("text"),
+        F.when(call, canonical_tool(F.try_variant_get("b", "$.name", "string"))).alias("tool"),
+        F.when(call, redact(command, home)).alias("command"), (result & failed).alias("is_error"),
+    ).where("kind != 'tool_call' or tool != ''")
+    order = Window.partitionBy("session").orderBy("source", "line", "part")
+    return out.withColumn("idx", F.row_number().over(order)).where(F.col("idx") <= MOST_TURNS).drop("line", "part")
+
+
+def agent_stats(turns: DataFrame) -> DataFrame:
+    return turns.groupBy("agent").agg(F.countDistinct("session").alias("sessions"), F.count("*").alias("turns"), F.count_if(F.col("kind") == "tool_call").alias("tool_calls"), F.min("at").alias("earliest"), F.max("at").alias("latest"))

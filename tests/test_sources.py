@@ -1,0 +1,18 @@
+import json
+
+from taskloom.sources.transcripts import agent_stats, read_jsonl
+
+
+def test_jsonl_turns(spark, tmp_path):
+    rows = [
+        {"type": "user", "sessionId": "s", "timestamp": "2024-01-01T10:00:00Z", "message": {"role": "user", "content": "build it, token = \"abcdefgh1234\""}},
+        {"type": "assistant", "sessionId": "s", "timestamp": "2024-01-01T10:01:00Z", "message": {"role": "assistant", "content": [{"type": "text", "text": "so"}, {"type": "tool_use", "name": "Bash", "input": {"command": "git status"}}, {"type": "tool_use", "name": "TodoRead", "input": {}}]}},
+        {"type": "user", "sessionId": "s", "timestamp": 1704103320, "message": {"role": "user", "content": [{"type": "tool_result", "content": "Error: no", "is_error": True}]}},
+        {"type": "user", "sessionId": "s", "isSidechain": True, "message": {"role": "user", "content": "aside"}},
+    ]
+    (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, rows)) + '\n{"cut": \n\nnot json\n')
+    got = read_jsonl(spark, str(tmp_path)).orderBy("idx").collect()
+    assert [(r.actor, r.kind, r.tool, r.command, r.is_error) for r in got] == [("user", "message", None, None, False), ("assistant", "message", None, None, False), ("assistant", "tool_call", "shell", "git status", False), ("tool", "tool_result", None, None, True)]
+    assert got[0].text == "build it, token=[redacted]"
+    assert all(r["at"] is not None for r in got)
+    assert agent_stats(read_jsonl(spark, str(tmp_path))).first().tool_calls == 1
