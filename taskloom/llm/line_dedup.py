@@ -46,6 +46,20 @@ def _needed(n: Column, m: Column, threshold: float) -> Column:
     return F.ceil((n + m) * F.lit(threshold / (1 + threshold)) - 1e-9)
 
 
+def _words(base: DataFrame, asked: DataFrame) -> DataFrame:
+    """(p, w): the words of the lines in question, fetched by row."""
+    rows = asked.distinct().groupBy(F.col("p._rid").alias("_rid")).agg(F.collect_set("p").alias("ps"))
+    found = base.select("_rid", "text").join(rows, "_rid").select(F.split("text", "\n").alias("all"), F.explode("ps").alias("p"))
+    return stored(found.select("p", word_set(F.element_at("all", F.col("p.line") + 1)).alias("w")))
+
+
+def _alike(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (one, two) whose word sets are as similar as that."""
+    w1, w2 = words.select(F.col("p").alias("one"), F.col("w").alias("w1")), words.select(F.col("p").alias("two"), F.col("w").alias("w2"))
+    common = F.size(F.array_intersect("w1", "w2"))
+    return pairs.select("one", "two").join(w1, "one").join(w2, "two").where(common >= _needed(F.size("w1"), F.size("w2"), threshold)).select("one", "two")
+
+
 def removed_lines(docs: DataFrame, threshold: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(_rid, line): the lines to remove, numbered from 0.
 
@@ -64,26 +78,25 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, text: str = "text", k
     # Equal sets are one class; its first line stands for it.
     place = F.struct("k", "_rid", "line")
     classes = sets.groupBy("c1", "c2").agg(F.min(F.struct(place.alias("place"), "n", "prefix", "bits")).alias("first")).select("first.*")
-    index = classes.select(F.col("place._rid").alias("r"), F.col("place.line").alias("l"), "n", "bits", F.posexplode("prefix").alias("at", "word")).repartition("word")
+    index = classes.select("place.*", "n", "bits", F.posexplode("prefix").alias("at", "word")).repartition("word")
     a, b = index.alias("a"), index.alias("b")
     n1, n2, i1, i2 = F.col("a.n"), F.col("b.n"), F.col("a.at"), F.col("b.at")
     need = _needed(n1, n2, threshold)
     fits = (n1 >= n2 * F.lit(threshold) - 1e-9) & (n2 >= n1 * F.lit(threshold) - 1e-9) & (1 + F.least(n1 - i1, n2 - i2) - 1 >= need)
     fits = fits & (F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= n1 + n2 - 2 * need)
-    before = (F.col("a.r") < F.col("b.r")) | ((F.col("a.r") == F.col("b.r")) & (F.col("a.l") < F.col("b.l")))
-    pairs = a.join(b, (F.col("a.word") == F.col("b.word")) & before & fits)
-    pairs = stored(pairs.select(F.col("a.r").alias("r1"), F.col("a.l").alias("l1"), F.col("b.r").alias("r2"), F.col("b.l").alias("l2")).distinct())
-    # The words of the lines in question, fetched by row.
-    asked = pairs.select(F.col("r1").alias("_rid"), F.col("l1").alias("line")).union(pairs.select("r2", "l2")).distinct()
-    asked = asked.groupBy("_rid").agg(F.collect_list("line").alias("asked"))
-    fetched = base.join(asked, "_rid").select("_rid", "k", F.split("text", "\n").alias("all"), F.explode("asked").alias("line"))
-    fetched = stored(fetched.select("_rid", "k", "line", word_set(F.element_at("all", F.col("line") + 1)).alias("w")))
-    one = fetched.select(F.col("_rid").alias("r1"), F.col("line").alias("l1"), F.col("w").alias("w1"), F.col("k").alias("k1"))
-    two = fetched.select(F.col("_rid").alias("r2"), F.col("line").alias("l2"), F.col("w").alias("w2"), F.col("k").alias("k2"))
-    common = F.size(F.array_intersect("w1", "w2"))
-    same = pairs.join(one, ["r1", "l1"]).join(two, ["r2", "l2"]).where(common >= _needed(F.size("w1"), F.size("w2"), threshold))
-    first_is_one = F.struct("k1", "r1", "l1") < F.struct("k2", "r2", "l2")
-    late = same.select(F.when(first_is_one, F.col("r2")).otherwise(F.col("r1")).alias("r"), F.when(first_is_one, F.col("l2")).otherwise(F.col("l1")).alias("l")).distinct()
+    one, two = (F.struct(*(F.col(f"{x}.{c}") for c in ("k", "_rid", "line"))) for x in "ab")
+    fits = (F.col("a.word") == F.col("b.word")) & (one < two) & fits
+    # A line is late as soon as one line before it is alike: the first candidate decides most, so pairs of a large group need not be listed.
+    tried = stored(a.join(b, fits).groupBy(two.alias("two")).agg(F.min(one).alias("one")))
+    asked = tried.select(F.explode(F.array("one", "two")).alias("p"))
+    first_try = _alike(tried, _words(base, asked), threshold)
+    first_try = stored(tried.join(first_try.withColumn("alike", F.lit(True)), ["one", "two"], "left").select("one", "two", "alike"))
+    open_ = first_try.where("alike is null").select("two._rid", "two.line")
+    c = index.join(open_, ["_rid", "line"], "left_semi").select(*index.columns).alias("b")
+    others = stored(a.join(c, fits).select(one.alias("one"), two.alias("two")).distinct().join(tried, ["one", "two"], "left_anti"))
+    asked = others.select(F.explode(F.array("one", "two")).alias("p"))
+    second_try = _alike(others, _words(base, asked), threshold)
+    late = first_try.where("alike").select("two").union(second_try.select("two")).select(F.col("two._rid").alias("r"), F.col("two.line").alias("l")).distinct()
     # Classes of one line that are not late keep it; their lines need no join.
     firsts = sets.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.count("*").alias("lines"))
     judged = firsts.join(late, (F.col("first._rid") == late["r"]) & (F.col("first.line") == late["l"]), "left").select("c1", "c2", "first", "lines", F.col("r").isNotNull().alias("is_late")).where("is_late or lines > 1")
