@@ -17,11 +17,7 @@ from .common import stored, with_row_id
 
 #: Rarity is counted in so many buckets of words: the table sent to tasks has a fixed size.
 BUCKETS = 1 << 16
-_LOW = (1 << 47) - 1
-
-
-def word_set(line: Column) -> Column:
-    return F.array_distinct(F.array_remove(F.split(F.lower(line), r"\s+"), ""))
+_LOW = (1 << 32) - 1
 
 
 def _lines(base: DataFrame) -> DataFrame:
@@ -36,9 +32,14 @@ def _ranks(lines: DataFrame) -> Column:
     return F.split(F.lit(",".join(str(rank[b]) for b in range(BUCKETS))), ",").cast("array<int>")
 
 
-def _ordered(words: Column, ranks: Column) -> Column:
-    """Words as numbers that sort by rarity: the bucket's rank above 47 bits of the hash."""
-    return F.sort_array(F.transform(words, lambda w: F.shiftleft(F.get(ranks, F.xxhash64(w).bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 47).bitwiseOR(F.xxhash64(w).bitwiseAND(_LOW))))
+def word_set(line: Column, ranks: Column) -> Column:
+    """Distinct words as numbers that sort by rarity: the bucket's rank above 32 other bits of the hash.
+
+    A rank stands for 16 bits of the hash, so a word has 48.
+    """
+    hashes = F.transform(F.split(F.lower(line), r"\s+"), lambda w: F.xxhash64(w))
+    hashes = F.array_distinct(F.array_remove(hashes, F.xxhash64(F.lit(""))))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 32).bitwiseOR(F.shiftrightunsigned(h, 16).bitwiseAND(_LOW))))
 
 
 def _needed(n: Column, m: Column, threshold: float) -> Column:
@@ -46,18 +47,35 @@ def _needed(n: Column, m: Column, threshold: float) -> Column:
     return F.ceil((n + m) * F.lit(threshold / (1 + threshold)) - 1e-9)
 
 
-def _words(base: DataFrame, asked: DataFrame) -> DataFrame:
-    """(p, w): the words of the lines in question, fetched by row."""
-    rows = asked.distinct().groupBy(F.col("p._rid").alias("_rid")).agg(F.collect_set("p").alias("ps"))
-    found = base.select("_rid", "text").join(rows, "_rid").select(F.split("text", "\n").alias("all"), F.explode("ps").alias("p"))
-    return stored(found.select("p", word_set(F.element_at("all", F.col("p.line") + 1)).alias("w")))
+def _fits(threshold: float) -> Column:
+    """Whether rows a and b of the index, a before b, can belong to lines as similar as that."""
+    n1, n2, i1, i2 = F.col("a.n"), F.col("b.n"), F.col("a.at"), F.col("b.at")
+    need = _needed(n1, n2, threshold)
+    near = (n1 >= n2 * F.lit(threshold) - 1e-9) & (n2 >= n1 * F.lit(threshold) - 1e-9) & (F.least(n1 - i1, n2 - i2) >= need)
+    near = near & (F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= n1 + n2 - 2 * need)
+    before = F.lit(False)
+    for c in ("line", "_rid", "k"):
+        before = (F.col(f"a.{c}") < F.col(f"b.{c}")) | ((F.col(f"a.{c}") == F.col(f"b.{c}")) & before)
+    return (F.col("a.word") == F.col("b.word")) & near & before
 
 
-def _alike(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (one, two) whose word sets are as similar as that."""
+def _place(side: str) -> Column:
+    return F.struct(*(F.col(f"{side}.{c}").alias(c) for c in ("k", "_rid", "line")))
+
+
+def _index(sets: DataFrame) -> DataFrame:
+    return sets.select("k", "_rid", "line", "n", "bits", F.posexplode("prefix").alias("at", "word"))
+
+
+def _alike(pairs: DataFrame, base: DataFrame, ranks: Column, threshold: float) -> DataFrame:
+    """The ``two`` of the pairs (one, two) whose word sets are as similar as that; words are fetched by row."""
+    asked = pairs.select(F.explode(F.array("one", "two")).alias("p")).distinct()
+    rows = asked.groupBy(F.col("p._rid").alias("_rid")).agg(F.collect_list("p").alias("ps"))
+    found = base.select("_rid", "text").join(rows, "_rid").select(F.split("text", "\n").alias("all"), F.explode("ps").alias("p"))
+    words = stored(found.select("p", word_set(F.element_at("all", F.col("p.line") + 1), ranks).alias("w")))
     w1, w2 = words.select(F.col("p").alias("one"), F.col("w").alias("w1")), words.select(F.col("p").alias("two"), F.col("w").alias("w2"))
     common = F.size(F.array_intersect("w1", "w2"))
-    return pairs.select("one", "two").join(w1, "one").join(w2, "two").where(common >= _needed(F.size("w1"), F.size("w2"), threshold)).select("one", "two")
+    return pairs.join(w1, "one").join(w2, "two").where(common >= _needed(F.size("w1"), F.size("w2"), threshold)).select("two").distinct()
 
 
 def removed_lines(docs: DataFrame, threshold: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -70,33 +88,24 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, text: str = "text", k
     base = with_row_id(docs.select(F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("k"), F.col(text).alias("text"))).where("text is not null")
     lines = _lines(base)
     ranks = _ranks(lines)
-    sets = lines.select("_rid", "k", "line", _ordered(word_set(F.col("s")), ranks).alias("t")).where("size(t) > 0")
+    sets = lines.select("_rid", "k", "line", word_set(F.col("s"), ranks).alias("t"))
     n = F.size("t")
     prefix = F.slice("t", F.lit(1), n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int") + 1)
     bits = F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))))
-    sets = stored(sets.select("_rid", "k", "line", F.xxhash64("t").alias("c1"), F.hash("t").alias("c2"), n.alias("n"), prefix.alias("prefix"), bits.alias("bits")))
+    # Lines without words go after the table is written: a filter before it would make every word set twice.
+    sets = stored(sets.select("_rid", "k", "line", F.xxhash64("t").alias("c1"), F.hash("t").alias("c2"), n.alias("n"), prefix.alias("prefix"), bits.alias("bits"))).where("n > 0")
     # Equal sets are one class; its first line stands for it.
     place = F.struct("k", "_rid", "line")
-    classes = sets.groupBy("c1", "c2").agg(F.min(F.struct(place.alias("place"), "n", "prefix", "bits")).alias("first")).select("first.*")
-    index = classes.select("place.*", "n", "bits", F.posexplode("prefix").alias("at", "word")).repartition("word")
-    a, b = index.alias("a"), index.alias("b")
-    n1, n2, i1, i2 = F.col("a.n"), F.col("b.n"), F.col("a.at"), F.col("b.at")
-    need = _needed(n1, n2, threshold)
-    fits = (n1 >= n2 * F.lit(threshold) - 1e-9) & (n2 >= n1 * F.lit(threshold) - 1e-9) & (1 + F.least(n1 - i1, n2 - i2) - 1 >= need)
-    fits = fits & (F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= n1 + n2 - 2 * need)
-    one, two = (F.struct(*(F.col(f"{x}.{c}") for c in ("k", "_rid", "line"))) for x in "ab")
-    fits = (F.col("a.word") == F.col("b.word")) & (one < two) & fits
-    # A line is late as soon as one line before it is alike: the first candidate decides most, so pairs of a large group need not be listed.
-    tried = stored(a.join(b, fits).groupBy(two.alias("two")).agg(F.min(one).alias("one")))
-    asked = tried.select(F.explode(F.array("one", "two")).alias("p"))
-    first_try = _alike(tried, _words(base, asked), threshold)
-    first_try = stored(tried.join(first_try.withColumn("alike", F.lit(True)), ["one", "two"], "left").select("one", "two", "alike"))
-    open_ = first_try.where("alike is null").select("two._rid", "two.line")
-    c = index.join(open_, ["_rid", "line"], "left_semi").select(*index.columns).alias("b")
-    others = stored(a.join(c, fits).select(one.alias("one"), two.alias("two")).distinct().join(tried, ["one", "two"], "left_anti"))
-    asked = others.select(F.explode(F.array("one", "two")).alias("p"))
-    second_try = _alike(others, _words(base, asked), threshold)
-    late = first_try.where("alike").select("two").union(second_try.select("two")).select(F.col("two._rid").alias("r"), F.col("two.line").alias("l")).distinct()
+    classes = sets.groupBy("c1", "c2").agg(F.min(F.struct(place.alias("place"), "n", "prefix", "bits")).alias("first")).select("first.place.*", "first.n", "first.prefix", "first.bits")
+    index = _index(classes).repartition("word")
+    # A line is late as soon as one line before it is alike: its first and last candidates decide most, so pairs of a large group need not be listed.
+    tried = index.alias("a").join(index.alias("b"), _fits(threshold)).select(_place("a").alias("one"), _place("b").alias("two"))
+    tried = stored(tried.groupBy("two").agg(F.min("one").alias("lo"), F.max("one").alias("hi")))
+    late = stored(_alike(tried.select("two", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("one")), base, ranks, threshold))
+    open_ = stored(tried.where("lo != hi").join(late, "two", "left_anti").select("two.*"))
+    b = stored(_index(sets.join(open_, ["k", "_rid", "line"]))).alias("b")
+    others = _index(classes).alias("a").join(b, _fits(threshold)).select(_place("a").alias("one"), _place("b").alias("two")).distinct()
+    late = late.union(_alike(stored(others), base, ranks, threshold)).select(F.col("two._rid").alias("r"), F.col("two.line").alias("l"))
     # Classes of one line that are not late keep it; their lines need no join.
     firsts = sets.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.count("*").alias("lines"))
     judged = firsts.join(late, (F.col("first._rid") == late["r"]) & (F.col("first.line") == late["l"]), "left").select("c1", "c2", "first", "lines", F.col("r").isNotNull().alias("is_late")).where("is_late or lines > 1")
