@@ -10,7 +10,9 @@ order, is as similar as that, whether or not that one stays.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored, with_row_id
@@ -18,28 +20,38 @@ from .common import stored, with_row_id
 #: Rarity is counted in so many buckets of words: the table sent to tasks has a fixed size.
 BUCKETS = 1 << 16
 _LOW = (1 << 32) - 1
+#: A prefix word in more lines than this of about one size has its first lines tried before all pairs are listed.
+MANY, DRAWS = 16, 4
 
 
 def _lines(base: DataFrame) -> DataFrame:
-    return base.select("_rid", "k", F.posexplode(F.split("text", "\n")).alias("line", "s"))
+    return base.select("_rid", "k", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("line", "s"))
 
 
 def _ranks(lines: DataFrame) -> Column:
     """The rank of a bucket, rarest first, as an array literal by bucket."""
-    hashes = lines.select(F.explode(F.split(F.lower(F.col("s")), r"\s+")).alias("w")).select(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("bucket"))
+    hashes = lines.select(F.explode(F.split("s", " ")).alias("w")).select(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("bucket"))
     counts = dict(hashes.groupBy("bucket").agg(F.count("*").alias("n")).collect())  # at most BUCKETS rows
     rank = {b: r for r, b in enumerate(sorted(range(BUCKETS), key=lambda b: (counts.get(b, 0), b)))}
     return F.split(F.lit(",".join(str(rank[b]) for b in range(BUCKETS))), ",").cast("array<int>")
 
 
+def _plain(text: Column) -> Column:
+    """Lower-cased, with single spaces for white space other than line breaks."""
+    return F.lower(F.translate(text, "\t\v\f\r", "    "))
+
+
+def _hashes(line: Column) -> Column:
+    """The distinct words of a plain line, as hashes."""
+    return F.array_distinct(F.array_remove(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
+
+
 def word_set(line: Column, ranks: Column) -> Column:
     """Distinct words as numbers that sort by rarity: the bucket's rank above 32 other bits of the hash.
 
     A rank stands for 16 bits of the hash, so a word has 48.
     """
-    hashes = F.transform(F.split(F.lower(line), r"\s+"), lambda w: F.xxhash64(w))
-    hashes = F.array_distinct(F.array_remove(hashes, F.xxhash64(F.lit(""))))
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 32).bitwiseOR(F.shiftrightunsigned(h, 16).bitwiseAND(_LOW))))
+    return F.sort_array(F.transform(_hashes(line), lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 32).bitwiseOR(F.shiftrightunsigned(h, 16).bitwiseAND(_LOW))))
 
 
 def _needed(n: Column, m: Column, threshold: float) -> Column:
@@ -52,7 +64,7 @@ def _fits(threshold: float) -> Column:
     n1, n2, i1, i2 = F.col("a.n"), F.col("b.n"), F.col("a.at"), F.col("b.at")
     need = _needed(n1, n2, threshold)
     near = (n1 >= n2 * F.lit(threshold) - 1e-9) & (n2 >= n1 * F.lit(threshold) - 1e-9) & (F.least(n1 - i1, n2 - i2) >= need)
-    near = near & (F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= n1 + n2 - 2 * need)
+    near = near & (_apart() <= n1 + n2 - 2 * need)
     before = F.lit(False)
     for c in ("line", "_rid", "k"):
         before = (F.col(f"a.{c}") < F.col(f"b.{c}")) | ((F.col(f"a.{c}") == F.col(f"b.{c}")) & before)
@@ -67,12 +79,25 @@ def _index(sets: DataFrame) -> DataFrame:
     return sets.select("k", "_rid", "line", "n", "bits", F.posexplode("prefix").alias("at", "word"))
 
 
-def _alike(pairs: DataFrame, base: DataFrame, ranks: Column, threshold: float) -> DataFrame:
+def _firsts(classes: DataFrame) -> DataFrame:
+    """Of each prefix word that more than ``MANY`` lines share: the first line by size and by ``DRAWS`` hashes."""
+    size = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(1.1)))
+    least = F.min(F.struct("k", "_rid", "line", "n", "bits", "at")).alias("first")
+    found = _index(classes).groupBy("word", size.alias("size"), F.pmod(F.xxhash64("_rid", "line"), F.lit(DRAWS)).alias("draw")).agg(least, F.count("*").alias("lines"))
+    many = F.sum("lines").over(Window.partitionBy("word", "size")) > MANY
+    return found.withColumn("many", many).where("many").select("word", "first.*")
+
+
+def _apart() -> Column:
+    return F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits")))
+
+
+def _alike(pairs: DataFrame, base: DataFrame, threshold: float) -> DataFrame:
     """The ``two`` of the pairs (one, two) whose word sets are as similar as that; words are fetched by row."""
     asked = pairs.select(F.explode(F.array("one", "two")).alias("p")).distinct()
     rows = asked.groupBy(F.col("p._rid").alias("_rid")).agg(F.collect_list("p").alias("ps"))
-    found = base.select("_rid", "text").join(rows, "_rid").select(F.split("text", "\n").alias("all"), F.explode("ps").alias("p"))
-    words = stored(found.select("p", word_set(F.element_at("all", F.col("p.line") + 1), ranks).alias("w")))
+    found = base.select("_rid", "text").join(rows, "_rid").select(F.split(_plain(F.col("text")), "\n").alias("all"), F.explode("ps").alias("p"))
+    words = stored(found.select("p", _hashes(F.element_at("all", F.col("p.line") + 1)).alias("w")))
     w1, w2 = words.select(F.col("p").alias("one"), F.col("w").alias("w1")), words.select(F.col("p").alias("two"), F.col("w").alias("w2"))
     common = F.size(F.array_intersect("w1", "w2"))
     return pairs.join(w1, "one").join(w2, "two").where(common >= _needed(F.size("w1"), F.size("w2"), threshold)).select("two").distinct()
@@ -97,15 +122,16 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, text: str = "text", k
     # Equal sets are one class; its first line stands for it.
     place = F.struct("k", "_rid", "line")
     classes = sets.groupBy("c1", "c2").agg(F.min(F.struct(place.alias("place"), "n", "prefix", "bits")).alias("first")).select("first.place.*", "first.n", "first.prefix", "first.bits")
-    index = _index(classes).repartition("word")
-    # A line is late as soon as one line before it is alike: its first and last candidates decide most, so pairs of a large group need not be listed.
-    tried = index.alias("a").join(index.alias("b"), _fits(threshold)).select(_place("a").alias("one"), _place("b").alias("two"))
-    tried = stored(tried.groupBy("two").agg(F.min("one").alias("lo"), F.max("one").alias("hi")))
-    late = stored(_alike(tried.select("two", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("one")), base, ranks, threshold))
-    open_ = stored(tried.where("lo != hi").join(late, "two", "left_anti").select("two.*"))
-    b = stored(_index(sets.join(open_, ["k", "_rid", "line"]))).alias("b")
-    others = _index(classes).alias("a").join(b, _fits(threshold)).select(_place("a").alias("one"), _place("b").alias("two")).distinct()
-    late = late.union(_alike(stored(others), base, ranks, threshold)).select(F.col("two._rid").alias("r"), F.col("two.line").alias("l"))
+    classes = stored(classes)
+    # A line is late as soon as one line before it is alike. Lines that share a word of the prefix with many others
+    # try the least of those first, so the pairs of a large group of near copies need not be listed.
+    tried = _index(classes).alias("b").join(_firsts(classes).alias("a"), _fits(threshold)).select(_place("b").alias("two"), F.struct(_apart().alias("apart"), _place("a").alias("one")).alias("one"))
+    tried = stored(tried.groupBy("two").agg(F.min("one").alias("near"), F.min("one.one").alias("least")).select("two", F.explode(F.array_distinct(F.array("near.one", "least"))).alias("one")))
+    late = stored(_alike(tried, base, threshold))
+    # All pairs of the lines that are still open with the lines before them.
+    open_ = classes.join(late.select("two.*"), ["k", "_rid", "line"], "left_anti")
+    others = _index(classes).alias("a").join(_index(open_).alias("b"), _fits(threshold)).select(_place("a").alias("one"), _place("b").alias("two")).distinct()
+    late = late.union(_alike(stored(others), base, threshold)).select(F.col("two._rid").alias("r"), F.col("two.line").alias("l"))
     # Classes of one line that are not late keep it; their lines need no join.
     firsts = sets.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.count("*").alias("lines"))
     judged = firsts.join(late, (F.col("first._rid") == late["r"]) & (F.col("first.line") == late["l"]), "left").select("c1", "c2", "first", "lines", F.col("r").isNotNull().alias("is_late")).where("is_late or lines > 1")
