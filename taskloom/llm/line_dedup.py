@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, with_row_id
@@ -21,7 +21,7 @@ from .common import stored, with_row_id
 BUCKETS = 1 << 16
 _LOW = (1 << 32) - 1
 #: A prefix word in more lines than this of about one size has its first lines tried before all pairs are listed.
-MANY, DRAWS = 16, 4
+MANY, DRAWS = 200, 8
 
 
 def _lines(base: DataFrame) -> DataFrame:
@@ -80,12 +80,12 @@ def _index(sets: DataFrame) -> DataFrame:
 
 
 def _firsts(classes: DataFrame) -> DataFrame:
-    """Of each prefix word that more than ``MANY`` lines share: the first line by size and by ``DRAWS`` hashes."""
+    """Of each prefix word that more than ``MANY`` lines of about one size share: their first line by ``DRAWS`` hashes."""
     size = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(1.1)))
+    index = _index(classes).withColumn("size", size)
+    shared = index.groupBy("word", "size").agg(F.count("*").alias("lines")).where(F.col("lines") > MANY).select("word", "size")
     least = F.min(F.struct("k", "_rid", "line", "n", "bits", "at")).alias("first")
-    found = _index(classes).groupBy("word", size.alias("size"), F.pmod(F.xxhash64("_rid", "line"), F.lit(DRAWS)).alias("draw")).agg(least, F.count("*").alias("lines"))
-    many = F.sum("lines").over(Window.partitionBy("word", "size")) > MANY
-    return found.withColumn("many", many).where("many").select("word", "first.*")
+    return index.join(shared, ["word", "size"]).groupBy("word", "size", F.pmod(F.xxhash64("_rid", "line"), F.lit(DRAWS))).agg(least).select("word", "first.*")
 
 
 def _apart() -> Column:
@@ -95,9 +95,9 @@ def _apart() -> Column:
 def _alike(pairs: DataFrame, base: DataFrame, threshold: float) -> DataFrame:
     """The ``two`` of the pairs (one, two) whose word sets are as similar as that; words are fetched by row."""
     asked = pairs.select(F.explode(F.array("one", "two")).alias("p")).distinct()
-    rows = asked.groupBy(F.col("p._rid").alias("_rid")).agg(F.collect_list("p").alias("ps"))
-    found = base.select("_rid", "text").join(rows, "_rid").select(F.split(_plain(F.col("text")), "\n").alias("all"), F.explode("ps").alias("p"))
-    words = stored(found.select("p", _hashes(F.element_at("all", F.col("p.line") + 1)).alias("w")))
+    rows = asked.groupBy(F.col("p._rid").alias("_rid")).agg(F.collect_set("p.line").alias("wanted"))
+    found = base.select("_rid", "k", "text").join(rows, "_rid").select("_rid", "k", "wanted", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("line", "s"))
+    words = stored(found.where(F.array_contains("wanted", F.col("line"))).select(F.struct("k", "_rid", "line").alias("p"), _hashes(F.col("s")).alias("w")))
     w1, w2 = words.select(F.col("p").alias("one"), F.col("w").alias("w1")), words.select(F.col("p").alias("two"), F.col("w").alias("w2"))
     common = F.size(F.array_intersect("w1", "w2"))
     return pairs.join(w1, "one").join(w2, "two").where(common >= _needed(F.size("w1"), F.size("w2"), threshold)).select("two").distinct()
@@ -125,7 +125,8 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, text: str = "text", k
     classes = stored(classes)
     # A line is late as soon as one line before it is alike. Lines that share a word of the prefix with many others
     # try the least of those first, so the pairs of a large group of near copies need not be listed.
-    tried = _index(classes).alias("b").join(_firsts(classes).alias("a"), _fits(threshold)).select(_place("b").alias("two"), F.struct(_apart().alias("apart"), _place("a").alias("one")).alias("one"))
+    firsts = stored(_firsts(classes))
+    tried = _index(classes).alias("b").join(firsts.alias("a"), _fits(threshold)).select(_place("b").alias("two"), F.struct(_apart().alias("apart"), _place("a").alias("one")).alias("one"))
     tried = stored(tried.groupBy("two").agg(F.min("one").alias("near"), F.min("one.one").alias("least")).select("two", F.explode(F.array_distinct(F.array("near.one", "least"))).alias("one")))
     late = stored(_alike(tried, base, threshold))
     # All pairs of the lines that are still open with the lines before them.
