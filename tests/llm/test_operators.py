@@ -67,7 +67,9 @@ def test_suffix(docs):
     assert sorted(got) == sorted(want)
 
 
-def test_lines(docs):
+@pytest.mark.parametrize("many", [line_dedup.MANY, 1])
+def test_lines(docs, monkeypatch, many):
+    monkeypatch.setattr(line_dedup, "MANY", many)
     rows = sorted(((r.doc_id is None, r.doc_id or 0, r.text or "") for r in docs.collect()))
     lines = [frozenset(line.lower().split()) for _, _, t in rows for line in t.split("\n")]
     late = sum(bool(w) and any(len(w & v) >= 0.8 * len(w | v) - 1e-9 for v in lines[:i] if v) for i, w in enumerate(lines))
