@@ -147,6 +147,18 @@ def test_substring(docs):
     assert max(seen.values()) == 1
 
 
+def test_substring_query_judges_short_lines(spark):
+    out, seen, want = {r.doc_id: r for r in QUERIES["op1_substring_dedup"](spark, SF).collect()}, set(), collections.Counter()
+    short = 0
+    for r in sorted(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()):
+        for line in (r.text or "").split("\n"):
+            unit = " ".join(line.lower().split())
+            want[r.doc_id] += bool(unit) and unit in seen
+            short += bool(unit) and unit in seen and len(unit.split()) < 16
+            seen.add(unit)
+    assert short and {k: r.n_spans for k, r in out.items()} == dict(want)
+
+
 def test_quality(spark):
     rows = [(" ".join(["good words and more of them"] * (k % 9 + 1)) if k % 4 else "JUNK!! " * (k % 7 + 3), int(k % 4 > 0)) for k in range(400)]
     d = spark.createDataFrame([*rows, (None, None), ("", None)], "text string, label int").withColumn("stats", quality.statistics(chat.F.col("text")))
