@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,11 +39,32 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file_salt(paths: list[str]) -> str:
+    """What to append to the paths so that 31 bits of their hashes tell them apart."""
+    plain = {p.replace("file:///", "file:/") for p in paths}
+    for k in range(1000):
+        if len({xxhash.xxh64_intdigest((p + f"#{k}").encode(), 42) & 0x7FFFFFFF for p in plain}) == len(plain):
+            return f"#{k}"
+    raise RuntimeError(f"{len(plain)} files cannot be told apart by 31 bits")
+
+
 def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
-    """Adds a row number that is the same each time the same files are read.
+    """Adds a row number that is the same each time the same Parquet files are read.
 
-    Two rows with equal values, or with a null key, stay two rows.
+    It is made of a hash of the file's path and the row's place in the file, so
+    it does not depend on how many cores there are or how files are split. Two
+    rows with equal values, or with a null key, stay two rows. A frame that is
+    not read from Parquet files has no such places: its numbers are Spark's, and
+    hold only while its partitions do.
     """
+    paths = df.inputFiles()
+    if paths:
+        try:
+            place = df.metadataColumn("_metadata")
+            file = F.xxhash64(F.concat(place["file_path"], F.lit(_file_salt(paths)))).bitwiseAND(0x7FFFFFFF)
+            return df.withColumn(name, F.shiftleft(file, 32) + place["row_index"])
+        except AnalysisException:  # another format, or more than one table
+            pass
     return df.withColumn(name, F.monotonically_increasing_id())
 
 

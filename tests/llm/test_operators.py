@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 
 from taskloom.llm import chat, decontaminate, line_dedup, mixture, near_dedup, quality, substring_dedup, suffix_dedup, url_filter, vector_dedup
+from taskloom.llm.common import table, with_row_id
 from taskloom.llm.queries import ORACLES, QUERIES
 from taskloom.llm.vector_dedup import near_vectors
 
@@ -52,6 +53,21 @@ def test_sql(spark, name):
     assert a.equals(b)
 
 
+def test_row_ids_do_not_depend_on_splits(spark, docs):
+    ids = []
+    for most in ("128m", "1k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        try:
+            whole = with_row_id(docs.drop("_rid")).collect()
+            part = with_row_id(docs.select(docs.doc_id.alias("k"), docs.text)).where("k > 3").select("_rid", "k").collect()
+            ids.append((sorted(whole, key=str), sorted(part), sorted(r._rid for r in with_row_id(table(spark, SF, "documents").select("doc_id")).collect())))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert ids[0] == ids[1]
+    assert len({r._rid for r in ids[0][0]}) == len(ids[0][0]) == docs.count()
+    assert {r._rid for r in ids[0][1]} <= {r._rid for r in ids[0][0]} and min(r._rid for r in ids[0][0]) >= 0
+
+
 def test_suffix(docs):
     rows = docs.select("text").collect()
     data = [(r.text or "").encode() for r in rows]
