@@ -59,7 +59,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.regexp_extract(url_filter.path(F.col("url")), r"([0-9]{1,18})(?:/|\.html)?$", 1)
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("block"))
     labelled = pages.withColumn("doc_id", F.when(doc != "", doc).cast("long")).join(labels, "doc_id")
-    out = url_filter.judge(pages, url_filter.mine_rules(labelled), URL_RULES)
+    out = url_filter.judge(pages, stored(url_filter.mine_rules(labelled)), URL_RULES)
     return out.select("page_id", "host", "path", "rule", "verdict", F.array_join("mined", " ").alias("mined"))
 
 

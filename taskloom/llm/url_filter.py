@@ -9,6 +9,8 @@ found against its whole token set. Explicit host and path rules come first.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,25 +46,34 @@ def longest_rule(rules: list[tuple[str, str]]) -> tuple[Column, Column]:
 
 
 def tokens(url: Column) -> Column:
-    """Distinct tokens of a URL: scheme, the last three labels of the host, its first label, two path segments without a digit, three query keys.
+    """Distinct tokens of a URL: scheme, the labels of the host and once more its first, path segments, query keys, and keys with their values.
 
-    A bounded number of kinds, so that a very long URL has no more combinations
-    than another. Null and unparsable URLs have none.
+    None is left out, whatever the length. Null and unparsable URLs have none.
     """
     labels = F.split(host(url), r"\.")
-    segments = F.filter(F.split(path(url), "/"), lambda s: (s != "") & ~s.rlike("[0-9]"))
-    keys = F.transform(F.filter(F.split(F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1), "&"), lambda s: s != ""), lambda s: F.concat(F.lit("q:"), F.substring_index(s, "=", 1)))
-    depth = F.least(F.size(labels), F.lit(3))
+    segments = F.filter(F.split(path(url), "/"), lambda s: s != "")
+    fields = F.filter(F.split(F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1), "&"), lambda s: s != "")
     all_ = F.concat(
         F.array(F.concat(F.lit("s:"), F.regexp_extract(url, r"(?s)^(.*?)://", 1))),
-        F.transform(F.slice(labels, F.size(labels) - depth + 1, depth), lambda s: F.concat(F.lit("h:"), s)),
+        F.transform(labels, lambda s: F.concat(F.lit("h:"), s)),
         F.array(F.concat(F.lit("f:"), F.element_at(labels, 1))),
-        F.transform(F.slice(segments, 1, 2), lambda s: F.concat(F.lit("p:"), s)),
-        F.slice(keys, 1, 3),
+        F.transform(segments, lambda s: F.concat(F.lit("p:"), s)),
+        F.transform(fields, lambda s: F.concat(F.lit("q:"), F.substring_index(s, "=", 1))),
+        F.transform(F.filter(fields, lambda s: s.contains("=")), lambda s: F.concat(F.lit("v:"), s)),
     )
     return F.when(host(url) != "", F.array_distinct(all_)).otherwise(F.array().cast("array<string>"))
 
 
+def _token_classes(rows: DataFrame, least: int) -> DataFrame:
+    """(rep, token): the tokens of ``least`` rows at least; those of the very same rows have one rep.
+
+    The rows of a token are told by the distinct token sets it is in: their number and two sums of hashes.
+    """
+    each = rows.groupBy("t").agg(F.count("*").alias("n")).select("n", F.xxhash64("t").cast("decimal(38,0)").alias("h1"), F.xxhash64(F.lit(1), "t").cast("decimal(38,0)").alias("h2"), F.explode("t").alias("token"))
+    seen = each.groupBy("token").agg(F.sum("n").alias("n"), F.sum("h1").alias("h1"), F.sum("h2").alias("h2")).where(F.col("n") >= least)
+    return seen.groupBy("n", "h1", "h2").agg(F.min("token").alias("rep"), F.collect_list("token").alias("tokens")).select("rep", F.explode("tokens").alias("token"))
+
+
 def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5, min_lift: float = 1.2, url: str = "url", block: str = "block") -> DataFrame:
     """(rule, confidence, lift, support): token sets that go with ``block``.
 
@@ -71,15 +82,27 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence:
     none of the rules good enough, gives no rule. A rule that contains a kept
     shorter rule of no less confidence is dropped.
     """
-    items = labelled.where(F.col(url).isNotNull() & F.col(block).isNotNull()).select(F.when(F.col(block), F.array_union(tokens(F.col(url)), F.array(F.lit(BLOCK)))).otherwise(tokens(F.col(url))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
+    rows = stored(labelled.where(F.col(url).isNotNull() & F.col(block).isNotNull()).select(F.array_sort(tokens(F.col(url))).alias("t"), F.col(block).alias("block")))
+    # Tokens below the support are in no rule. Tokens of the very same rows are mined as one: a rule with two of them says no more than with one.
+    classes = stored(_token_classes(rows, math.ceil(min_support * rows.count())))
+    sets = rows.select("t").distinct()
+    mapped = sets.select("t", F.explode("t").alias("token")).join(classes, "token").groupBy("t").agg(F.collect_set("rep").alias("reps"))
+    reps = F.coalesce("reps", F.array().cast("array<string>"))
+    items = rows.join(mapped, "t", "left").select(F.when(F.col("block"), F.array_append(reps, F.lit(BLOCK))).otherwise(reps).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(stored(items))
     found = model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK))).where(F.col("lift") >= min_lift)
     found = stored(found.select(F.array_sort("antecedent").alias("rule"), "confidence", "lift", "support"))
-    # A shorter rule is among the subsets of a longer one, which has as many as its tokens allow, a fixed number.
+    # A shorter rule is among the subsets of a longer one.
     parts = found.select("rule", "confidence", F.explode("rule").alias("token"))
     shorter = found.select(F.col("rule").alias("small"), F.col("confidence").alias("as_sure"), F.element_at("rule", 1).alias("token"))
     implied = parts.join(shorter, "token").where((F.size("small") < F.size("rule")) & (F.size(F.array_except("small", "rule")) == 0) & (F.col("as_sure") >= F.col("confidence"))).select("rule").distinct()
-    return found.join(implied, "rule", "left_anti")
+    kept = found.join(implied, "rule", "left_anti")
+    # Each rule once for every choice of a token from each of its classes.
+    members = classes.groupBy("rep").agg(F.collect_list("token").alias("tokens"))
+    choices = kept.select("rule", F.explode("rule").alias("rep")).join(members, "rep").groupBy("rule").agg(F.collect_list("tokens").alias("choices"))
+    none = F.array(F.array().cast("array<string>"))
+    made = F.aggregate("choices", none, lambda done, some: F.flatten(F.transform(done, lambda d: F.transform(some, lambda t: F.array_append(d, t)))))
+    return kept.join(choices, "rule").select(F.explode(made).alias("rule"), "confidence", "lift", "support").withColumn("rule", F.array_sort("rule"))
 
 
 def judge(pages: DataFrame, mined: DataFrame, rules: list[tuple[str, str]], url: str = "url") -> DataFrame:
@@ -95,7 +118,8 @@ def judge(pages: DataFrame, mined: DataFrame, rules: list[tuple[str, str]], url:
     parsed = parsed.withColumn("rule", rule).withColumn("_said", said).withColumn("_open", F.when(F.col("rule").isNull(), F.col("_tokens")))
     # Inverted index: each rule under its rarest token, rarity counted over the distinct token sets of all pages.
     sets = stored(parsed.where("_open is not null").select("_open").distinct())
-    counts = sets.select(F.explode("_open").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    asked = mined.select(F.explode("rule").alias("token")).distinct()
+    counts = sets.select(F.explode("_open").alias("token")).join(asked, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
     postings = mined.select("rule", "confidence", F.explode("rule").alias("token")).join(counts, "token")
     index = postings.groupBy("rule", "confidence").agg(F.min(F.struct("n", "token")).alias("least")).select("rule", "confidence", F.col("least.token").alias("token"))
     hits = sets.select("_open", F.explode("_open").alias("token")).join(index, "token").where(F.size(F.array_except("rule", "_open")) == 0)

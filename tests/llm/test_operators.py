@@ -210,6 +210,16 @@ def test_mined_rules(spark):
     assert ["f:bad"] in [r.rule for r in url_filter.mine_rules(spark.createDataFrame(rows, "url string, block boolean")).collect()]
 
 
+def test_rules_from_any_token(spark):
+    told = ["http://a.b.c.d.e/x/y/win1000/%d", "http://a.bad.c.d.e/x/y/%d", "http://a.b/x/y/%d?k=1&l=2&m=3&n=4", "http://a.b/x/y/%d?k=evil"]
+    for url, token in zip(told, ["p:win1000", "h:bad", "q:n", "v:k=evil"]):
+        rows = [(url % k, True) for k in range(20)] + [(f"http://a.b.c.d.e/x/y/{k}?k=1&l=2&m=3", False) for k in range(40)]
+        rules = url_filter.mine_rules(spark.createDataFrame(rows, "url string, block boolean"), min_support=0.1)
+        pages = spark.createDataFrame([(url % 999,), ("http://a.b.c.d.e/x/y/999",)], "url string")
+        assert [token] in [r.rule for r in rules.collect()]
+        assert [r.verdict for r in url_filter.judge(pages, rules, []).collect()].count("block") == 1
+
+
 def test_decontaminate_null_items(spark, docs):
     items = spark.createDataFrame([(None, "w1"), (7, None), (8, "")], "item_id long, text string")
     got = decontaminate.contamination(plain(docs), items).collect()
