@@ -7,7 +7,7 @@ import uuid
 
 import xxhash
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see: ``spark.checkpoint.dir`` of the session.
 
-    A folder of our own is set only where the session names none.
+    On one machine, where the session names none, it is a folder of our own; a
+    cluster must name one, because its executors don't share the driver's disk.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="taskloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -39,6 +42,47 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(table: DataFrame) -> None:
+    """Removes the files of a ``stored`` table that nothing will read again."""
+    spark = table.sparkSession
+    own = f"{shared_dir(spark)}/taskloom-"
+    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        if own.removeprefix("file:").lstrip("/") in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def dense_array(values: DataFrame, size: int) -> Column:
+    """The longs ``value`` of ``values`` at their places ``at`` (0 to size - 1), 0 elsewhere, as one array.
+
+    The array is a scalar subquery, so a task gets it once; ``size`` is its bound.
+    """
+    cells = values.sparkSession.range(size).join(values, F.col("id") == F.col("at"), "left").select("id", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
+    runs = cells.groupBy(F.shiftright("id", 10).alias("run")).agg(F.array_sort(F.collect_list(F.struct("id", "value"))).alias("cells"))
+    runs = runs.select("run", F.transform("cells", lambda c: c["value"]).alias("cells"))
+    return runs.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("run", "cells"))), lambda r: r["cells"])).alias("values")).scalar()
+
+
+#: Longs of a key filter: 8 MB at most, whatever the number of keys.
+FILTER_WORDS = 1 << 20
+
+
+def key_filter(keys: DataFrame, *columns: str) -> Column:
+    """Whether a row's columns may be among ``keys``: never false for one that is, seldom true for one that isn't.
+
+    One bit a key, in a bitmap that has 32 bits or more for each key until it is
+    ``FILTER_WORDS`` longs large; beyond that it lets more rows pass.
+    """
+    wanted, size = keys.count(), 1 << 10
+    while size * 2 < wanted and size < FILTER_WORDS:
+        size *= 2
+    h = F.xxhash64(*columns)
+    at, bit = h.bitwiseAND(size - 1), F.shiftrightunsigned(h, 40).bitwiseAND(63).cast("int")
+    set_ = keys.select(at.alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("value"))
+    word = F.get(dense_array(set_, size), at.cast("int"))
+    return F.call_function("shiftrightunsigned", word, bit).bitwiseAND(1) == 1
+
+
 def _file_salt(paths: list[str]) -> str:
     """What to append to the paths so that 31 bits of their hashes tell them apart."""
     plain = {p.replace("file:///", "file:/") for p in paths}
@@ -53,19 +97,22 @@ def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
 
     It is made of a hash of the file's path and the row's place in the file, so
     it does not depend on how many cores there are or how files are split. Two
-    rows with equal values, or with a null key, stay two rows. A frame that is
-    not read from Parquet files has no such places: its numbers are Spark's, and
-    hold only while its partitions do.
+    rows with equal values, or with a null key, stay two rows. Columns and rows
+    may have been left out since the read. Any other frame has no such places
+    and is refused: write it first.
     """
     paths = df.inputFiles()
-    if paths:
-        try:
-            place = df.metadataColumn("_metadata")
-            file = F.xxhash64(F.concat(place["file_path"], F.lit(_file_salt(paths)))).bitwiseAND(0x7FFFFFFF)
-            return df.withColumn(name, F.shiftleft(file, 32) + place["row_index"])
-        except AnalysisException:  # another format, or more than one table
-            pass
-    return df.withColumn(name, F.monotonically_increasing_id())
+    try:
+        place = df.metadataColumn("_metadata")
+        file = F.xxhash64(F.concat(place["file_path"], F.lit(_file_salt(paths)))).bitwiseAND(0x7FFFFFFF)
+        return df.withColumn(name, F.shiftleft(file, 32) + place["row_index"])
+    except AnalysisException as e:
+        raise ValueError("the rows of this frame have no places in Parquet files: write it and read it back first") from e
+
+
+def kept_rows(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of docs whose row number is among ``ids`` (``left_semi``), or is not (``left_anti``), with all their columns."""
+    return with_row_id(docs.select(F.struct("*").alias("row"))).join(ids.select("_rid"), "_rid", how).select("row.*")
 
 
 def _least_neighbour(e: DataFrame, both_ways: bool) -> DataFrame:

@@ -6,52 +6,76 @@ their prefixes, the rarest words whose number the size fixes. The join on prefix
 words applies the length, positional and bitmap bounds; what is left is verified
 on the words themselves. A line goes when a line before it, in (key, row, line)
 order, is as similar as that, whether or not that one stays.
+
+One similar line before it settles a line, so not all links of a group of near
+copies are listed. Lines first try their neighbours in the postings of a few
+prefix words; those that no neighbour settles are joined with every line before
+them. Words are told by hashes: 48 bits in the order and in the prefixes, 64 bits
+in the verification.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, with_row_id
+from .common import dropped, key_filter, stored, with_row_id
 
 #: Rarity is counted in so many buckets of words: the table sent to tasks has a fixed size.
-BUCKETS = 1 << 16
-_LOW = (1 << 32) - 1
-#: A prefix word in more lines than this of about one size has its first lines tried before all pairs are listed.
-MANY, DRAWS = 200, 8
+BUCKETS = 1 << 18
+_LOW = (1 << 31) - 1
+#: Parts that the lines of one key are dealt into where a line tries its neighbour.
+PARTS = 8
+#: Postings of late lines that may be sent to all tasks, about 100 bytes each; more are shuffled.
+SENT = 200_000
+
+
+def _plain(text: Column) -> Column:
+    """Lower-cased, with single spaces for white space other than line breaks."""
+    for c in "\t\v\f\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.lower(text)
 
 
 def _lines(base: DataFrame) -> DataFrame:
-    return base.select("_rid", "k", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("line", "s"))
+    return base.select("_rid", "k", F.posexplode(F.split("text", "\n")).alias("line", "s"))
 
 
-def _ranks(lines: DataFrame) -> Column:
-    """The rank of a bucket, rarest first, as an array literal by bucket."""
-    hashes = lines.select(F.explode(F.split("s", " ")).alias("w")).select(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("bucket"))
-    counts = dict(hashes.groupBy("bucket").agg(F.count("*").alias("n")).collect())  # at most BUCKETS rows
-    rank = {b: r for r, b in enumerate(sorted(range(BUCKETS), key=lambda b: (counts.get(b, 0), b)))}
-    return F.split(F.lit(",".join(str(rank[b]) for b in range(BUCKETS))), ",").cast("array<int>")
+def _bucket(word: Column) -> Column:
+    return F.hash(word).bitwiseAND(BUCKETS - 1)
 
 
-def _plain(text: Column) -> Column:
-    """Lower-cased, with single spaces for white space other than line breaks."""
-    return F.lower(F.translate(text, "\t\v\f\r", "    "))
+def _frequencies(base: DataFrame) -> Column:
+    """How many words of all lines fall into each bucket, in eighths of powers of two, as an array literal by bucket."""
+    words = base.select(F.explode(F.split(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    counts = words.groupBy(_bucket(F.col("w")).alias("bucket")).agg(F.count("*").alias("n"))
+    level = F.coalesce(F.floor(F.log2("n") * 8).cast("int") + 1, F.lit(0))
+    cells = base.sparkSession.range(BUCKETS).join(counts, F.col("id") == F.col("bucket"), "left").select("id", level.alias("level"))
+    runs = cells.groupBy(F.shiftright("id", 10).alias("run")).agg(F.array_sort(F.collect_list(F.struct("id", "level"))).alias("cells"))
+    joined = {r.run: r.levels for r in runs.select("run", F.array_join(F.transform("cells", lambda c: c["level"].cast("string")), ",").alias("levels")).collect()}  # BUCKETS levels
+    return F.split(F.lit(",".join(joined[k] for k in sorted(joined))), ",").cast("array<long>")
 
 
-def _hashes(line: Column) -> Column:
-    """The distinct words of a plain line, as hashes."""
-    return F.array_distinct(F.array_remove(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
+def word_set(line: Column, frequencies: Column) -> Column:
+    """Distinct words as numbers that sort by rarity: the level of the bucket above 31 bits of another hash."""
 
+    def number(w: Column) -> Column:
+        return F.shiftleft(F.get(frequencies, _bucket(w)), 31).bitwiseOR(F.xxhash64(w).bitwiseAND(_LOW))
 
-def word_set(line: Column, ranks: Column) -> Column:
-    """Distinct words as numbers that sort by rarity: the bucket's rank above 32 other bits of the hash.
+    return F.sort_array(F.array_remove(F.array_distinct(F.transform(F.split(_plain(line), " "), number)), number(F.lit(""))))
+
+
+def _bitmap(words: Column) -> tuple[Column, Column]:
+    """128 bits of the 31-bit words of a set, each word turning one of them."""
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    all_ = F.aggregate(words, zero, lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", one, x)))
+    high = F.aggregate(words, zero, lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.shiftright(x, 6).bitwiseAND(1).cast("long"), x)))
+    return all_.bitwiseXOR(high), high
 
-    A rank stands for 16 bits of the hash, so a word has 48.
-    """
-    return F.sort_array(F.transform(_hashes(line), lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 32).bitwiseOR(F.shiftrightunsigned(h, 16).bitwiseAND(_LOW))))
+
+def _hashes(line: Column) -> Column:
+    """The words of a line, as hashes; the empty word of two white spaces together is one, too, in every line."""
+    return F.array_distinct(F.transform(F.split(F.concat(_plain(line), F.lit("  ")), " "), lambda w: F.xxhash64(w)))
 
 
 def _needed(n: Column, m: Column, threshold: float) -> Column:
@@ -59,48 +83,71 @@ def _needed(n: Column, m: Column, threshold: float) -> Column:
     return F.ceil((n + m) * F.lit(threshold / (1 + threshold)) - 1e-9)
 
 
-def _fits(threshold: float) -> Column:
-    """Whether rows a and b of the index, a before b, can belong to lines as similar as that."""
-    n1, n2, i1, i2 = F.col("a.n"), F.col("b.n"), F.col("a.at"), F.col("b.at")
+def _fits(a: str, b: str, threshold: float) -> Column:
+    """Whether postings a and b of one word, a's line before b's, can belong to lines as similar as that.
+
+    Each word outside the common ones turns one bit of one bitmap, so bitmaps differ in no more bits than there are such words.
+    """
+    n1, n2, i1, i2 = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.at"), F.col(f"{b}.at")
     need = _needed(n1, n2, threshold)
-    near = (n1 >= n2 * F.lit(threshold) - 1e-9) & (n2 >= n1 * F.lit(threshold) - 1e-9) & (F.least(n1 - i1, n2 - i2) >= need)
-    near = near & (_apart() <= n1 + n2 - 2 * need)
+    near = (_apart(a, b) <= (n1 + n2) * F.lit((1 - threshold) / (1 + threshold)) + 1e-9) & (F.least(n1 - i1, n2 - i2) >= need)
+    near = near & (n1 >= n2 * F.lit(threshold) - 1e-9) & (n2 >= n1 * F.lit(threshold) - 1e-9)
     before = F.lit(False)
     for c in ("line", "_rid", "k"):
-        before = (F.col(f"a.{c}") < F.col(f"b.{c}")) | ((F.col(f"a.{c}") == F.col(f"b.{c}")) & before)
-    return (F.col("a.word") == F.col("b.word")) & near & before
+        before = (F.col(f"{a}.{c}") < F.col(f"{b}.{c}")) | ((F.col(f"{a}.{c}") == F.col(f"{b}.{c}")) & before)
+    return near & before
+
+
+def _apart(a: str, b: str) -> Column:
+    return sum((F.bit_count(F.col(f"{a}.{bits}").bitwiseXOR(F.col(f"{b}.{bits}"))) for bits in ("bits1", "bits2")), F.lit(0))
 
 
 def _place(side: str) -> Column:
     return F.struct(*(F.col(f"{side}.{c}").alias(c) for c in ("k", "_rid", "line")))
 
 
-def _index(sets: DataFrame) -> DataFrame:
-    return sets.select("k", "_rid", "line", "n", "bits", F.posexplode("prefix").alias("at", "word"))
+_POSTING = ["k", "_rid", "line", "n", "at", "bits1", "bits2"]
+
+
+def _tried(classes: DataFrame, threshold: float) -> DataFrame:
+    """(one, two): of each line, the line just before it among those with the same key, where it fits.
+
+    The key is the least hash among the rarer half of the words: near copies mostly have the same.
+    """
+    b = F.struct("k", "_rid", "line", "n", F.lit(0).alias("at"), "bits1", "bits2")
+    keyed = classes.select(F.xxhash64("key", F.pmod(F.xxhash64("_rid", "line"), F.lit(PARTS))).alias("key"), "k", "_rid", "line", b.alias("b"))
+    seen = keyed.select("b", F.lag("b").over(Window.partitionBy("key").orderBy("k", "_rid", "line")).alias("a"))
+    return seen.where(_fits("a", "b", threshold)).select(_place("a").alias("one"), _place("b").alias("two"))
+
+
+def _joined(classes: DataFrame, late: DataFrame, threshold: float) -> DataFrame:
+    """(one, two, apart): all fitting pairs of an open line with a line before it."""
+    flagged = classes.join(late.select("two._rid", "two.line", F.lit(True).alias("late")), ["_rid", "line"], "left")
+    index = flagged.select("late", "k", "_rid", "line", "n", "bits1", "bits2", F.posexplode("prefix").alias("at", "word"))
+    open_, gone = index.where("late is null").select("word", *_POSTING), stored(index.where("late").select("word", *_POSTING))
 
+    def pairs(a: DataFrame) -> DataFrame:
+        hit = (F.col("a.word") == F.col("b.word")) & _fits("a", "b", threshold)
+        return a.alias("a").join(open_.alias("b"), hit).select(_place("a").alias("one"), _place("b").alias("two"), _apart("a", "b").alias("apart"))
 
-def _firsts(classes: DataFrame) -> DataFrame:
-    """Of each prefix word that more than ``MANY`` lines of about one size share: their first line by ``DRAWS`` hashes."""
-    size = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(1.1)))
-    index = _index(classes).withColumn("size", size)
-    shared = index.groupBy("word", "size").agg(F.count("*").alias("lines")).where(F.col("lines") > MANY).select("word", "size")
-    least = F.min(F.struct("k", "_rid", "line", "n", "bits", "at")).alias("first")
-    return index.join(shared, ["word", "size"]).groupBy("word", "size", F.pmod(F.xxhash64("_rid", "line"), F.lit(DRAWS))).agg(least).select("word", "first.*")
+    return pairs(open_).union(pairs(F.broadcast(gone) if gone.count() <= SENT else gone)).distinct()
 
 
-def _apart() -> Column:
-    return F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits")))
+def _texts(pairs: DataFrame, base: DataFrame) -> DataFrame:
+    """(_rid, line, s): the lines that the pairs ask for, read again; no other line is shuffled but for a few."""
+    asked = stored(pairs.select(F.explode(F.array("one", "two")).alias("p")).select("p._rid", "p.line").distinct())
+    found = stored(_lines(base).where(key_filter(asked, "_rid", "line")).select("_rid", "line", "s"))
+    dropped(asked)
+    return found
 
 
-def _alike(pairs: DataFrame, base: DataFrame, threshold: float) -> DataFrame:
-    """The ``two`` of the pairs (one, two) whose word sets are as similar as that; words are fetched by row."""
-    asked = pairs.select(F.explode(F.array("one", "two")).alias("p")).distinct()
-    rows = asked.groupBy(F.col("p._rid").alias("_rid")).agg(F.collect_set("p.line").alias("wanted"))
-    found = base.select("_rid", "k", "text").join(rows, "_rid").select("_rid", "k", "wanted", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("line", "s"))
-    words = stored(found.where(F.array_contains("wanted", F.col("line"))).select(F.struct("k", "_rid", "line").alias("p"), _hashes(F.col("s")).alias("w")))
-    w1, w2 = words.select(F.col("p").alias("one"), F.col("w").alias("w1")), words.select(F.col("p").alias("two"), F.col("w").alias("w2"))
-    common = F.size(F.array_intersect("w1", "w2"))
-    return pairs.join(w1, "one").join(w2, "two").where(common >= _needed(F.size("w1"), F.size("w2"), threshold)).select("two").distinct()
+def _alike(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The ``two`` of the pairs (one, two) whose word sets are as similar as that."""
+    flat = pairs.select(F.col("one._rid").alias("r1"), F.col("one.line").alias("l1"), F.col("two._rid").alias("r2"), F.col("two.line").alias("l2"), "two")
+    t1, t2 = (texts.select(F.col("_rid").alias(f"r{i}"), F.col("line").alias(f"l{i}"), F.col("s").alias(f"s{i}")) for i in (1, 2))
+    both = flat.join(t2, ["r2", "l2"]).join(t1, ["r1", "l1"]).select("two", _hashes(F.col("s1")).alias("w1"), _hashes(F.col("s2")).alias("w2"))
+    common, n1, n2 = (F.size(w) - 1 for w in (F.array_intersect("w1", "w2"), "w1", "w2"))
+    return stored(both.where(common >= _needed(n1, n2, threshold)).select("two").distinct())
 
 
 def removed_lines(docs: DataFrame, threshold: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -108,47 +155,50 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, text: str = "text", k
 
     docs must be read from files. Lines without words stay. Order is by key
     (null last), then row, then line, so repeated rows and ties have one. Null
-    and empty texts have no line to remove; an empty table gives no rows.
+    and empty texts have no line to remove; an empty table gives no rows. Other
+    columns of docs, whatever their names, play no part.
     """
     base = with_row_id(docs.select(F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("k"), F.col(text).alias("text"))).where("text is not null")
-    lines = _lines(base)
-    ranks = _ranks(lines)
-    sets = lines.select("_rid", "k", "line", word_set(F.col("s"), ranks).alias("t"))
-    n = F.size("t")
-    prefix = F.slice("t", F.lit(1), n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int") + 1)
-    bits = F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))))
+    sets = _lines(base).select("_rid", "k", "line", word_set(F.col("s"), _frequencies(base)).alias("t"))
+    sets = sets.select("_rid", "k", "line", F.xxhash64("t").alias("c1"), F.hash("t").alias("c2"), F.size("t").alias("n"), F.transform("t", lambda x: x.bitwiseAND(_LOW).cast("int")).alias("w"))
+    n, (bits1, bits2) = F.col("n"), _bitmap(F.col("w"))
+    prefix = F.slice("w", F.lit(1), n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int") + 1)
+    least = F.array_min(F.slice("w", F.lit(1), F.ceil(n / 2).cast("int")))
     # Lines without words go after the table is written: a filter before it would make every word set twice.
-    sets = stored(sets.select("_rid", "k", "line", F.xxhash64("t").alias("c1"), F.hash("t").alias("c2"), n.alias("n"), prefix.alias("prefix"), bits.alias("bits"))).where("n > 0")
+    sets = stored(sets.select("_rid", "k", "line", "c1", "c2", "n", prefix.alias("prefix"), least.alias("key"), bits1.alias("bits1"), bits2.alias("bits2")))
+    some = sets.where("n > 0")
     # Equal sets are one class; its first line stands for it.
-    place = F.struct("k", "_rid", "line")
-    classes = sets.groupBy("c1", "c2").agg(F.min(F.struct(place.alias("place"), "n", "prefix", "bits")).alias("first")).select("first.place.*", "first.n", "first.prefix", "first.bits")
-    classes = stored(classes)
-    # A line is late as soon as one line before it is alike. Lines that share a word of the prefix with many others
-    # try the least of those first, so the pairs of a large group of near copies need not be listed.
-    firsts = stored(_firsts(classes))
-    tried = _index(classes).alias("b").join(firsts.alias("a"), _fits(threshold)).select(_place("b").alias("two"), F.struct(_apart().alias("apart"), _place("a").alias("one")).alias("one"))
-    tried = stored(tried.groupBy("two").agg(F.min("one").alias("near"), F.min("one.one").alias("least")).select("two", F.explode(F.array_distinct(F.array("near.one", "least"))).alias("one")))
-    late = stored(_alike(tried, base, threshold))
-    # All pairs of the lines that are still open with the lines before them.
-    open_ = classes.join(late.select("two.*"), ["k", "_rid", "line"], "left_anti")
-    others = _index(classes).alias("a").join(_index(open_).alias("b"), _fits(threshold)).select(_place("a").alias("one"), _place("b").alias("two")).distinct()
-    late = late.union(_alike(stored(others), base, threshold)).select(F.col("two._rid").alias("r"), F.col("two.line").alias("l"))
-    # Classes of one line that are not late keep it; their lines need no join.
-    firsts = sets.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.count("*").alias("lines"))
-    judged = firsts.join(late, (F.col("first._rid") == late["r"]) & (F.col("first.line") == late["l"]), "left").select("c1", "c2", "first", "lines", F.col("r").isNotNull().alias("is_late")).where("is_late or lines > 1")
-    return sets.select("c1", "c2", "k", "_rid", "line").join(judged, ["c1", "c2"]).where(F.col("is_late") | (place != F.col("first"))).select("_rid", "line")
+    place, kept = F.struct("k", "_rid", "line"), ["n", "prefix", "key", "bits1", "bits2"]
+    classes = some.groupBy("c1", "c2").agg(F.min(F.struct(place.alias("place"), *kept)).alias("first"), F.count("*").alias("lines"))
+    classes = stored(classes.select("first.place.*", *(f"first.{c}" for c in kept), "c1", "c2", "lines"))
+    tried = stored(_tried(classes, threshold))
+    soon = _alike(tried, _texts(tried, base), threshold)
+    others = stored(_joined(classes, soon, threshold))
+    # The likest of a line's partners first; the rest only for lines that it doesn't settle.
+    texts = _texts(others, base)
+    best = others.groupBy("two").agg(F.min(F.struct("apart", "one")).alias("near")).select("near.one", "two")
+    found = _alike(best, texts, threshold)
+    rest = _alike(others.join(found, "two", "left_anti"), texts, threshold)
+    late = soon.union(found).union(rest).select("two._rid", "two.line", F.lit(True).alias("late"))
+    judged = classes.select("c1", "c2", "k", "_rid", "line", "lines").join(late, ["_rid", "line"], "left").where("late or lines > 1")
+    judged = stored(judged.select("c1", "c2", F.struct("k", "_rid", "line").alias("first"), F.coalesce("late", F.lit(False)).alias("late")))
+    for t in (classes, tried, others, texts):
+        dropped(t)
+    return some.select("c1", "c2", "k", "_rid", "line").join(judged, ["c1", "c2"]).where(F.col("late") | (place != F.col("first"))).select("_rid", "line")
 
 
 def line_dedup(docs: DataFrame, threshold: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of docs with the removed lines gone from ``text``, and the removed line numbers.
 
     Returns the columns of docs and ``removed_lines`` (array<int>, sorted; empty
-    where nothing goes). A text that loses all lines is empty; null stays null.
-    Only the removed lines and their breaks go.
+    where nothing goes), which takes the place of a column of that name. A text
+    that loses all lines is empty; null stays null. Only the removed lines and
+    their breaks go. Other columns, whatever their names, come back as they are.
     """
-    gone = removed_lines(docs, threshold, text, key).groupBy("_rid").agg(F.array_sort(F.collect_list("line")).alias("_gone"))
-    joined = with_row_id(docs).join(gone, "_rid", "left")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda s, i: ~F.array_contains("_gone", i)), "\n")
-    out = {c: F.col(c) for c in docs.columns}
-    out[text] = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept)
-    return joined.select(*[v.alias(c) for c, v in out.items()], F.coalesce("_gone", F.array().cast("array<int>")).alias("removed_lines"))
+    gone = removed_lines(docs, threshold, text, key).groupBy("_rid").agg(F.array_sort(F.collect_list("line")).alias("gone"))
+    rows = with_row_id(docs.select(F.struct("*").alias("row")))
+    kept = F.array_join(F.filter(F.split(F.col("row")[text], "\n"), lambda s, i: ~F.array_contains("gone", i)), "\n")
+    out = {c: F.col("row")[c] for c in docs.columns if c != "removed_lines"}
+    out[text] = F.when(F.col("gone").isNull(), F.col("row")[text]).otherwise(kept)
+    out["removed_lines"] = F.coalesce("gone", F.array().cast("array<int>"))
+    return rows.join(gone, "_rid", "left").select(*(v.alias(c) for c, v in out.items()))

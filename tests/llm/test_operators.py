@@ -83,15 +83,25 @@ def test_suffix(docs):
     assert sorted(got) == sorted(want)
 
 
-@pytest.mark.parametrize("many", [line_dedup.MANY, 1])
-def test_lines(docs, monkeypatch, many):
-    monkeypatch.setattr(line_dedup, "MANY", many)
-    rows = sorted(((r.doc_id is None, r.doc_id or 0, r.text or "") for r in docs.collect()))
-    lines = [frozenset(line.lower().split()) for _, _, t in rows for line in t.split("\n")]
-    late = sum(bool(w) and any(len(w & v) >= 0.8 * len(w | v) - 1e-9 for v in lines[:i] if v) for i, w in enumerate(lines))
-    assert line_dedup.removed_lines(plain(docs)).count() == late
+def late_lines(rows):
+    """(row, line) of every line that one before it resembles; rows are (key, text), in order."""
+    lines = [(k, i, frozenset(line.lower().split())) for k, (_, t) in enumerate(rows) if t is not None for i, line in enumerate(t.split("\n"))]
+    return {(k, i) for at, (k, i, w) in enumerate(lines) if w and any(len(w & v) >= 0.8 * len(w | v) - 1e-9 for _, _, v in lines[:at] if v)}
+
+
+@pytest.mark.parametrize("sent", [line_dedup.SENT, 0])
+def test_lines(docs, monkeypatch, sent):
+    monkeypatch.setattr(line_dedup, "SENT", sent)
+    numbered = with_row_id(docs.select("doc_id", "text")).collect()
+    rows = sorted(numbered, key=lambda r: (r.doc_id is None, r.doc_id or 0, r._rid))
+    want = {(rows[k]._rid, i) for k, i in late_lines([(r.doc_id, r.text) for r in rows])}
+    assert {tuple(r) for r in line_dedup.removed_lines(plain(docs)).collect()} == want
     out = line_dedup.line_dedup(docs)
-    assert out.count() == docs.count() and out.columns == [*docs.columns, "removed_lines"] if "_rid" not in docs.columns else True
+    assert out.columns == [*docs.columns, "removed_lines"]
+    gone = {k: {i for x, i in want if x == k} for k, _ in want}
+    text = {r._rid: (None if r.text is None else "\n".join(s for i, s in enumerate(r.text.split("\n")) if i not in gone.get(r._rid, ()))) for r in rows}
+    others = {r._rid: o for r, o in zip(with_row_id(docs.select("doc_id", "text")).collect(), [r["_rid"] for r in docs.collect()])}
+    assert sorted(map(str, [(r.doc_id, r.text, r["_rid"]) for r in out.collect()])) == sorted(str((r.doc_id, text[r._rid], others[r._rid])) for r in rows)
 
 
 def test_near_groups(docs):
