@@ -7,7 +7,8 @@ the tokens that its placeholder stands for) on the way.
 
 Template: ``<s>[ROLE]role[/ROLE]content</s>``, turn after turn. Inside texts and
 roles a backslash is doubled, and a backslash goes in after the first character
-of each control string; unescaping drops a backslash and keeps what follows it.
+of each control string and before a text that follows another part; unescaping
+drops a backslash and keeps what follows it.
 Other texts stay as they are. Everything is DataFrame functions.
 """
 
@@ -40,8 +41,10 @@ def text_parts(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("type"), F.coalesce(text, F.lit("")).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("double").alias("amount")))
 
 
-def _visit(part: Column) -> Column:
+def _visit(part: Column, place: Column) -> Column:
+    """What a part shows. A text behind another part starts with a backslash, so no control string stands across the border."""
     shown = escape(F.coalesce(part["text"], F.lit("")))
+    shown = F.when((place > 0) & (shown != "") & ~shown.startswith("\\"), F.concat(F.lit("\\"), shown)).otherwise(shown)
     for kind, mark in PLACEHOLDER.items():
         shown = F.when(part["type"] == kind, F.lit(mark)).otherwise(shown)
     return shown

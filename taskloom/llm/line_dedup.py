@@ -135,7 +135,8 @@ def _joined(classes: DataFrame, late: DataFrame, threshold: float) -> DataFrame:
 
 def _texts(pairs: DataFrame, base: DataFrame) -> DataFrame:
     """(_rid, line, s): the lines that the pairs ask for, read again; no other line is shuffled but for a few."""
-    asked = stored(pairs.select(F.explode(F.array("one", "two")).alias("p")).select("p._rid", "p.line").distinct())
+    sides = (pairs.select(F.col(f"{side}._rid").alias("_rid"), F.col(f"{side}.line").alias("line")).distinct() for side in ("one", "two"))
+    asked = stored(next(sides).union(next(sides)).distinct())
     found = stored(_lines(base).where(key_filter(asked, "_rid", "line")).select("_rid", "line", "s"))
     dropped(asked)
     return found

@@ -24,18 +24,27 @@ STATISTICS = ["log_words", "word_length", "upper", "symbols", "marks", "digits",
 Condition = tuple[int, bool, float]  # statistic, is it above, threshold
 
 
-def statistics(text: Column) -> Column:
-    """The statistics of a text as an array of doubles; a null text counts as empty, and shares of nothing are 0."""
-    text = F.coalesce(text, F.lit(""))
+def word_list(text: Column) -> Column:
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+
+
+def statistics(text: Column, words: Column | None = None) -> Column:
+    """The statistics of a text as an array of doubles; a null text counts as empty, and shares of nothing are 0.
+
+    ``words`` is its word list, where it is there as a column: it is used often.
+    """
+    text, words = F.coalesce(text, F.lit("")), word_list(text) if words is None else words
     chars = F.char_length(text).cast("double")
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     n = F.size(words).cast("double")
 
     def share(count: Column, of: Column) -> Column:
         return F.when(of > 0, count / of).otherwise(F.lit(0.0))
 
     def without(letters: str) -> Column:
-        return chars - F.char_length(F.translate(text, letters, ""))
+        """How many characters are among the letters."""
+        if len(letters) == 1:
+            return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(letters), F.lit("")))).cast("double")
+        return F.char_length(F.regexp_replace(text, f"[^{re.escape(letters)}]+", "")).cast("double")
 
     breaks = without("\n")
     return F.array(
