@@ -32,13 +32,13 @@ def _marker(pattern: str) -> str:
 
 def tokens(text: Column, stopwords: list[str] | tuple[str, ...] = tuple(STOPWORDS)) -> Column:
     """Lower-case words of two characters at least, without stopwords and numbers, in order."""
-    found = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9][a-z0-9_\-.]*"), F.lit(0)), lambda w: F.regexp_replace(w, r"^[\-._]+|[\-._]+$", ""))
+    found = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9][a-z0-9_\-.]*"), F.lit(0)), lambda w: F.btrim(w, F.lit("-._")))
     return F.filter(found, lambda w: (F.length(w) >= 2) & ~w.isin(*stopwords) & ~w.rlike("^[0-9]+$"))
 
 
 def meaningful(token: Column) -> Column:
-    """Fit to show: 3 to 20 characters, no digit, dot or slash, no run of four."""
-    return F.length(token).between(3, 20) & ~token.rlike(r"[0-9./]") & ~token.rlike(r"(.)\1{3}")
+    """Fit to show: 3 to 20 characters, no digit, dot or slash, no hex string of eight or more, no run of four."""
+    return F.length(token).between(3, 20) & ~token.rlike(r"[0-9./]") & ~token.rlike("^[a-f]{8,}$") & ~token.rlike(r"(.)\1{3}")
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -96,3 +96,19 @@ def round3(x: Column) -> Column:
 
 def clamp(x: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.nanvl(x, F.lit(0.0))))
+
+
+def round2(x: Column) -> Column:
+    """Two places, halves up; for values of 0 and more."""
+    return F.floor(x * F.lit(100.0) + F.lit(0.5)) / F.lit(100.0)
+
+
+def log_lift(v: Column) -> Column:
+    """ln v, but 0.05 where v is no more than 1."""
+    return F.when(v <= 1, F.lit(0.05)).otherwise(F.log(v))
+
+
+def top_counted(items: Column, n: int) -> Column:
+    """The n most frequent of an array of texts, ties in alphabetical order."""
+    counted = F.transform(F.array_distinct(items), lambda x: F.struct((-F.size(F.filter(items, lambda y: y == x))).alias("less"), x.alias("item")))
+    return F.slice(F.transform(F.array_sort(counted), lambda c: c["item"]), 1, n)

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clamp, meaningful, round3
+from .similar import groups, jaccard_pairs, step_set
 
 
 def cadence(arcs: DataFrame, by: str = "session") -> DataFrame:
@@ -48,9 +45,12 @@ def idf(docs: DataFrame, key: str, words: Column) -> DataFrame:
 
 
 def tfidf(docs: DataFrame, key: str, words: Column) -> DataFrame:
-    """(key, token, weight) with weight = (1 + ln tf) x idf, not normalised."""
+    """(key, token, weight) with weight = (1 + ln tf) x idf, not normalised; texts are tokenised once, df is counted over the (key, token) rows."""
     tf = docs.select(key, F.explode(words).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
-    return tf.join(idf(docs, key, words), "token").select(key, "token", ((1 + F.log("tf")) * F.col("idf")).alias("weight"))
+    n = docs.select(F.count("*").alias("docs"))
+    df = tf.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(n))
+    weight = (1 + F.log("tf")) * (F.log((F.col("docs") + 1) / (F.col("df") + 1)) + 1)
+    return tf.join(df, "token").select(key, "token", weight.alias("weight"))
 
 
 def top_n(counts: DataFrame, by: str, value: str, n: int, tie: str = "token") -> DataFrame:
@@ -85,28 +85,15 @@ def best_match(want: DataFrame, have: DataFrame, least: float = 0.55) -> DataFra
 
 
 def leader_clusters(arcs: DataFrame, part: str, threshold: float = 0.42) -> DataFrame:
-    """(part, arc_id, cluster): greedy leader pass over step sets in time order, within each part.
+    """(part, arc, cluster): arcs (part, arc, steps) of a part that alike step sets hold together; the cluster is its least arc.
 
-    The pass is sequential by definition, so the part (a repository, a user) is
-    what Spark spreads; choose one whose arcs fit a task.
+    Equal step sets are one class, so copies make no pairs; classes are joined on
+    their rarest steps. Arcs without steps are one class. No order of arcs is
+    needed, so a part is not tied to one task, as the sequential leader pass would be.
     """
-
-    def lead(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups: list[set] = []
-        names = []
-        for steps in pdf.sort_values(["start", "arc_id"])["steps"]:
-            own = set(steps) | {f"{a} > {b}" for a, b in zip(steps, steps[1:])}
-            scores = [len(own & g) / len(own | g) if own | g else 1.0 for g in groups]
-            best = int(np.argmax(scores)) if scores else -1
-            if best < 0 or scores[best] < threshold:
-                groups.append(own)
-                best = len(groups) - 1
-            else:
-                groups[best] |= own
-            names.append(best)
-        return pdf.sort_values(["start", "arc_id"])[[part, "arc_id"]].assign(cluster=names)
-
-    return arcs.groupBy(part).applyInPandas(lead, f"{part} {dict(arcs.dtypes)[part]}, arc_id string, cluster long")
-
-
-Batches = Iterator[pd.DataFrame]
+    each = arcs.select(part, "arc", F.array_sort(step_set(F.col("steps"))).alias("items"))
+    classes = each.groupBy(part, "items").agg(F.struct(F.col(part), F.min("arc").alias("arc")).alias("id"))
+    own = F.transform("items", lambda x: F.concat_ws(" | ", F.col(part).cast("string"), x))
+    found = groups(classes.select("id"), jaccard_pairs(classes.select("id", own.alias("items")), threshold))
+    named = classes.join(found, "id").select(part, "items", F.col("group.arc").alias("cluster"))
+    return each.join(named, [part, "items"]).select(part, "arc", "cluster")

@@ -47,8 +47,8 @@ def arc_turns(turns: DataFrame, idle_minutes: int = 90) -> DataFrame:
 
 
 def arcs(turns: DataFrame, idle_minutes: int = 90, min_steps: int = 2, most_prompts: int = 12) -> DataFrame:
-    """One row per arc of at least ``min_steps`` steps or with a correction."""
-    t = arc_turns(turns, idle_minutes)
+    """One row per arc of at least ``min_steps`` steps or with a correction. Undated turns take the time of one beside them first."""
+    t = arc_turns(backfill(turns), idle_minutes)
     of_arc = Window.partitionBy("session", "arc").orderBy("idx")
     calls = Window.partitionBy("session", "arc", F.col("action").isNotNull()).orderBy("idx")
     failed = F.coalesce(F.last(F.when(F.col("kind") == "tool_result", F.coalesce("is_error", F.lit(False))), ignorenulls=True).over(of_arc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))

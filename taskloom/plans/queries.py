@@ -115,10 +115,16 @@ SELECT session, runs, floor(least(1, CASE WHEN days <= 1 THEN 0.05 ELSE ln(days)
 def score_components(spark, sf_dir):
     a = segment.arcs(event_turns(spark, sf_dir), 1440)
     per = a.groupBy("session").agg(F.count("*").alias("runs"), F.max("turns").alias("turns"), F.max_by("steps", F.struct(F.size("steps"), "arc_id")).alias("steps"))
-    c = per.join(mining.cadence(a), "session").withColumn("sessions", F.lit(1))
+    c = _plain_candidates(per.join(mining.cadence(a), "session"))
     return scoring.score(c).select("session", "runs", T.round3(F.col("recurrence")).alias("recurrence"), "regularity", "penalty")
 
 
+def _plain_candidates(c: DataFrame) -> DataFrame:
+    """Candidates of one session, repository and agent each, without phrases and corrections, which hang together."""
+    one, none = F.lit(1), F.lit(0)
+    return c.withColumns({"sessions": one, "n_repos": one, "n_agents": one, "phrase": F.lit(None).cast("double"), "error_rate": F.lit(0.0), "n_corrections": none, "n_standing": none, "minutes": F.lit(0.0), "cohesion": F.lit(1.0)})
+
+
 @query("""SELECT event_type AS agent, count(DISTINCT user_id) AS sessions, count(*) AS turns, min(ts) AS earliest, max(ts) AS latest FROM events GROUP BY event_type""")
 def agent_stats(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -153,7 +159,7 @@ def tfidf_top(spark, sf_dir):
 
 
 @query(f"""WITH {_tokens_sql('documents', 'source, doc_id')},
-u AS (SELECT DISTINCT source, doc_id, token FROM tok WHERE length(token) BETWEEN 3 AND 20 AND NOT regexp_matches(token, '[0-9./]') AND NOT regexp_matches(token, '{"|".join(c * 4 for c in "abcdefghijklmnopqrstuvwxyz")}|----|____')),
+u AS (SELECT DISTINCT source, doc_id, token FROM tok WHERE length(token) BETWEEN 3 AND 20 AND NOT regexp_matches(token, '[0-9./]') AND NOT regexp_full_match(token, '[a-f]{{8,}}') AND NOT regexp_matches(token, '{"|".join(c * 4 for c in "abcdefghijklmnopqrstuvwxyz")}|----|____')),
 g AS (SELECT source, token, count(*) AS n FROM u GROUP BY ALL), o AS (SELECT token, sum(n) AS n_all FROM g GROUP BY token),
 s AS (SELECT source, count(*) AS size FROM documents GROUP BY source), t AS (SELECT count(*) AS total FROM documents),
 f AS (SELECT g.source, token, floor(n / size::DOUBLE * 1000 + 0.5) / 1000 AS share, floor((n / size::DOUBLE) / (n_all / total::DOUBLE) * 1000 + 0.5) / 1000 AS lift FROM g JOIN s ON g.source = s.source JOIN o USING (token), t WHERE n / size::DOUBLE >= 0.34)
@@ -173,9 +179,11 @@ def containment_best_match(spark, sf_dir):
     return mining.best_match(want, have)
 
 
-@query("""SELECT o_orderkey, count(e.event_id) AS before FROM (SELECT * FROM orders WHERE o_orderkey IN (SELECT DISTINCT o_orderkey FROM orders ORDER BY 1 LIMIT 200)) o LEFT JOIN events e ON e.ts < o.o_orderdate OR e.ts IS NULL GROUP BY o_orderkey""")
+@query("""WITH e AS (SELECT ts, count(event_id) AS n FROM events WHERE ts IS NOT NULL GROUP BY ts), run AS (SELECT ts, sum(n) OVER (ORDER BY ts) AS n FROM e), undated AS (SELECT count(event_id) AS n FROM events WHERE ts IS NULL),
+days AS (SELECT o_orderkey, o_orderdate - INTERVAL 1 MICROSECOND AS t FROM orders)
+SELECT o_orderkey, sum(coalesce(run.n, 0) + undated.n)::BIGINT AS before FROM days ASOF LEFT JOIN run ON days.t >= run.ts, undated GROUP BY o_orderkey""")
 def before_cutoff(spark, sf_dir):
-    """Events before each order, undated ones included; its SQL has the first 200 order keys only.
+    """Events before each order, undated ones included.
 
     Events are counted within the days of all times, then over the days (one row a day), so no order is held against every event.
     """
@@ -235,10 +243,15 @@ def tool_canonical(spark, sf_dir):
     return spark.createDataFrame([(k,) for k in _TOOLS], "tool string").select("tool", canonical_tool(F.col("tool")).alias("verb"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_arcs_sql(1440).strip()},
+sets AS (SELECT session, arc, CASE WHEN n_steps = 0 THEN [] ELSE list_sort(list_distinct(list_concat(string_split(steps, ' '), list_transform(range(1, len(string_split(steps, ' '))), lambda i: string_split(steps, ' ')[i] || ' > ' || string_split(steps, ' ')[i + 1])))) END AS items FROM arcs),
+classes AS (SELECT session, items, min(arc) AS id FROM sets GROUP BY session, items),
+near AS (SELECT x.session, x.id AS a, y.id AS b FROM classes x JOIN classes y ON x.session = y.session AND x.id <> y.id
+  WHERE len(list_intersect(x.items, y.items)) / greatest(len(list_distinct(list_concat(x.items, y.items))), 1)::DOUBLE >= 0.42),
+reach AS (SELECT session, id AS a, id AS b FROM classes UNION SELECT r.session, r.a, n.b FROM reach r JOIN near n ON n.session = r.session AND n.a = r.b)
+SELECT session, arc::BIGINT AS arc, cluster::BIGINT AS cluster FROM sets JOIN classes USING (session, items) JOIN (SELECT session, a AS id, min(b) AS cluster FROM reach GROUP BY ALL) USING (session, id)""")
 def leader_clusters(spark, sf_dir):
-    a = segment.arcs(event_turns(spark, sf_dir), 1440)
-    return mining.leader_clusters(a.withColumn("start", F.unix_micros("start")), "session")
+    return mining.leader_clusters(segment.arcs(event_turns(spark, sf_dir), 1440), "session")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,5 +259,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = segment.arcs(event_turns(spark, sf_dir), 1440)
     steps = mining.canonical_steps(a).groupBy("session").agg(F.array_sort(F.collect_list(F.struct("rank", "action"))).alias("s")).select("session", F.transform("s", lambda x: x["action"]).alias("steps"))
     per = a.groupBy("session").agg(F.count("*").alias("runs"), F.median("turns").alias("turns"))
-    c = per.join(steps, "session").join(mining.cadence(a), "session").withColumn("sessions", F.lit(1))
+    c = _plain_candidates(per.join(steps, "session").join(mining.cadence(a), "session"))
     return scoring.score(c).select("session", "runs", "days", "label", F.array_join("steps", " > ").alias("steps"), "total").orderBy(F.col("total").desc(), "session")
