@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,9 +33,23 @@ RULES = [
 MAIL = _B + r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}" + _E
 
 
+#: For each rule in turn, and for mail, what a text must hold, in lower case, for the rule to find anything.
+HINTS = ["sk-ant-", "sk-", "gh", "github_pat_", "glpat-", "xox", "_live_|_test_", "shp", "aiza", "akia|asia|agpa|aroa|aida", "npm_", "vercel_", "hf_", "eyj", "private key", "://", "key|secret|token|passw|credential|auth", "bearer", "@"]
+
+
+def _rule(pattern: str, to: str, held: Column) -> Callable[[Column], Column]:
+    return lambda t: F.when(held, F.regexp_replace(t, pattern, to)).otherwise(t)
+
+
 def redact(text: Column, home: str = "", keep_mail: bool = False) -> Column:
-    for pattern, to in RULES:
-        text = F.regexp_replace(text, pattern, to)
-    if not keep_mail:
-        text = F.regexp_replace(text, MAIL, "[redacted:email]")
+    """Secrets, mail addresses and the home folder replaced; a rule is tried only on texts that hold its hint."""
+    low, mail = F.lower(text), [] if keep_mail else [(MAIL, "[redacted:email]")]
+    for (pattern, to), hint in zip([*RULES, *mail], HINTS):
+        first, *others = hint.split("|")
+        held = low.contains(first)
+        for other in others:
+            held = held | low.contains(other)
+
+        # An array of one text, so that the text so far stands in the expression once.
+        text = F.get(F.transform(F.array(text), _rule(pattern, to, held)), 0)
     return F.replace(text, F.lit(home), F.lit("${HOME}")) if home else text

@@ -1,72 +1,269 @@
-"""Transcript files as turns.
+"""Transcript files of many tools as turns.
 
-One reader for JSON lines of the generic shape: a record has a role, a content
-that is a text or a list of blocks, and a time; blocks are texts, tool calls and
-tool results. Malformed lines cost only themselves.
+Every tool writes records of about one shape: a role, a content that is a text or
+a list of blocks, tool calls inside or beside it, and a time. Records are read as
+variants and taken apart by path, so a malformed record costs only itself. A
+``Layout`` says what differs between tools: lines or whole documents, where the
+session's id is, and what is unwrapped or left out. One file is one session.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import json
+from dataclasses import dataclass
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
+from ..functions.commands import command_shape, extract_command, failed, flatten_args, path_shapes, repo_name
+from ..functions.prompts import clean_prompt, repair_punctuation, skill_refs, without_skill_refs
 from ..functions.redact import redact
 from ..functions.tools import canonical_tool
 
-#: Beginnings of a failed result.
-FAILED = "(?i)(?:error|failed|exception|traceback|no such file|command not found|permission denied|not found)"
-MOST_TURNS, MOST_TEXT = 4000, 8000
+MOST_TURNS, MOST_TEXT, MOST_ARG, MOST_FILE = 4000, 8000, 400, 256 << 20
+
+#: Spellings of a speaker, and the fields in which records, folders and times stand.
+SPEAKERS = {
+    "user": ["user", "human", "input"],
+    "assistant": ["assistant", "model", "gemini", "ai", "agent", "output", "qwen", "kimi", "copilot"],
+    "tool": ["tool", "function", "tool_result", "function_response", "observation"],
+    "system": ["system", "developer"],
+}
+LISTS = ["messages", "history", "chatHistory", "turns", "events", "conversation", "records", "items"]
+INNER = ["session", "state", "data", "chat"]
+FOLDERS = ["cwd", "workspace", "workingDirectory", "working_directory", "projectRoot", "project_root", "directory", "root", "path"]
+ABOUT = ["info", "metadata", "meta", "session", "context", "state"]
+TIMES = ["timestamp", "time", "createdAt", "created_at", "ts", "date"]
+CALLS = ["tool_calls", "toolCalls", "function_calls", "functionCalls"]
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How a tool stores its sessions."""
+
+    glob: str = "*.jsonl"
+    document: bool = False  # a whole JSON document, else one record a line
+    unwrap: tuple[str, ...] = ()  # objects that hold the record proper
+    each_block: bool = False  # every text block is a message of its own
+    mtime: bool = True  # undated records take the file's time
+    skip: tuple[str, ...] = ()  # types of records that are no turns
+    folder_id: bool = False  # the session's id is the name of its folder
+
+
+LAYOUTS = {
+    "generic": Layout(),
+    "claude": Layout(each_block=True, mtime=False, skip=("system", "summary", "ai-title", "attachment", "progress")),
+    "codex": Layout(unwrap=("payload",), mtime=False, skip=("session_meta", "turn_context", "event_msg")),
+    "cursor": Layout(each_block=True),
+    "gemini": Layout(glob="*.json", document=True),
+    "grok": Layout(glob="chat_history.jsonl", skip=("system", "reasoning"), folder_id=True),
+    "qwen": Layout(),
+    "kimi": Layout(unwrap=("event",)),
+    "copilot": Layout(unwrap=("data",), folder_id=True),
+    "cline": Layout(glob="*.json", document=True, folder_id=True),
+    "pi": Layout(),
+}
+
+
+def _get(v: Column, *names: str) -> Column:
+    """The first of the fields that is a text or another scalar and not empty."""
+    return F.coalesce(*(F.nullif(F.try_variant_get(v, f"$.{n}", "string"), F.lit("")) for n in names))
 
 
-def _get(record, *paths: str):
-    return F.coalesce(*(F.try_variant_get(record, p, "string") for p in paths))
+def _is(v: Column, kind: str) -> Column:
+    return F.coalesce(F.schema_of_variant(v).startswith(kind), F.lit(False))
 
 
-def parse_time(raw):
+def parse_time(raw: Column) -> Column:
     """RFC 3339 times, and seconds or milliseconds since 1970."""
     number = F.try_to_number(raw, F.lit("99999999999999")).cast("double")
     seconds = F.when(number > 1e12, number / 1000).otherwise(number)
     return F.coalesce(F.when(raw.rlike("^[0-9]{9,14}$"), F.timestamp_seconds(seconds)), F.when(~raw.rlike("^[0-9]+$"), F.try_to_timestamp(raw)))
 
 
-def read_jsonl(spark: SparkSession, path: str, agent: str = "generic", home: str = "", glob: str = "*.jsonl") -> DataFrame:
-    """(agent, session, source, idx, actor, kind, at, text, tool, command, is_error) from all files below a path.
+def _time(v: Column, names: list[str]) -> Column:
+    return F.coalesce(*(parse_time(F.try_variant_get(v, f"$.{n}", "string")) for n in names))
+
+
+def _field(v: Column) -> Column:
+    return _get(v, "text", "content", "value")
+
+
+def content_text(v: Column) -> Column:
+    """The prose of a content: a text, a list of texts and text blocks (other blocks have none), or one block."""
+    blocks = F.try_variant_get(v, "$", "array<variant>")
+    prose = F.transform(blocks, lambda b: F.when(_is(b, "STRING"), F.try_variant_get(b, "$", "string")).when(F.coalesce(_get(b, "type"), F.lit("text")).isin("text", "input_text", "output_text", "summary_text"), _field(b)))
+    return F.when(_is(v, "STRING"), F.try_variant_get(v, "$", "string")).when(_is(v, "ARRAY"), F.trim(F.array_join(F.filter(prose, lambda x: x.isNotNull()), "\n"))).when(_is(v, "OBJECT"), _field(v))
+
+
+def _array(v: Column, name: str) -> Column:
+    return F.coalesce(F.try_variant_get(v, f"$.{name}", "array<variant>"), F.array().cast("array<variant>"))
+
+
+def _args(b: Column) -> Column:
+    """The arguments of a call as JSON text; arguments that are a text already stand as they are."""
+    found = F.coalesce(*(F.try_variant_get(b, f"$.{p}", "variant") for p in ("input", "args", "arguments", "parameters", "function.arguments", "functionCall.args", "action")))
+    return F.when(_is(found, "STRING"), F.try_variant_get(found, "$", "string")).otherwise(F.to_json(found))
+
 
-    Lines keep their order within a file, whose text is read whole. Records of
-    roles other than user, assistant and tool are dropped, and so are tool calls
-    that are no work. Texts are redacted and cut at 8000 characters.
+def _piece(b: Column, call: bool = False) -> Column:
+    """A block as struct<kind, name, text, args, flag, status>."""
+    kind = F.lower(F.coalesce(_get(b, "type"), F.lit("")))
+    is_call = F.lit(call) | kind.isin("tool_use", "tool_call", "function_call", "custom_tool_call", "local_shell_call") | F.try_variant_get(b, "$.functionCall", "variant").isNotNull()
+    is_result = kind.isin("tool_result", "function_response", "function_call_output", "custom_tool_call_output", "tool_call_output") | F.try_variant_get(b, "$.functionResponse", "variant").isNotNull()
+    answer = F.coalesce(*(F.try_variant_get(b, f"$.{p}", "variant") for p in ("content", "output", "functionResponse.response", "response")))
+    plain = F.when(_is(b, "STRING"), F.try_variant_get(b, "$", "string")).when(kind.isin("", "text", "input_text", "output_text", "summary_text"), _field(b))
+    return F.struct(
+        F.when(is_call, "tool_call").when(is_result, "tool_result").otherwise("message").alias("kind"),
+        _get(b, "name", "tool", "toolName", "tool_name", "function.name", "functionCall.name", "functionResponse.name").alias("name"),
+        F.when(is_result, F.coalesce(content_text(answer), F.lit(""))).when(~is_call, plain).alias("text"),
+        F.when(is_call, _args(b)).alias("args"),
+        F.coalesce(*(F.try_variant_get(b, f"$.{p}", "boolean") for p in ("is_error", "isError", "error"))).alias("flag"),
+        _get(b, "status", "state").alias("status"),
+    )
+
+
+def _pieces(r: Column, each_block: bool) -> Column:
+    """What a record says: its text first, then its calls and results, inside the content or beside it."""
+    message = F.try_variant_get(r, "$.message", "variant")
+    content = F.coalesce(F.try_variant_get(r, "$.message.content", "variant"), F.try_variant_get(r, "$.content", "variant"), F.when(_is(message, "STRING"), message))
+    parts = F.concat(_array(r, "message.parts"), _array(r, "parts"))
+    blocks = F.concat(F.when(_is(content, "ARRAY"), F.try_variant_get(content, "$", "array<variant>")).otherwise(F.array().cast("array<variant>")), parts)
+    calls = F.concat(*(_array(r, f"{level}{name}") for level in ("message.", "") for name in CALLS))
+    prose = F.array_join(F.filter(F.transform(parts, _field), lambda x: x.isNotNull()), "\n")
+    said = F.coalesce(F.nullif(F.trim(prose), F.lit("")), F.nullif(content_text(content), F.lit("")), _get(r, "text", "prompt", "value", "output"))
+    whole = F.array(F.struct(F.lit("message").alias("kind"), F.lit(None).cast("string").alias("name"), said.alias("text"), F.lit(None).cast("string").alias("args"), F.lit(None).cast("boolean").alias("flag"), F.lit(None).cast("string").alias("status")))
+    made = F.transform(blocks, lambda b: _piece(b))
+    if each_block:
+        of_blocks = F.when(_is(content, "ARRAY"), made).otherwise(whole)
+    else:
+        of_blocks = F.concat(whole, F.filter(made, lambda p: p["kind"] != "message"))
+    return F.filter(F.concat(of_blocks, F.transform(calls, lambda c: _piece(c, True))), lambda p: (p["kind"] != "message") | (F.coalesce(p["text"], F.lit("")) != ""))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def recovered(texts: pd.Series) -> pd.Series:
+    """The records of a document that was cut off: its lines where each is an object, else the complete elements of its first list of objects."""
+
+    def rescue(text: str) -> list[str]:
+        lines = [x.strip() for x in text.splitlines() if x.strip().startswith("{")]
+        whole = []
+        for line in lines:
+            try:
+                whole.append(json.dumps(json.loads(line)))
+            except ValueError:
+                continue
+        if whole:
+            return whole
+        decoder, at = json.JSONDecoder(), text.find("[")
+        while 0 <= at < len(text):
+            at = next((k for k in range(at + 1, len(text)) if text[k] not in " \t\r\n,"), len(text))
+            try:
+                value, end = decoder.raw_decode(text, at)
+            except ValueError:
+                return whole
+            if isinstance(value, dict):
+                whole.append(json.dumps(value))
+            at = end - 1
+        return whole
+
+    return texts.map(lambda t: rescue(t or ""))
+
+
+def _records(spark: SparkSession, path: str, layout: Layout, most_file: int) -> DataFrame:
+    """(source, mtime, line, r, about): the records of all files, in order; about is the document around them."""
+    files = spark.read.option("pathGlobFilter", layout.glob).option("recursiveFileLookup", "true").text(path, wholetext=True)
+    meta = F.col("_metadata")
+    files = files.where((meta["file_size"] > 0) & (meta["file_size"] <= most_file)).select(meta["file_path"].alias("source"), meta["file_modification_time"].alias("mtime"), "value")
+    if not layout.document:
+        lines = files.select("source", "mtime", F.posexplode(F.split("value", "\n")).alias("line", "raw")).where(F.trim("raw").startswith("{"))
+        return lines.select("source", "mtime", "line", F.try_parse_json("raw").alias("r"), F.lit(None).cast("variant").alias("about")).where("r is not null")
+    parsed = files.withColumn("doc", F.try_parse_json("value"))
+    doc = F.col("doc")
+    lists = [F.try_variant_get(doc, f"$.{inner}{name}", "array<variant>") for inner in ["", *(f"{i}." for i in INNER)] for name in LISTS]
+    found = F.coalesce(F.try_variant_get(doc, "$", "array<variant>"), *(F.when(F.size(x) > 0, x) for x in lists))
+    good = parsed.where("doc is not null").select("source", "mtime", F.posexplode(found).alias("line", "r"), F.when(_is(doc, "OBJECT"), doc).alias("about"))
+    cut = parsed.where("doc is null").select("source", "mtime", F.posexplode(recovered("value")).alias("line", "raw"))
+    return good.union(cut.select("source", "mtime", "line", F.try_parse_json("raw"), F.lit(None).cast("variant")))
+
+
+def _first(value: Column) -> Column:
+    return F.min_by(value, F.when(value.isNotNull(), F.col("line")))
+
+
+def _folder(v: Column) -> Column:
+    """The first field of a record, or of what it holds about itself, that names a folder."""
+    return F.coalesce(*(F.when(F.try_variant_get(v, f"$.{p}{n}", "string").rlike(r"[/\\]"), F.try_variant_get(v, f"$.{p}{n}", "string")) for p in ["", *(f"{a}." for a in ABOUT)] for n in FOLDERS))
+
+
+def read_transcripts(spark: SparkSession, path: str, agent: str = "generic", home: str = "", most_file: int = MOST_FILE, keep_mail: bool = False) -> DataFrame:
+    """Turns from all files of a tool below a path.
+
+    (agent, session, source, title, workspace, repo, branch, idx, actor, kind,
+    at, text, tool, args, command, paths, skills, is_error). Prompts are cleaned,
+    texts and arguments redacted and cut, calls that are no work dropped, and at
+    most 4000 turns of a session kept. Empty files and those over ``most_file``
+    bytes are left out. Undated turns stay undated where the tool dates its
+    records, and take the file's time elsewhere.
     """
-    files = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path, wholetext=True)
-    lines = files.select(F.col("_metadata.file_path").alias("source"), F.posexplode(F.split("value", "\n")).alias("line", "raw")).where(F.trim("raw").startswith("{"))
-    records = lines.select("source", "line", F.try_parse_json("raw").alias("r")).where("r is not null")
-    role = F.lower(_get(F.col("r"), "$.message.role", "$.role", "$.type"))
-    content = F.coalesce(F.try_variant_get("r", "$.message.content", "variant"), F.try_variant_get("r", "$.content", "variant"))
-    records = records.select(
-        F.coalesce(_get(F.col("r"), "$.sessionId", "$.session_id"), F.col("source")).alias("session"), "source", "line", role.alias("role"),
-        parse_time(_get(F.col("r"), "$.timestamp", "$.time", "$.created_at")).alias("at"), content.alias("content"),
-        F.coalesce(F.try_variant_get("r", "$.isSidechain", "boolean"), F.lit(False)).alias("side"),
-    ).where(F.col("role").isin("user", "assistant", "tool") & ~F.col("side"))
-    text = F.try_variant_get("content", "$", "string")
-    blocks = F.coalesce(F.try_variant_get("content", "$", "array<variant>"), F.array(F.col("content")))
-    b = records.select("session", "source", "line", "role", "at", F.posexplode(blocks).alias("part", "b"))
-    kind = F.coalesce(F.try_variant_get("b", "$.type", "string"), F.lit("text"))
-    plain = F.coalesce(F.try_variant_get("b", "$.text", "string"), F.when(F.schema_of_variant("b") == "STRING", F.try_variant_get("b", "$", "string")))
-    b = b.withColumn("type", kind)
-    call, result = F.col("type").isin("tool_use", "tool_call", "function_call"), F.col("type").isin("tool_result", "function_response")
-    said = F.when(result, F.coalesce(F.try_variant_get("b", "$.content", "string"), F.lit(""))).otherwise(plain)
-    command = F.coalesce(F.try_variant_get("b", "$.input.command", "string"), F.try_variant_get("b", "$.arguments.command", "string"))
-    failed = F.coalesce(F.try_variant_get("b", "$.is_error", "boolean"), F.lit(False)) | F.coalesce(F.substring(said, 1, 400).rlike(FAILED), F.lit(False))
-    out = b.select(
-        F.lit(agent).alias("agent"), "session", "source", "line", "part",
-        F.when(result, "tool").otherwise(F.col("role")).alias("actor"),
-        F.when(call, "tool_call").when(result, "tool_result").otherwise("message").alias("kind"),
-        "at", F.substring(redact(said, home), 1, MOST_TEXT).alias("text"),
-        F.when(call, canonical_tool(F.try_variant_get("b", "$.name", "string"))).alias("tool"),
-        F.when(call, redact(command, home)).alias("command"), (result & failed).alias("is_error"),
-    ).where("kind != 'tool_call' or tool != ''")
+    layout = LAYOUTS[agent]
+    rows = _records(spark, path, layout, most_file)
+    r, inner = F.col("r"), F.col("r")
+    for name in layout.unwrap:
+        inner = F.coalesce(F.when(_is(F.try_variant_get(r, f"$.{name}", "variant"), "OBJECT"), F.try_variant_get(r, f"$.{name}", "variant")), r)
+    rows = rows.withColumn("x", inner)
+    x, about = F.col("x"), F.col("about")
+    name_of = F.regexp_replace(F.element_at(F.split("source", "/"), -2 if layout.folder_id else -1), r"(?:\.messages)?\.jsonl?$", "")
+    told = rows.groupBy("source").agg(
+        _first(F.coalesce(_get(r, "sessionId", "session_id"), _get(x, "sessionId", "session_id"), F.when(_get(r, "type") == "session_meta", _get(x, "id")), _get(about, "sessionId", "session_id", "id"))).alias("told_id"),
+        _first(F.coalesce(_get(r, "aiTitle", "title"), _get(about, "title", "summary", "name"))).alias("title"),
+        _first(F.coalesce(_folder(r), _folder(x), _folder(about))).alias("workspace"),
+        _first(_get(r, "gitBranch")).alias("branch"),
+        _first(_time(about, ["startTime", "start_time", "createdAt", "lastUpdated"])).alias("begun"),
+    )
+    kind = F.lower(F.coalesce(_get(r, "type"), F.lit("")))
+    side = F.coalesce(F.try_variant_get(r, "$.isSidechain", "boolean"), F.lit(False)) | F.coalesce(_get(r, "promptSource").isin("sdk", "system"), F.lit(False))
+    spoken = F.lower(F.coalesce(_get(x, "message.role", "role", "type", "speaker", "author", "sender"), F.lit("")))
+    actor = F.lit(None).cast("string")
+    for who, names in SPEAKERS.items():
+        actor = F.when(spoken.isin(*names), F.lit(who)).otherwise(actor)
+    # Calls and results that are records themselves have no role.
+    own = _piece(x)
+    alone = own["kind"] != "message"
+    rows = rows.where(~side & ~kind.isin(*layout.skip)).withColumn("who", F.when(alone, F.lit("assistant")).otherwise(actor)).where("who is null or who <> 'system'")
+    pieces = F.when(alone & ~spoken.isin("user", "assistant"), F.array(own)).otherwise(_pieces(x, layout.each_block))
+    each = rows.select("source", "mtime", "line", F.coalesce("who", F.lit("assistant")).alias("who"), F.coalesce(_time(r, TIMES), _time(x, TIMES), _time(x, ["message.timestamp", "message.createdAt"])).alias("at"), F.posexplode(pieces).alias("part", "p"))
+    each = each.join(told, "source")
+    of_tool = (F.col("who") == "tool") & (F.col("p.kind") == "message")
+    kind = F.when(of_tool, F.lit("tool_result")).otherwise(F.col("p.kind"))
+    raw = repair_punctuation(F.col("p.text"))
+    prompt = (kind == "message") & (F.col("who") == "user")
+    clean = F.transform_values(flatten_args(F.col("p.args")), lambda k, v: redact(v, home, keep_mail))
+    args = F.transform_values(clean, lambda k, v: F.when(F.char_length(v) > MOST_ARG, F.concat(F.substring(v, 1, MOST_ARG), F.lit("…"))).otherwise(v))
+    each = each.withColumn("shown", redact(F.when(prompt, clean_prompt(raw)).otherwise(raw), home, keep_mail))
+    shown = F.col("shown")
+    at = F.coalesce("at", "begun", "mtime") if layout.mtime else F.col("at")
+    workspace = F.replace(F.coalesce("workspace", F.lit("")), F.lit(home), F.lit("${HOME}")) if home else F.coalesce("workspace", F.lit(""))
+    out = each.select(
+        F.lit(agent).alias("agent"), F.coalesce("told_id", name_of).alias("session"), "source", "title", workspace.alias("workspace"), repo_name(workspace).alias("repo"), "branch", "line", "part",
+        F.when(kind == "tool_result", "tool").otherwise(F.col("who")).alias("actor"), kind.alias("kind"), at.alias("at"),
+        F.when(F.char_length(shown) > MOST_TEXT, F.concat(F.substring(shown, 1, MOST_TEXT), F.lit("…"))).otherwise(shown).alias("text"),
+        F.when(kind == "tool_call", canonical_tool(F.col("p.name"))).alias("tool"), F.when(kind == "tool_call", args).alias("args"),
+        (kind == "tool_result").__and__(failed(raw, F.col("p.flag"), F.col("p.status"))).alias("is_error"), F.when(prompt, skill_refs(raw)).alias("skills"),
+    )
+    out = out.where("(kind != 'tool_call' or tool != '') and (kind != 'message' or text != '')")
+    shape = F.when(F.col("tool") == "shell", command_shape(extract_command(F.col("args"))))
+    out = out.withColumns({"command": F.when(shape != "", shape), "paths": path_shapes(F.col("args")), "text": F.when(F.size("skills") > 0, without_skill_refs(F.col("text"))).otherwise(F.col("text"))})
     order = Window.partitionBy("session").orderBy("source", "line", "part")
     return out.withColumn("idx", F.row_number().over(order)).where(F.col("idx") <= MOST_TURNS).drop("line", "part")
 
 
+def read_jsonl(spark: SparkSession, path: str, agent: str = "generic", home: str = "") -> DataFrame:
+    """Turns of JSON-lines transcripts in the lenient shape that most tools share."""
+    return read_transcripts(spark, path, agent, home)
+
+
 def agent_stats(turns: DataFrame) -> DataFrame:
     return turns.groupBy("agent").agg(F.countDistinct("session").alias("sessions"), F.count("*").alias("turns"), F.count_if(F.col("kind") == "tool_call").alias("tool_calls"), F.min("at").alias("earliest"), F.max("at").alias("latest"))

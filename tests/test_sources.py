@@ -1,18 +1,79 @@
 import json
 
-from taskloom.sources.transcripts import agent_stats, read_jsonl
+import pytest
 
+from taskloom.sources.transcripts import LAYOUTS, agent_stats, read_jsonl, read_transcripts
 
-def test_jsonl_turns(spark, tmp_path):
+
+def write(folder, name, rows, tail=""):
+    (folder / name).write_text("\n".join(map(json.dumps, rows)) + tail)
+
+
+def turns(spark, folder, agent):
+    return [(r.actor, r.kind, r.text, r.tool, r.command, r.is_error) for r in read_transcripts(spark, str(folder), agent).orderBy("session", "idx").collect()]
+
+
+def test_lines_with_blocks(spark, tmp_path):
     rows = [
-        {"type": "user", "sessionId": "s", "timestamp": "2024-01-01T10:00:00Z", "message": {"role": "user", "content": "build it, token = \"abcdefgh1234\""}},
-        {"type": "assistant", "sessionId": "s", "timestamp": "2024-01-01T10:01:00Z", "message": {"role": "assistant", "content": [{"type": "text", "text": "so"}, {"type": "tool_use", "name": "Bash", "input": {"command": "git status"}}, {"type": "tool_use", "name": "TodoRead", "input": {}}]}},
-        {"type": "user", "sessionId": "s", "timestamp": 1704103320, "message": {"role": "user", "content": [{"type": "tool_result", "content": "Error: no", "is_error": True}]}},
-        {"type": "user", "sessionId": "s", "isSidechain": True, "message": {"role": "user", "content": "aside"}},
+        {"type": "ai-title", "aiTitle": "Build"},
+        {"type": "user", "sessionId": "s", "cwd": "/home/me/work/shop", "gitBranch": "main", "timestamp": "2024-01-01T10:00:00Z", "message": {"role": "user", "content": "<env>x</env> build it, token = \"abcdefgh1234\""}},
+        {"type": "assistant", "timestamp": "2024-01-01T10:01:00Z", "message": {"role": "assistant", "content": [{"type": "text", "text": "so"}, {"type": "tool_use", "name": "Bash", "input": {"command": "cd x && git status -s"}}, {"type": "tool_use", "name": "TodoRead", "input": {}}]}},
+        {"type": "user", "timestamp": 1704103320, "message": {"role": "user", "content": [{"type": "tool_result", "content": [{"type": "text", "text": "12 passed, 0 failed, no errors"}]}]}},
+        {"type": "user", "message": {"role": "user", "content": [{"type": "tool_result", "content": "fatal: no", "is_error": False}]}},
+        {"type": "user", "message": {"role": "user", "content": [{"type": "tool_result", "content": "odd", "is_error": True}]}},
+        {"type": "user", "isSidechain": True, "message": {"role": "user", "content": "aside"}},
+        {"type": "user", "promptSource": "sdk", "message": {"role": "user", "content": "run by a program"}},
     ]
-    (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, rows)) + '\n{"cut": \n\nnot json\n')
-    got = read_jsonl(spark, str(tmp_path)).orderBy("idx").collect()
-    assert [(r.actor, r.kind, r.tool, r.command, r.is_error) for r in got] == [("user", "message", None, None, False), ("assistant", "message", None, None, False), ("assistant", "tool_call", "shell", "git status", False), ("tool", "tool_result", None, None, True)]
-    assert got[0].text == "build it, token=[redacted]"
-    assert all(r["at"] is not None for r in got)
+    write(tmp_path, "a.jsonl", rows, '\n{"cut": \n\nnot json\n')
+    (tmp_path / "empty.jsonl").write_text("")
+    assert turns(spark, tmp_path, "claude") == [
+        ("user", "message", "build it, token=[redacted]", None, None, False), ("assistant", "message", "so", None, None, False), ("assistant", "tool_call", None, "shell", "cd && git status", False),
+        ("tool", "tool_result", "12 passed, 0 failed, no errors", None, None, False), ("tool", "tool_result", "fatal: no", None, None, True), ("tool", "tool_result", "odd", None, None, True),
+    ]
+    r = read_transcripts(spark, str(tmp_path), "claude", "/home/me").first()
+    assert (r.session, r.title, r.workspace, r.repo, r.branch) == ("s", "Build", "${HOME}/work/shop", "shop", "main")
     assert agent_stats(read_jsonl(spark, str(tmp_path))).first().tool_calls == 1
+
+
+def test_payloads(spark, tmp_path):
+    rows = [
+        {"timestamp": "2024-01-01T10:00:00Z", "type": "session_meta", "payload": {"id": "c1", "cwd": "/w/api"}},
+        {"timestamp": "2024-01-01T10:00:01Z", "type": "response_item", "payload": {"type": "message", "role": "developer", "content": [{"type": "input_text", "text": "be good"}]}},
+        {"timestamp": "2024-01-01T10:00:02Z", "type": "response_item", "payload": {"type": "message", "role": "user", "content": [{"type": "input_text", "text": "fix the lint"}]}},
+        {"timestamp": "2024-01-01T10:00:03Z", "type": "response_item", "payload": {"type": "function_call", "name": "shell", "arguments": "{\"command\": \"npm run lint\"}"}},
+        {"timestamp": "2024-01-01T10:00:04Z", "type": "response_item", "payload": {"type": "function_call_output", "output": "Error: lint"}},
+        {"timestamp": "2024-01-01T10:00:05Z", "type": "event_msg", "payload": {"type": "task_complete", "last_agent_message": "done"}},
+    ]
+    write(tmp_path, "c.jsonl", rows)
+    assert turns(spark, tmp_path, "codex") == [("user", "message", "fix the lint", None, None, False), ("assistant", "tool_call", None, "shell", "npm run lint", False), ("tool", "tool_result", "Error: lint", None, None, True)]
+    assert {(r.session, r.repo) for r in read_transcripts(spark, str(tmp_path), "codex").collect()} == {("c1", "api")}
+
+
+PARTS = [
+    {"role": "user", "timestamp": "2024-01-01T10:00:00Z", "parts": [{"text": "tidy the page"}]},
+    {"role": "model", "parts": [{"text": "sure"}, {"functionCall": {"name": "edit", "args": {"file_path": "/w/app/ui/page.tsx"}}}, {"functionResponse": {"name": "edit", "response": "ok"}}]},
+]
+
+
+def test_documents_whole_and_cut_off(spark, tmp_path):
+    whole = json.dumps({"sessionId": "g", "startTime": "2024-01-01T09:00:00Z", "state": {"messages": PARTS}})
+    (tmp_path / "g.json").write_text(whole)
+    want = [("user", "message", "tidy the page", None, None, False), ("assistant", "message", "sure", None, None, False), ("assistant", "tool_call", None, "edit", None, False), ("tool", "tool_result", "ok", None, None, False)]
+    assert turns(spark, tmp_path, "gemini") == want
+    rows = read_transcripts(spark, str(tmp_path), "gemini").orderBy("idx").collect()
+    assert [r.at.hour for r in rows] == [10, 9, 9, 9] and rows[2].paths == ["app/ui/*.tsx"]
+    (tmp_path / "g.json").write_text(whole[: whole.index(', {"role": "model"') + 30])
+    assert turns(spark, tmp_path, "gemini") == want[:1]
+
+
+@pytest.mark.parametrize("agent", ["qwen", "pi", "kimi", "copilot", "cursor", "grok"])
+def test_lenient_records(spark, tmp_path, agent):
+    rows = [
+        {"type": "user", "content": "add a test", "ts": 1704103320000}, {"sender": "ai", "message": {"parts": [{"text": "yes"}]}} if agent not in ("cursor", "grok") else {"role": "assistant", "content": "yes"},
+        {"role": "assistant", "tool_calls": [{"function": {"name": "bash", "arguments": "{\"cmd\": \"git push\"}"}}]}, {"type": "tool_result", "content": "exit code 1"}, {"type": "system", "content": "x"},
+    ]
+    if agent in ("kimi", "copilot"):
+        rows = [{"seq": 1, LAYOUTS[agent].unwrap[0]: r} for r in rows]
+    write(tmp_path, "chat_history.jsonl", rows)
+    got = turns(spark, tmp_path, agent)
+    assert got == [("user", "message", "add a test", None, None, False), ("assistant", "message", "yes", None, None, False), ("assistant", "tool_call", None, "shell", "git push", False), ("tool", "tool_result", "exit code 1", None, None, True)]
