@@ -24,8 +24,8 @@ from .common import dropped, key_filter, stored, with_row_id
 #: Rarity is counted in so many buckets of words: the table sent to tasks has a fixed size.
 BUCKETS = 1 << 18
 _LOW = (1 << 31) - 1
-#: Parts that the lines of one key are dealt into where a line tries its neighbour.
-PARTS = 8
+#: Parts that the lines of one key are dealt into where a line tries its neighbours, and neighbours tried.
+PARTS, NEIGHBOURS = 4, 3
 #: Postings of late lines that may be sent to all tasks, about 100 bytes each; more are shuffled.
 SENT = 200_000
 
@@ -110,14 +110,19 @@ _POSTING = ["k", "_rid", "line", "n", "at", "bits1", "bits2"]
 
 
 def _tried(classes: DataFrame, threshold: float) -> DataFrame:
-    """(one, two): of each line, the line just before it among those with the same key, where it fits.
+    """(one, two): of each line, the likest fitting one of the lines just before it among those with the same key.
 
-    The key is the least hash among the rarer half of the words: near copies mostly have the same.
+    A line has two keys, the least and the greatest hash among the rarer half of
+    its words: near copies mostly share one of them.
     """
     b = F.struct("k", "_rid", "line", "n", F.lit(0).alias("at"), "bits1", "bits2")
-    keyed = classes.select(F.xxhash64("key", F.pmod(F.xxhash64("_rid", "line"), F.lit(PARTS))).alias("key"), "k", "_rid", "line", b.alias("b"))
-    seen = keyed.select("b", F.lag("b").over(Window.partitionBy("key").orderBy("k", "_rid", "line")).alias("a"))
-    return seen.where(_fits("a", "b", threshold)).select(_place("a").alias("one"), _place("b").alias("two"))
+    keyed = classes.select(F.posexplode(F.array("least", "most")).alias("which", "word"), F.pmod(F.xxhash64("_rid", "line"), F.lit(PARTS)).alias("part"), "k", "_rid", "line", b.alias("b"))
+    keyed = keyed.select(F.xxhash64("which", "word", "part").alias("key"), "k", "_rid", "line", "b")
+    order = Window.partitionBy("key").orderBy("k", "_rid", "line")
+    seen = keyed.select("b", *(F.lag("b", d).over(order).alias(f"a{d}") for d in range(1, NEIGHBOURS + 1)))
+    found = [F.when(_fits(f"a{d}", "b", threshold), F.struct(_apart(f"a{d}", "b").alias("apart"), _place(f"a{d}").alias("one"))) for d in range(1, NEIGHBOURS + 1)]
+    best = seen.select(_place("b").alias("two"), F.least(*found).alias("near")).where("near is not null")
+    return best.groupBy("two").agg(F.min("near").alias("near")).select("near.one", "two")
 
 
 def _joined(classes: DataFrame, late: DataFrame, threshold: float) -> DataFrame:
@@ -164,12 +169,12 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, text: str = "text", k
     sets = sets.select("_rid", "k", "line", F.xxhash64("t").alias("c1"), F.hash("t").alias("c2"), F.size("t").alias("n"), F.transform("t", lambda x: x.bitwiseAND(_LOW).cast("int")).alias("w"))
     n, (bits1, bits2) = F.col("n"), _bitmap(F.col("w"))
     prefix = F.slice("w", F.lit(1), n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int") + 1)
-    least = F.array_min(F.slice("w", F.lit(1), F.ceil(n / 2).cast("int")))
+    rarer = F.slice("w", F.lit(1), F.ceil(n / 2).cast("int"))
     # Lines without words go after the table is written: a filter before it would make every word set twice.
-    sets = stored(sets.select("_rid", "k", "line", "c1", "c2", "n", prefix.alias("prefix"), least.alias("key"), bits1.alias("bits1"), bits2.alias("bits2")))
+    sets = stored(sets.select("_rid", "k", "line", "c1", "c2", "n", prefix.alias("prefix"), F.array_min(rarer).alias("least"), F.array_max(rarer).alias("most"), bits1.alias("bits1"), bits2.alias("bits2")))
     some = sets.where("n > 0")
     # Equal sets are one class; its first line stands for it.
-    place, kept = F.struct("k", "_rid", "line"), ["n", "prefix", "key", "bits1", "bits2"]
+    place, kept = F.struct("k", "_rid", "line"), ["n", "prefix", "least", "most", "bits1", "bits2"]
     classes = some.groupBy("c1", "c2").agg(F.min(F.struct(place.alias("place"), *kept)).alias("first"), F.count("*").alias("lines"))
     classes = stored(classes.select("first.place.*", *(f"first.{c}" for c in kept), "c1", "c2", "lines"))
     tried = stored(_tried(classes, threshold))
