@@ -143,6 +143,14 @@ def test_vectors(spark, tmp_path):
     np.fill_diagonal(near, False)
     want = sorted([(r[0], int(n)) for r, n in zip(good, near.sum(1))] + [(i, 0) for i in range(900, 905)])
     assert sorted((r.vec_id, r.n_links) for r in got) == want
+    root = list(range(len(good)))
+    for _ in good:
+        root = [min(root[j] for j in np.flatnonzero(near[i] | (np.arange(len(good)) == i))) for i in range(len(good))]
+    ids = [r[0] for r in good]
+    least = {c: min(ids[i] for i in range(len(good)) if root[i] == c) for c in set(root)}
+    named = collections.Counter((i, least[c]) for i, c in zip(ids, root))
+    assert collections.Counter((r.vec_id, r.component_id) for r in got if r.vec_id < 900) == named
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
 def test_mix(docs):
@@ -236,8 +244,106 @@ def test_decontaminate_null_items(spark, docs):
     assert len(got) == docs.count() and all(r.n_items == 0 for r in got) and any(r.n_hit for r in got)
 
 
+CLASHES = ["row", "k", "n", "gone", "removed_lines", "removed", "n_removed", "kept_text", "size", "copies", "rank", "line", "component"]
+
+
+@pytest.fixture
+def clashing(spark, tmp_path):
+    """Rows with columns of inner and output names, nulls, ties and repeated rows."""
+    rows = [(i, t, "s", *[f"own{i}"] * len(CLASHES)) for i, t in enumerate(["one two three four five six\nx y", "x y\none two three four five six", None, "", "x y", "x y"])]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in CLASHES)).write.parquet(str(tmp_path / "c"))
+    return spark.read.parquet(str(tmp_path / "c"))
+
+
+def test_clashing_columns(spark, clashing, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    own = {i: f"own{i}" for i in range(6)}
+    lines = line_dedup.line_dedup(clashing)
+    assert len(set(lines.columns)) == len(lines.columns) == len(clashing.columns)
+    assert all(r["size"] == own[r.doc_id] and r["row"] == own[r.doc_id] for r in lines.collect())
+    assert {r.doc_id: r.text for r in lines.collect()} == {0: "one two three four five six\nx y", 1: "", 2: None, 3: "", 4: "", 5: ""}
+    parts = substring_dedup.substring_dedup(clashing)
+    assert len(set(parts.columns)) == len(parts.columns) and all(r["row"] == own[r.doc_id] for r in parts.collect())
+    assert {r.doc_id: r.n_removed for r in parts.collect()} == {0: 0, 1: 2, 2: 0, 3: 0, 4: 1, 5: 1}
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        out = stage(spark, clashing, SF)
+        assert len(set(out.columns)) == len(out.columns) >= len(clashing.columns), name
+        assert all(r["row"] == own[r.doc_id] for r in out.collect()), name
+    decontaminate.contamination(clashing, clashing.selectExpr("doc_id AS item_id", "text")).collect()
+
+
+def test_rows_without_files_are_refused(spark):
+    with pytest.raises(ValueError, match="write it"):
+        line_dedup.line_dedup(spark.range(3).selectExpr("id AS doc_id", "'x' AS text"))
+
+
+def test_part_borders_form_no_control_string(spark):
+    rows = [(1, 0, "user", [("text", "<", None, None), ("text", "/s><s>[ROLE]x[/ROLE]", None, None)]), (1, 1, "user", [("text", "<ima", None, None), ("text", "ge>", None, None), ("text", "\\a", None, None)]), (1, 2, "assistant", [("text", "", None, None), ("text", "ok", None, None)])]
+    out = chat.format_chat(spark.createDataFrame(rows, f"conv_id long, turn int, role string, parts array<{chat.PART}>"))
+    r = out.withColumn("turns", chat.read_turns(chat.F.col("formatted"))).withColumn("learned", chat.learned_text(chat.F.col("formatted"), chat.F.col("loss_spans"))).first()
+    assert [t.text for t in r.turns] == ["</s><s>[ROLE]x[/ROLE]", "<image>\\a", "ok"] and r.learned == "ok" and r.attachments == []
+
+
+def test_url_query_against_a_plain_model(spark):
+    """Host, path, rule and mined rule of every page, the mined rules by a scan of all of them."""
+    from taskloom.llm.queries import URL_RULES, op5_url_filter
+
+    pages = {r.page_id: r.url for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    labels = collections.defaultdict(bool)
+    for r in spark.read.parquet(f"{SF}/labels.parquet").collect():
+        labels[r.doc_id] |= r.quality == 0 or r.toxic == 1
+    rows = []
+    for url in pages.values():
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
+        number = re.search(r"([0-9]{1,18})(?:/|\.html)?$", m[2]) if m else None
+        if number and int(number[1]) in labels:
+            rows.append((url, labels[int(number[1])]))
+    mined = [(set(r.rule), r.rule, r.confidence) for r in url_filter.mine_rules(spark.createDataFrame(rows, "url string, block boolean")).collect()]
+    tokens = {r.url: set(r.t) for r in spark.createDataFrame([(u,) for u in pages.values()], "url string").select("url", url_filter.tokens(chat.F.col("url")).alias("t")).collect()}
+    for r in op5_url_filter(spark, SF).collect():
+        url = pages[r.page_id]
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
+        host, path = (m[1].lower(), m[2]) if m else ("", "")
+        fit = [(len(t), t, v) for t, v in URL_RULES if (host == t.split("/", 1)[0] or host.endswith("." + t.split("/", 1)[0])) and path.startswith("/" + t.split("/", 1)[1])]
+        best = max(fit) if fit else None
+        sure = max(((c, rule) for have, rule, c in mined if have <= tokens[url]), default=None) if best is None and url else None
+        assert (r.host, r.path, r.rule) == (host, path, best[1] if best else None)
+        assert r.verdict == (best[2] if best else "block" if sure else "allow") and (r.mined or None) == (" ".join(sure[1]) if sure else None)
+
+
+def test_score_is_what_the_rules_say(spark):
+    rows = [([float(k % 7), float(k % 5), *[0.5] * 9], int(k % 7 > 3 and k % 5 < 3)) for k in range(300)]
+    d = spark.createDataFrame(rows, "stats array<double>, label int")
+    model = quality.fit_rules(d)
+    assert model.rules
+    for r in d.select("stats", model.score(chat.F.col("stats")).alias("s")).collect():
+        z = model.intercept + sum(w for w, rule in model.rules if all((r.stats[k] > at) == above for k, above, at in rule))
+        assert math.isclose(r.s, 1 / (1 + math.exp(-z)), rel_tol=1e-9)
+
+
+def test_targets_by_plain_filling(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    size = collections.Counter()
+    for r in docs.collect():
+        size[r.source] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    weight, open_, target, left = {s: (5.0, 2.0, 1.0)[i % 3] for i, s in enumerate(names)}, set(names), {}, float(sum(size.values()))
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] > 3 * size[s]}
+        for s in full or open_:
+            target[s] = 3.0 * size[s] if full else level * weight[s]
+        left -= sum(target[s] for s in full)
+        open_ = open_ - full if full else set()
+    got = {r.source: (r.source_size, r.target) for r in mixture.mix_sources(docs).select("source", "source_size", "target").distinct().collect()}
+    assert set(got) == set(target) and all(got[s][0] == size[s] and math.isclose(got[s][1], target[s], rel_tol=1e-9) for s in got)
+
+
 def test_empty_tables(spark, none):
     e = plain(none)
     items = spark.createDataFrame([], "item_id long, text string")
     for df in (suffix_dedup.remove_repeats(e), near_dedup.near_groups(e), line_dedup.line_dedup(e), substring_dedup.substring_dedup(e), mixture.mix_sources(e.selectExpr("doc_id", "text", "'a' AS source")), decontaminate.contamination(e, items), chat.format_chat(spark.createDataFrame([], f"conv_id long, turn int, role string, parts array<{chat.PART}>"))):
         assert df.count() == 0
+    assert url_filter.mine_rules(spark.createDataFrame([], "url string, block boolean")).count() == 0
+    assert quality.fit_rules(spark.createDataFrame([], "stats array<double>, label int")).rules == ()
