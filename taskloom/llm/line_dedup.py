@@ -32,23 +32,27 @@ SENT = 200_000
 
 def _plain(text: Column) -> Column:
     """Lower-cased, with single spaces for white space other than line breaks."""
+    spaced = text
     for c in "\t\v\f\r":
-        text = F.replace(text, F.lit(c), F.lit(" "))
-    return F.lower(text)
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    # Few texts hold any of these, and one search is cheaper than four replacements.
+    return F.lower(F.when(text.rlike(r"[\t\x0B\f\r]"), spaced).otherwise(text))
 
 
 def _lines(base: DataFrame) -> DataFrame:
     return base.select("_rid", "k", F.posexplode(F.split("text", "\n")).alias("line", "s"))
 
 
-def _bucket(word: Column) -> Column:
-    return F.hash(word).bitwiseAND(BUCKETS - 1)
+def _bucket(hashed: Column) -> Column:
+    """The bucket of a word by the high bits of its hash; the low 31 tell words of one level apart."""
+    return F.shiftright(hashed, 40).bitwiseAND(BUCKETS - 1).cast("int")
 
 
 def _frequencies(base: DataFrame) -> Column:
     """How many words of all lines fall into each bucket, in eighths of powers of two, as an array literal by bucket."""
-    words = base.select(F.explode(F.split(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
-    counts = words.groupBy(_bucket(F.col("w")).alias("bucket")).agg(F.count("*").alias("n"))
+    # Lower-casing is fast on ASCII alone: by lines, more of the text is.
+    words = _lines(base).select(F.explode(F.split(_plain(F.col("s")), " ")).alias("w"))
+    counts = words.groupBy(_bucket(F.xxhash64("w")).alias("bucket")).agg(F.count("*").alias("n"))
     level = F.coalesce(F.floor(F.log2("n") * 8).cast("int") + 1, F.lit(0))
     cells = base.sparkSession.range(BUCKETS).join(counts, F.col("id") == F.col("bucket"), "left").select("id", level.alias("level"))
     runs = cells.groupBy(F.shiftright("id", 10).alias("run")).agg(F.array_sort(F.collect_list(F.struct("id", "level"))).alias("cells"))
@@ -57,20 +61,30 @@ def _frequencies(base: DataFrame) -> Column:
 
 
 def word_set(line: Column, frequencies: Column) -> Column:
-    """Distinct words as numbers that sort by rarity: the level of the bucket above 31 bits of another hash."""
+    """Distinct words as numbers that sort by rarity: the level of the bucket above 31 bits of the hash."""
 
-    def number(w: Column) -> Column:
-        return F.shiftleft(F.get(frequencies, _bucket(w)), 31).bitwiseOR(F.xxhash64(w).bitwiseAND(_LOW))
+    def number(h: Column) -> Column:
+        # Without nulls, arrays of longs are sorted and compared unboxed.
+        return F.shiftleft(F.coalesce(F.get(frequencies, _bucket(h)), F.lit(0).cast("long")), 31).bitwiseOR(h.bitwiseAND(_LOW))
 
-    return F.sort_array(F.array_remove(F.array_distinct(F.transform(F.split(_plain(line), " "), number)), number(F.lit(""))))
+    hashes = F.array_distinct(F.transform(F.split(_plain(line), " "), lambda w: F.xxhash64(w)))
+    return F.sort_array(F.transform(F.array_remove(hashes, F.xxhash64(F.lit(""))), number))
 
 
-def _bitmap(words: Column) -> tuple[Column, Column]:
-    """128 bits of the 31-bit words of a set, each word turning one of them."""
+#: Sets of more words than this have two bitmaps.
+WIDE = 96
+
+
+def _bitmap(words: Column, n: Column) -> tuple[Column, Column]:
+    """64 bits of the 31-bit words of a set, each word turning one of them, and the same of every other word where there are many.
+
+    The exclusive or of both is the first bitmap of the remaining words, so a
+    large set has 128 bits in all.
+    """
     one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
     all_ = F.aggregate(words, zero, lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", one, x)))
-    high = F.aggregate(words, zero, lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.shiftright(x, 6).bitwiseAND(1).cast("long"), x)))
-    return all_.bitwiseXOR(high), high
+    half = F.aggregate(words, zero, lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.shiftright(x, 6).bitwiseAND(1).cast("long"), x)))
+    return all_, F.when(n > WIDE, half).otherwise(zero)
 
 
 def _hashes(line: Column) -> Column:
@@ -99,7 +113,11 @@ def _fits(a: str, b: str, threshold: float) -> Column:
 
 
 def _apart(a: str, b: str) -> Column:
-    return sum((F.bit_count(F.col(f"{a}.{bits}").bitwiseXOR(F.col(f"{b}.{bits}"))) for bits in ("bits1", "bits2")), F.lit(0))
+    """In how many bits the bitmaps differ, of 128 where both sets are large."""
+    both = F.col(f"{a}.bits1").bitwiseXOR(F.col(f"{b}.bits1"))
+    half = F.col(f"{a}.bits2").bitwiseXOR(F.col(f"{b}.bits2"))
+    wide = (F.col(f"{a}.n") > WIDE) & (F.col(f"{b}.n") > WIDE)
+    return F.when(wide, F.bit_count(both.bitwiseXOR(half)) + F.bit_count(half)).otherwise(F.bit_count(both))
 
 
 def _place(side: str) -> Column:
@@ -167,7 +185,7 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, text: str = "text", k
     base = with_row_id(docs.select(F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("k"), F.col(text).alias("text"))).where("text is not null")
     sets = _lines(base).select("_rid", "k", "line", word_set(F.col("s"), _frequencies(base)).alias("t"))
     sets = sets.select("_rid", "k", "line", F.xxhash64("t").alias("c1"), F.hash("t").alias("c2"), F.size("t").alias("n"), F.transform("t", lambda x: x.bitwiseAND(_LOW).cast("int")).alias("w"))
-    n, (bits1, bits2) = F.col("n"), _bitmap(F.col("w"))
+    n, (bits1, bits2) = F.col("n"), _bitmap(F.col("w"), F.col("n"))
     prefix = F.slice("w", F.lit(1), n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int") + 1)
     rarer = F.slice("w", F.lit(1), F.ceil(n / 2).cast("int"))
     # Lines without words go after the table is written: a filter before it would make every word set twice.
