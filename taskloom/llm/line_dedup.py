@@ -102,7 +102,7 @@ def _fits(a: str, b: str, threshold: float) -> Column:
 
     Each word outside the common ones turns one bit of one bitmap, so bitmaps differ in no more bits than there are such words.
     """
-    n1, n2, i1, i2 = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.at"), F.col(f"{b}.at")
+    n1, n2, i1, i2 = _size(a), _size(b), _at(a), _at(b)
     need = _needed(n1, n2, threshold)
     near = (_apart(a, b) <= (n1 + n2) * F.lit((1 - threshold) / (1 + threshold)) + 1e-9) & (F.least(n1 - i1, n2 - i2) >= need)
     near = near & (n1 >= n2 * F.lit(threshold) - 1e-9) & (n2 >= n1 * F.lit(threshold) - 1e-9)
@@ -116,7 +116,7 @@ def _apart(a: str, b: str) -> Column:
     """In how many bits the bitmaps differ, of 128 where both sets are large."""
     both = F.col(f"{a}.bits1").bitwiseXOR(F.col(f"{b}.bits1"))
     half = F.col(f"{a}.bits2").bitwiseXOR(F.col(f"{b}.bits2"))
-    wide = (F.col(f"{a}.n") > WIDE) & (F.col(f"{b}.n") > WIDE)
+    wide = (_size(a) > WIDE) & (_size(b) > WIDE)
     return F.when(wide, F.bit_count(both.bitwiseXOR(half)) + F.bit_count(half)).otherwise(F.bit_count(both))
 
 
@@ -124,7 +124,20 @@ def _place(side: str) -> Column:
     return F.struct(*(F.col(f"{side}.{c}").alias(c) for c in ("k", "_rid", "line")))
 
 
-_POSTING = ["k", "_rid", "line", "n", "at", "bits1", "bits2"]
+_POSTING = ["k", "_rid", "line", "n_at", "bits1", "bits2"]
+
+
+def _packed(at: Column) -> Column:
+    """Size and place in one long: postings are most of what is shuffled."""
+    return F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(at.cast("long")).alias("n_at")
+
+
+def _size(side: str) -> Column:
+    return F.shiftright(F.col(f"{side}.n_at"), 32)
+
+
+def _at(side: str) -> Column:
+    return F.col(f"{side}.n_at").bitwiseAND((1 << 32) - 1)
 
 
 def _tried(classes: DataFrame, threshold: float) -> DataFrame:
@@ -133,7 +146,7 @@ def _tried(classes: DataFrame, threshold: float) -> DataFrame:
     A line has two keys, the least and the greatest hash among the rarer half of
     its words: near copies mostly share one of them.
     """
-    b = F.struct("k", "_rid", "line", "n", F.lit(0).alias("at"), "bits1", "bits2")
+    b = F.struct("k", "_rid", "line", _packed(F.lit(0)), "bits1", "bits2")
     keyed = classes.select(F.posexplode(F.array("least", "most")).alias("which", "word"), F.pmod(F.xxhash64("_rid", "line"), F.lit(PARTS)).alias("part"), "k", "_rid", "line", b.alias("b"))
     keyed = keyed.select(F.xxhash64("which", "word", "part").alias("key"), "k", "_rid", "line", "b")
     order = Window.partitionBy("key").orderBy("k", "_rid", "line")
@@ -147,6 +160,7 @@ def _joined(classes: DataFrame, late: DataFrame, threshold: float) -> DataFrame:
     """(one, two, apart): all fitting pairs of an open line with a line before it."""
     flagged = classes.join(late.select("two._rid", "two.line", F.lit(True).alias("late")), ["_rid", "line"], "left")
     index = flagged.select("late", "k", "_rid", "line", "n", "bits1", "bits2", F.posexplode("prefix").alias("at", "word"))
+    index = index.select("late", "word", "k", "_rid", "line", _packed(F.col("at")), "bits1", "bits2")
     open_, gone = index.where("late is null").select("word", *_POSTING), stored(index.where("late").select("word", *_POSTING))
 
     def pairs(a: DataFrame) -> DataFrame:
@@ -160,7 +174,9 @@ def _texts(pairs: DataFrame, base: DataFrame) -> DataFrame:
     """(_rid, line, s): the lines that the pairs ask for, read again; no other line is shuffled but for a few."""
     sides = (pairs.select(F.col(f"{side}._rid").alias("_rid"), F.col(f"{side}.line").alias("line")).distinct() for side in ("one", "two"))
     asked = stored(next(sides).union(next(sides)).distinct())
-    found = stored(_lines(base).where(key_filter(asked, "_rid", "line")).select("_rid", "line", "s"))
+    # Texts without such a line aren't even split.
+    some = base.where(key_filter(asked.select("_rid").distinct(), "_rid"))
+    found = stored(_lines(some).where(key_filter(asked, "_rid", "line")).select("_rid", "line", "s"))
     dropped(asked)
     return found
 
