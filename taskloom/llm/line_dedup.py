@@ -7,11 +7,12 @@ words applies the length, positional and bitmap bounds; what is left is verified
 on the words themselves. A line goes when a line before it, in (key, row, line)
 order, is as similar as that, whether or not that one stays.
 
-One similar line before it settles a line, so not all links of a group of near
-copies are listed. Lines first try their neighbours in the postings of a few
-prefix words; those that no neighbour settles are joined with every line before
-them. Words are told by hashes: 48 bits in the order and in the prefixes, 64 bits
-in the verification.
+``similar_lines`` gives the whole join: every verified link between classes of
+lines with equal sets, and the members of the classes. ``removed_lines`` asks for
+less: one similar line before it settles a line. There, lines first try their
+neighbours in the postings of a few prefix words; those that no neighbour settles
+are joined with every line before them. Words are told by hashes: 48 bits in the
+order and in the prefixes, 64 bits in the verification.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, key_filter, stored, with_row_id
+from .common import connected_components, dropped, key_filter, stored, with_row_id
 
 #: Rarity is counted in so many buckets of words: the table sent to tasks has a fixed size.
 BUCKETS = 1 << 18
@@ -156,6 +157,18 @@ def _tried(classes: DataFrame, threshold: float) -> DataFrame:
     return best.groupBy("two").agg(F.min("near").alias("near")).select("near.one", "two")
 
 
+def _index(classes: DataFrame) -> DataFrame:
+    """The postings of all prefix words."""
+    return classes.select("k", "_rid", "line", "n", "bits1", "bits2", F.posexplode("prefix").alias("at", "word")).select("word", "k", "_rid", "line", _packed(F.col("at")), "bits1", "bits2")
+
+
+def _candidates(classes: DataFrame, threshold: float) -> DataFrame:
+    """(one, two): all pairs of lines that share a prefix word and fit."""
+    index = _index(classes)
+    hit = (F.col("a.word") == F.col("b.word")) & _fits("a", "b", threshold)
+    return index.alias("a").join(index.alias("b"), hit).select(_place("a").alias("one"), _place("b").alias("two")).distinct()
+
+
 def _joined(classes: DataFrame, late: DataFrame, threshold: float) -> DataFrame:
     """(one, two, apart): all fitting pairs of an open line with a line before it."""
     flagged = classes.join(late.select("two._rid", "two.line", F.lit(True).alias("late")), ["_rid", "line"], "left")
@@ -181,24 +194,26 @@ def _texts(pairs: DataFrame, base: DataFrame) -> DataFrame:
     return found
 
 
-def _alike(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The ``two`` of the pairs (one, two) whose word sets are as similar as that."""
-    flat = pairs.select(F.col("one._rid").alias("r1"), F.col("one.line").alias("l1"), F.col("two._rid").alias("r2"), F.col("two.line").alias("l2"), "two")
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (one, two) whose word sets are as similar as that."""
+    flat = pairs.select(F.col("one._rid").alias("r1"), F.col("one.line").alias("l1"), F.col("two._rid").alias("r2"), F.col("two.line").alias("l2"), "one", "two")
     t1, t2 = (texts.select(F.col("_rid").alias(f"r{i}"), F.col("line").alias(f"l{i}"), F.col("s").alias(f"s{i}")) for i in (1, 2))
-    both = flat.join(t2, ["r2", "l2"]).join(t1, ["r1", "l1"]).select("two", _hashes(F.col("s1")).alias("w1"), _hashes(F.col("s2")).alias("w2"))
+    both = flat.join(t2, ["r2", "l2"]).join(t1, ["r1", "l1"]).select("one", "two", _hashes(F.col("s1")).alias("w1"), _hashes(F.col("s2")).alias("w2"))
     common, n1, n2 = (F.size(w) - 1 for w in (F.array_intersect("w1", "w2"), "w1", "w2"))
-    return stored(both.where(common >= _needed(n1, n2, threshold)).select("two").distinct())
+    return both.where(common >= _needed(n1, n2, threshold)).select("one", "two")
 
 
-def removed_lines(docs: DataFrame, threshold: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(_rid, line): the lines to remove, numbered from 0.
+def _alike(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The ``two`` of the pairs that are as similar as that."""
+    return stored(_verified(pairs, texts, threshold).select("two").distinct())
 
-    docs must be read from files. Lines without words stay. Order is by key
-    (null last), then row, then line, so repeated rows and ties have one. Null
-    and empty texts have no line to remove; an empty table gives no rows. Other
-    columns of docs, whatever their names, play no part.
-    """
-    base = with_row_id(docs.select(F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("k"), F.col(text).alias("text"))).where("text is not null")
+
+def _base(docs: DataFrame, text: str, key: str) -> DataFrame:
+    return with_row_id(docs.select(F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("k"), F.col(text).alias("text"))).where("text is not null")
+
+
+def _classes(base: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(lines with words, classes of equal sets); a class stands at its first line and counts its lines."""
     sets = _lines(base).select("_rid", "k", "line", word_set(F.col("s"), _frequencies(base)).alias("t"))
     sets = sets.select("_rid", "k", "line", F.xxhash64("t").alias("c1"), F.hash("t").alias("c2"), F.size("t").alias("n"), F.transform("t", lambda x: x.bitwiseAND(_LOW).cast("int")).alias("w"))
     n, (bits1, bits2) = F.col("n"), _bitmap(F.col("w"), F.col("n"))
@@ -207,10 +222,64 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, text: str = "text", k
     # Lines without words go after the table is written: a filter before it would make every word set twice.
     sets = stored(sets.select("_rid", "k", "line", "c1", "c2", "n", prefix.alias("prefix"), F.array_min(rarer).alias("least"), F.array_max(rarer).alias("most"), bits1.alias("bits1"), bits2.alias("bits2")))
     some = sets.where("n > 0")
-    # Equal sets are one class; its first line stands for it.
     place, kept = F.struct("k", "_rid", "line"), ["n", "prefix", "least", "most", "bits1", "bits2"]
     classes = some.groupBy("c1", "c2").agg(F.min(F.struct(place.alias("place"), *kept)).alias("first"), F.count("*").alias("lines"))
-    classes = stored(classes.select("first.place.*", *(f"first.{c}" for c in kept), "c1", "c2", "lines"))
+    return some, stored(classes.select("first.place.*", *(f"first.{c}" for c in kept), "c1", "c2", "lines"))
+
+
+def similar_lines(docs: DataFrame, threshold: float = 0.8, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(members, links): the whole join.
+
+    members has a row for each line with words: its place (k, _rid, line), the
+    place ``first`` of the first line with the same words, which stands for the
+    class, and ``lines``, the size of the class. links has every pair (one, two)
+    of classes, told by their first lines, whose sets are as similar as that,
+    ``one`` being before ``two``. Order, nulls, ties, empty tables and other
+    columns as in ``removed_lines``.
+    """
+    base = _base(docs, text, key)
+    some, classes = _classes(base, threshold)
+    pairs = stored(_candidates(classes, threshold))
+    texts = _texts(pairs, base)
+    links = stored(_verified(pairs, texts, threshold))
+    for t in (pairs, texts):
+        dropped(t)
+    firsts = classes.select("c1", "c2", F.struct("k", "_rid", "line").alias("first"), "lines")
+    return some.select("k", "_rid", "line", "c1", "c2").join(firsts, ["c1", "c2"]).drop("c1", "c2"), links
+
+
+def line_links(docs: DataFrame, threshold: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(_rid, removed, n_links, component): one row for each row of docs whose text has a line with words.
+
+    removed holds the line numbers that ``removed_lines`` gives, sorted. n_links
+    counts, over the lines of the text, the other lines that are similar, those
+    of the same text and equal ones included. Texts with similar lines hang
+    together; component is the least _rid of those that do.
+    """
+    members, links = similar_lines(docs, threshold, text, key)
+    members = stored(members)
+    sides = links.select(F.col("one").alias("first"), F.col("two").alias("other")).union(links.select(F.col("two").alias("first"), F.col("one").alias("other")))
+    sizes = members.where(F.struct("k", "_rid", "line") == F.col("first")).select(F.col("first").alias("other"), F.col("lines").alias("far"))
+    of_class = sides.join(sizes, "other").groupBy("first").agg(F.sum("far").alias("far"), F.max(F.col("other") < F.col("first")).alias("late"))
+    lines = members.join(of_class, "first", "left")
+    gone = F.col("late") | (F.struct("k", "_rid", "line") != F.col("first"))
+    by_text = lines.groupBy("_rid").agg(F.array_sort(F.collect_list(F.when(gone, F.col("line")))).alias("removed"), F.sum(F.coalesce("far", F.lit(0)) + F.col("lines") - 1).alias("n_links"))
+    edges = links.select(F.col("one._rid").alias("a"), F.col("two._rid").alias("b")).union(members.select(F.col("first._rid").alias("a"), F.col("_rid").alias("b")))
+    parts = connected_components(edges).withColumnRenamed("id", "_rid")
+    return by_text.join(parts, "_rid", "left").select("_rid", "removed", "n_links", F.coalesce("component", "_rid").alias("component"))
+
+
+def removed_lines(docs: DataFrame, threshold: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(_rid, line): the lines to remove, numbered from 0.
+
+    docs must be read from files. Lines without words stay. Order is by key
+    (null last), then row, then line, so repeated rows and ties have one. Null
+    and empty texts have no line to remove; an empty table gives no rows. Other
+    columns of docs, whatever their names, play no part.
+    """
+    base = _base(docs, text, key)
+    some, classes = _classes(base, threshold)
+    place = F.struct("k", "_rid", "line")
     tried = stored(_tried(classes, threshold))
     soon = _alike(tried, _texts(tried, base), threshold)
     others = stored(_joined(classes, soon, threshold))

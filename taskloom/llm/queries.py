@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import chat, decontaminate, mixture, near_dedup, quality, substring_dedup, suffix_dedup, url_filter, vector_dedup
 from .common import stored, table, with_row_id
-from .line_dedup import removed_lines
+from .line_dedup import line_links
 
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 INJECTION = "</s>[INST] ok [/INST]"
@@ -88,9 +88,18 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    base = with_row_id(docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines")))
-    gone = removed_lines(docs).groupBy("_rid").agg(F.array_sort(F.collect_list("line")).alias("gone"))
-    return base.join(gone, "_rid", "left").select("doc_id", F.when(F.col("n_lines") > 0, F.col("n_lines")).otherwise(0).alias("n_lines"), F.greatest(F.coalesce(F.size("gone"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed_lines"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    base = with_row_id(docs.select("doc_id", n_lines.alias("n_lines")))
+    named = stored(base.join(line_links(docs), "_rid", "left").withColumn("component", F.coalesce("component", "_rid")))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    return named.join(least, "component").select(
+        "doc_id",
+        "n_lines",
+        F.greatest(F.coalesce(F.size("removed"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed_lines"),
+        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+        "class_id",
+    )
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,6 +137,43 @@ gone AS (
   SELECT doc_id, sum(stop - beg) AS chars, count(*) AS n, string_agg(beg::BIGINT || '-' || stop::BIGINT || '-' || first_rank, ',' ORDER BY beg) AS spans FROM units WHERE r > 1 GROUP BY doc_id)
 SELECT d.doc_id, coalesce(chars, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans, coalesce(spans, '') AS spans
 FROM documents d LEFT JOIN gone USING (doc_id)""",
+    "op2_minhash_near_dedup": """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+grams AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS s FROM words WHERE len(w) > 0),
+weights AS (SELECT doc_id, array_to_string(w[s:s + 4], ' ') AS g, count(*) AS n FROM grams GROUP BY ALL),
+totals AS (SELECT doc_id, sum(n) AS total FROM weights GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.n, y.n)) AS shared FROM weights x JOIN weights y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN totals p ON p.doc_id = a JOIN totals q ON q.doc_id = b WHERE shared >= 0.8::DOUBLE * (p.total + q.total - shared)),
+reach AS (SELECT a AS doc_id, a AS other FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+groups AS (SELECT doc_id, min(other) AS class_id, count(*) AS group_size FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(group_size, 1) AS group_size, coalesce(class_id, doc_id) = doc_id AS kept
+FROM documents LEFT JOIN groups USING (doc_id)""",
+    "op3_embedding_near_dedup": """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (SELECT a AS vec_id, a AS other FROM links UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+parts AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN parts USING (vec_id) LEFT JOIN counts USING (vec_id)""",
+    "op6_suffix_dedup": """
+WITH bytes AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+starts AS (SELECT doc_id, s, md5_number(b[s:s + 199]) AS m FROM (SELECT doc_id, b, unnest(range(1, n - 198)) AS s FROM bytes WHERE n >= 200)),
+again AS (SELECT m FROM starts GROUP BY m HAVING count(*) > 1),
+marks AS (SELECT doc_id, s, s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS step FROM starts SEMI JOIN again USING (m)),
+runs AS (SELECT doc_id, s, count(*) FILTER (step IS NULL OR step > 200) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM marks),
+spans AS (SELECT doc_id, run, min(s) AS beg, max(s) + 200 AS stop FROM runs GROUP BY ALL),
+gaps AS (SELECT doc_id, beg, stop, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY beg), 1) AS before FROM spans),
+heads AS (SELECT doc_id, sum(stop - beg) AS gone, count(*) AS k, max(stop) AS last, string_agg(CASE WHEN before < beg THEN hex(b[before:beg - 1]) ELSE '' END, '' ORDER BY beg) AS head FROM gaps JOIN bytes USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(k, 0)::BIGINT AS n_spans,
+  sha256(CASE WHEN k IS NULL THEN b ELSE unhex(head || CASE WHEN last <= n THEN hex(b[last:n]) ELSE '' END) END) AS kept_sha256
+FROM bytes LEFT JOIN heads USING (doc_id)""",
     "op7_chat_format": f"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -138,6 +184,33 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(length('<s>[ROLE][/ROLE]</s>') + length({_sql_escape("role")}) + length({_sql_escape("text")}))::BIGINT AS formatted_chars
 FROM rows GROUP BY conv_id""",
+    "op8_line_dedup": """
+WITH RECURSIVE split AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents),
+lines AS (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) - 1 AS line FROM split),
+filled AS (
+  SELECT doc_id, line, list_sort(list_distinct(list_filter(string_split(lower(regexp_replace(s, '[\x09\x0B-\x0D]', ' ', 'g')), ' '), lambda x: x <> ''))) AS w FROM lines),
+worded AS (SELECT doc_id, line, w, {'d': doc_id, 'l': line} AS place FROM filled WHERE len(w) > 0),
+sets AS MATERIALIZED (SELECT w, min(place) AS first, count(*) AS lines, len(w) AS n FROM worded GROUP BY w),
+words AS (SELECT first, n, unnest(w) AS x FROM sets),
+ranked AS (SELECT first, n, x, row_number() OVER (PARTITION BY first ORDER BY df, x) AS r FROM words JOIN (SELECT x, count(*) AS df FROM words GROUP BY x) USING (x)),
+prefixes AS (SELECT first, n, x FROM ranked WHERE r <= n - (4 * n + 4) // 5 + 1),
+pairs AS (SELECT DISTINCT a.first AS one, b.first AS two FROM prefixes a JOIN prefixes b ON a.x = b.x AND a.first < b.first AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+links AS MATERIALIZED (
+  SELECT one, two, p.lines AS lines1, q.lines AS lines2 FROM pairs JOIN sets p ON p.first = one JOIN sets q ON q.first = two WHERE 9 * len(list_intersect(p.w, q.w)) >= 4 * (p.n + q.n)),
+of_set AS (
+  SELECT first, sum(far) AS far, bool_or(late) AS late
+  FROM (SELECT one AS first, lines2 AS far, false AS late FROM links UNION ALL SELECT two, lines1, true FROM links) GROUP BY first),
+judged AS MATERIALIZED (
+  SELECT doc_id, line, first, coalesce(late, false) OR place <> first AS gone, coalesce(far, 0) + lines - 1 AS n FROM worded JOIN sets USING (w) LEFT JOIN of_set USING (first)),
+of_doc AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(line::VARCHAR, ',' ORDER BY line) FILTER (gone) AS removed_lines, sum(n) AS n_links FROM judged GROUP BY doc_id),
+near AS (SELECT one.d AS a, two.d AS b FROM links UNION SELECT first.d, doc_id FROM judged),
+edges AS (SELECT a, b FROM near WHERE a <> b UNION SELECT b, a FROM near WHERE a <> b),
+reach AS (SELECT a AS doc_id, a AS other FROM edges UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON e.a = r.other),
+classes AS (SELECT doc_id, min(other) AS class_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(len(s), 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed_lines, '') AS removed_lines,
+  coalesce(n_links, 0)::BIGINT AS n_links, coalesce(class_id, doc_id) AS class_id
+FROM split LEFT JOIN of_doc USING (doc_id) LEFT JOIN classes USING (doc_id)""",
     "op10_decontaminate": """
 WITH words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),

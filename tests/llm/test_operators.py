@@ -45,7 +45,7 @@ def plain(docs):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want, got = con.execute(ORACLES[name]).df(), QUERIES[name](spark, SF).toPandas()
     columns = sorted(want.columns)
@@ -104,6 +104,27 @@ def test_lines(docs, monkeypatch, sent):
     assert sorted(map(str, [(r.doc_id, r.text, r["_rid"]) for r in out.collect()])) == sorted(str((r.doc_id, text[r._rid], others[r._rid])) for r in rows)
 
 
+def test_line_links(docs):
+    """All links, not one witness a line: counts, components and removed lines by plain Python."""
+    rows = sorted(with_row_id(docs.select("doc_id", "text")).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r._rid))
+    lines = [(r._rid, i, frozenset(line.lower().split())) for r in rows if r.text is not None for i, line in enumerate(r.text.split("\n"))]
+    lines = [x for x in lines if x[2]]
+    links, root = collections.Counter(), {r: r for r, _, _ in lines}
+    for at, (r, i, w) in enumerate(lines):
+        for s, _, v in lines[:at]:
+            if len(w & v) >= 0.8 * len(w | v) - 1e-9:
+                links[r] += 1
+                links[s] += 1
+                old, new = max(root[r], root[s]), min(root[r], root[s])
+                root = {k: new if x == old else x for k, x in root.items()}
+    gone = late_lines([(r.doc_id, r.text) for r in rows])
+    removed = collections.defaultdict(list)
+    for k, i in sorted(gone):
+        removed[rows[k]._rid].append(i)
+    got = {r._rid: (r.removed, r.n_links, r.component) for r in line_dedup.line_links(plain(docs)).collect()}
+    assert got == {r: (removed[r], links[r], root[r]) for r in root}
+
+
 def test_near_groups(docs):
     rows = docs.select("doc_id", "text").collect()
     sets = []
