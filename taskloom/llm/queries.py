@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixture, near_dedup, quality, substring_dedup, suffix_dedup, url_filter, vector_dedup
+from . import align, chat, decontaminate, mixture, near_dedup, quality, resample, substring_dedup, suffix_dedup, topk, url_filter, vector_dedup
 from .common import stored, table, with_row_id
 from .line_dedup import line_links
 
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 INJECTION = "</s>[INST] ok [/INST]"
+#: Where the vocabulary files of tokenizers are, on the driver and on every executor.
+TOKENIZERS = "/opt/tokenizers"
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +116,30 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_row_id(docs.select("doc_id")).join(found, "_rid").select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op3_embedding_near_dedup, op4_quality_classifier, op5_url_filter, op6_suffix_dedup, op7_chat_format, op8_line_dedup, op9_mix_sources, op10_decontaminate)}
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found, _ = align.align(docs, f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
+    return with_row_id(docs.select("doc_id")).join(found, "_rid").drop("_rid")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    drawn = resample.resample(docs, table(spark, sf_dir, "benchmark"))
+    return with_row_id(docs.select("doc_id")).join(drawn, "_rid").select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup, op2_minhash_near_dedup, op3_embedding_near_dedup, op4_quality_classifier, op5_url_filter, op6_suffix_dedup, op7_chat_format, op8_line_dedup, op9_mix_sources, op10_decontaminate,
+        op11_tokenizer_alignment, op12_importance_resampling, op13_exact_topk,
+    )
+}
+
 
 def _sql_escape(text: str) -> str:
     out = f"replace({text}, '\\', '\\\\')"
@@ -226,4 +251,39 @@ which AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS i
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN which USING (doc_id)""",
+    "op12_importance_resampling": """
+WITH RECURSIVE words AS (
+  SELECT doc_id, false AS aim, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT item_id, true, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+runs AS MATERIALIZED (
+  SELECT doc_id, aim, f, count(*) AS n FROM (
+    SELECT doc_id, aim, unnest(w) AS f FROM words UNION ALL
+    SELECT doc_id, aim, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words) GROUP BY ALL),
+steps(i, c, k) AS (SELECT i, i, 0 FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+bytes AS MATERIALIZED (SELECT i, c FROM steps WHERE k = 8),
+names AS MATERIALIZED (SELECT f, hex(encode(f)) AS h, row_number() OVER () AS id FROM (SELECT DISTINCT f FROM runs)),
+crc(id, h, c) AS (
+  SELECT id, h, 4294967295 FROM names UNION ALL
+  SELECT id, substr(h, 3), xor(crc.c >> 8, bytes.c) FROM crc JOIN bytes ON i = xor(crc.c & 255, ('0x' || left(h, 2))::BIGINT) WHERE h <> ''),
+buckets AS MATERIALIZED (SELECT f, xor(c, 4294967295) % 10000 AS b FROM crc JOIN names USING (id) WHERE crc.h = ''),
+hashed AS MATERIALIZED (SELECT doc_id, aim, b, sum(n) AS n FROM runs JOIN buckets USING (f) GROUP BY ALL),
+sums AS (SELECT b, coalesce(sum(n) FILTER (NOT aim), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (aim), 0)::DOUBLE AS t FROM hashed GROUP BY b),
+gains AS (SELECT b, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM sums) + 10000) / ((s + 1) * ((SELECT sum(t) FROM sums) + 10000))))::BIGINT AS g FROM sums),
+means AS (SELECT doc_id, sum(n)::BIGINT AS n_features, floor(sum(n * g)::DOUBLE / sum(n)::DOUBLE)::BIGINT AS weight FROM hashed JOIN gains USING (b) WHERE NOT aim GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('7:' || doc_id), 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM words LEFT JOIN means USING (doc_id) WHERE NOT aim),
+places AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS able FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * able // 100 THEN rank END AS rank FROM scored LEFT JOIN places USING (doc_id)""",
+    "op13_exact_topk": """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM vectors a JOIN vectors b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+ranks AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scores)
+SELECT query_id, rank, vec_id, score FROM ranks WHERE rank <= 5""",
 }
