@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bound
+
 #: Programs whose first words, one or two, say what they do.
 ONE_WORD = (
     "git npm pnpm yarn bun npx bunx docker kubectl cargo go make brew terraform vercel supabase prisma drizzle-kit wrangler flyctl fly pip pip3 poetry uv "
@@ -28,15 +30,21 @@ def _program(field: Column) -> Column:
 
 
 def _segment(segment: Column) -> Column:
-    fields = F.regexp_extract_all(segment, F.lit(FIELD), F.lit(0))
-    starts = F.transform(fields, lambda f: ~f.rlike("^[A-Za-z_][A-Za-z0-9_]*=") & ~_program(f).isin(*WRAPPERS))
-    fields = F.slice(fields, F.greatest(F.array_position(starts, True), F.lit(1)).cast("int"), F.size(fields))
-    program = F.when(F.array_position(starts, True) > 0, _program(F.get(fields, 0))).otherwise(F.lit(""))
-    rest = F.transform(F.filter(F.slice(fields, 2, F.size(fields)), lambda f: ~f.startswith("-")), lambda f: F.lower(F.btrim(f, F.lit("\"'"))))
-    rest = F.filter(rest, lambda f: (f != "") & ~f.isin(".", "..") & ~f.rlike(r"[/\\]|^[$~]"))
-    run = F.when(program.isin(*RUNNERS) & (F.get(rest, 0) == "run"), F.when(F.get(rest, 1) == "run", 3).otherwise(2)).otherwise(1)
-    taken = F.when(program.isin(*TWO_WORDS), F.slice(rest, 1, 2)).when(program.isin(*ONE_WORD), F.slice(rest, F.lit(1), run)).otherwise(F.array().cast("array<string>"))
-    return F.array_join(F.concat(F.array(program), taken), " ")
+    def placed(fields: Column) -> Column:
+        starts = F.transform(fields, lambda f: ~f.rlike("^[A-Za-z_][A-Za-z0-9_]*=") & ~_program(f).isin(*WRAPPERS))
+        return bound(F.array_position(starts, True).cast("int"), lambda at: F.when(at > 0, named(F.slice(fields, at, F.size(fields)))).otherwise(F.lit("")))
+
+    def named(fields: Column) -> Column:
+        rest = F.transform(F.filter(F.slice(fields, 2, F.size(fields)), lambda f: ~f.startswith("-")), lambda f: F.lower(F.btrim(f, F.lit("\"'"))))
+        rest = F.filter(rest, lambda f: (f != "") & ~f.isin(".", "..") & ~f.rlike(r"[/\\]|^[$~]"))
+        return bound(F.struct(_program(F.get(fields, 0)).alias("program"), rest.alias("rest")), lambda p: shaped(p["program"], p["rest"]))
+
+    def shaped(program: Column, rest: Column) -> Column:
+        run = F.when(program.isin(*RUNNERS) & (F.get(rest, 0) == "run"), F.when(F.get(rest, 1) == "run", 3).otherwise(2)).otherwise(1)
+        taken = F.when(program.isin(*TWO_WORDS), F.slice(rest, 1, 2)).when(program.isin(*ONE_WORD), F.slice(rest, F.lit(1), run)).otherwise(F.array().cast("array<string>"))
+        return F.array_join(F.concat(F.array(program), taken), " ")
+
+    return bound(F.regexp_extract_all(segment, F.lit(FIELD), F.lit(0)), placed)
 
 
 def command_shape(command: Column) -> Column:

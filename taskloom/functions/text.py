@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,6 +31,11 @@ def _marker(pattern: str) -> str:
     return "(?i)" + pattern.replace("<", "(?<![0-9A-Za-z_])").replace(">", "(?![0-9A-Za-z_])")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, with the value standing in the expression once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def tokens(text: Column, stopwords: list[str] | tuple[str, ...] = tuple(STOPWORDS)) -> Column:
     """Lower-case words of two characters at least, without stopwords and numbers, in order."""
     found = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9][a-z0-9_\-.]*"), F.lit(0)), lambda w: F.btrim(w, F.lit("-._")))

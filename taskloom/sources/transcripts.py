@@ -4,7 +4,8 @@ Every tool writes records of about one shape: a role, a content that is a text o
 a list of blocks, tool calls inside or beside it, and a time. Records are read as
 variants and taken apart by path, so a malformed record costs only itself. A
 ``Layout`` says what differs between tools: lines or whole documents, where the
-session's id is, and what is unwrapped or left out. One file is one session.
+session's id is, what is unwrapped or left out, and which file beside a
+transcript says what the session is about. One file is one session.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from pyspark.sql.types import ArrayType, StringType
 from ..functions.commands import command_shape, extract_command, failed, flatten_args, path_shapes, repo_name
 from ..functions.prompts import clean_prompt, repair_punctuation, skill_refs, without_skill_refs
 from ..functions.redact import redact
+from ..functions.text import bound
 from ..functions.tools import canonical_tool
+from ..written import written
 
 MOST_TURNS, MOST_TEXT, MOST_ARG, MOST_FILE = 4000, 8000, 400, 256 << 20
 
@@ -39,6 +42,19 @@ TIMES = ["timestamp", "time", "createdAt", "created_at", "ts", "date"]
 CALLS = ["tool_calls", "toolCalls", "function_calls", "functionCalls"]
 
 
+@dataclass(frozen=True)
+class About:
+    """A file beside the transcripts that says what a session is about; it belongs to the transcripts with the same ``owner``."""
+
+    glob: str
+    owner: str  # what of the file's path tells the session
+    transcript: str  # what of a transcript's path does
+    title: tuple[str, ...] = ()
+    id: tuple[str, ...] = ()
+    begun: tuple[str, ...] = ()
+    folder: tuple[str, ...] = ()
+
+
 @dataclass(frozen=True)
 class Layout:
     """How a tool stores its sessions."""
@@ -49,27 +65,43 @@ class Layout:
     each_block: bool = False  # every text block is a message of its own
     mtime: bool = True  # undated records take the file's time
     skip: tuple[str, ...] = ()  # types of records that are no turns
-    folder_id: bool = False  # the session's id is the name of its folder
+    spoken: tuple[tuple[str, str], ...] = ()  # how types of records begin, and who speaks; other types are no turns
+    session: str = r"([^/]*?)(?:\.messages)?\.jsonl?$"  # what of the path is the session's id
+    project: str = ""  # what of the path names the project, where nothing else does
+    slug: bool = False  # that name has hyphens for separators, else it is percent-encoded
+    about: About | None = None
+
 
+_FOLDER_ID = r"([^/]*)/[^/]*$"
 
+#: Where each tool keeps what, and how it names it.
 LAYOUTS = {
     "generic": Layout(),
     "claude": Layout(each_block=True, mtime=False, skip=("system", "summary", "ai-title", "attachment", "progress")),
     "codex": Layout(unwrap=("payload",), mtime=False, skip=("session_meta", "turn_context", "event_msg")),
-    "cursor": Layout(each_block=True),
+    "cursor": Layout(each_block=True, project=r"([^/]*)/agent-transcripts/", slug=True),
     "gemini": Layout(glob="*.json", document=True),
-    "grok": Layout(glob="chat_history.jsonl", skip=("system", "reasoning"), folder_id=True),
+    "grok": Layout(
+        glob="chat_history.jsonl", skip=("system", "reasoning"), session=_FOLDER_ID, project=r"([^/]*)/[^/]*/[^/]*$",
+        about=About("summary.json", r"^(.*)/", r"^(.*)/", ("session_summary", "title"), ("info.id",), (), ("info.cwd", "git_root_dir")),
+    ),
     "qwen": Layout(),
-    "kimi": Layout(unwrap=("event",)),
-    "copilot": Layout(unwrap=("data",), folder_id=True),
-    "cline": Layout(glob="*.json", document=True, folder_id=True),
+    "kimi": Layout(
+        unwrap=("event",), spoken=(("turn.prompt", "user"), ("context.append", "assistant")), session=r"([^/]*)/agents/.*$|([^/]*)/[^/]*/[^/]*$", project=r"([^/]*)/[^/]*/agents/.*$",
+        about=About("state.json", r"^(.*)/", r"^(.*)/agents/.*$|^(.*)/[^/]*/[^/]*$", ("title", "summary", "name"), (), (), ("workDir", "workdir", "cwd", "workspaceRoot")),
+    ),
+    "copilot": Layout(unwrap=("data",), session=_FOLDER_ID),
+    "cline": Layout(
+        glob="{*.messages.json,api_conversation_history.json}", document=True, session=_FOLDER_ID,
+        about=About("*.json", r"^(.*)\.json$", r"^(.*)\.messages\.json$", (), (), ("started_at", "startedAt", "time_created", "createdAt", "ts"), ("workspace_root", "workspaceRoot", "cwd", "directory")),
+    ),
     "pi": Layout(),
-}
+}
 
 
 def _get(v: Column, *names: str) -> Column:
     """The first of the fields that is a text or another scalar and not empty."""
-    return F.coalesce(*(F.nullif(F.try_variant_get(v, f"$.{n}", "string"), F.lit("")) for n in names))
+    return F.get(F.filter(F.array(*(F.try_variant_get(v, f"$.{n}", "string") for n in names)), lambda x: x != ""), 0)
 
 
 def _is(v: Column, kind: str) -> Column:
@@ -84,7 +116,8 @@ def parse_time(raw: Column) -> Column:
 
 
 def _time(v: Column, names: list[str]) -> Column:
-    return F.coalesce(*(parse_time(F.try_variant_get(v, f"$.{n}", "string")) for n in names))
+    read = F.transform(F.array(*(F.try_variant_get(v, f"$.{n}", "string") for n in names)), parse_time)
+    return F.get(F.filter(read, lambda t: t.isNotNull()), 0)
 
 
 def _field(v: Column) -> Column:
@@ -93,9 +126,15 @@ def _field(v: Column) -> Column:
 
 def content_text(v: Column) -> Column:
     """The prose of a content: a text, a list of texts and text blocks (other blocks have none), or one block."""
-    blocks = F.try_variant_get(v, "$", "array<variant>")
-    prose = F.transform(blocks, lambda b: F.when(_is(b, "STRING"), F.try_variant_get(b, "$", "string")).when(F.coalesce(_get(b, "type"), F.lit("text")).isin("text", "input_text", "output_text", "summary_text"), _field(b)))
-    return F.when(_is(v, "STRING"), F.try_variant_get(v, "$", "string")).when(_is(v, "ARRAY"), F.trim(F.array_join(F.filter(prose, lambda x: x.isNotNull()), "\n"))).when(_is(v, "OBJECT"), _field(v))
+
+    def prose(b: Column) -> Column:
+        return F.when(_is(b, "STRING"), F.try_variant_get(b, "$", "string")).when(F.coalesce(_get(b, "type"), F.lit("text")).isin("text", "input_text", "output_text", "summary_text"), _field(b))
+
+    def text(v: Column) -> Column:
+        said = F.filter(F.transform(F.try_variant_get(v, "$", "array<variant>"), prose), lambda x: x.isNotNull())
+        return F.when(_is(v, "STRING"), F.try_variant_get(v, "$", "string")).when(_is(v, "ARRAY"), F.trim(F.array_join(said, "\n"))).when(_is(v, "OBJECT"), _field(v))
+
+    return bound(v, text)
 
 
 def _array(v: Column, name: str) -> Column:
@@ -105,35 +144,45 @@ def _array(v: Column, name: str) -> Column:
 def _args(b: Column) -> Column:
     """The arguments of a call as JSON text; arguments that are a text already stand as they are."""
     found = F.coalesce(*(F.try_variant_get(b, f"$.{p}", "variant") for p in ("input", "args", "arguments", "parameters", "function.arguments", "functionCall.args", "action")))
-    return F.when(_is(found, "STRING"), F.try_variant_get(found, "$", "string")).otherwise(F.to_json(found))
+    return bound(found, lambda v: F.when(_is(v, "STRING"), F.try_variant_get(v, "$", "string")).otherwise(F.to_json(v)))
 
 
 def _piece(b: Column, call: bool = False) -> Column:
     """A block as struct<kind, name, text, args, flag, status>."""
     kind = F.lower(F.coalesce(_get(b, "type"), F.lit("")))
-    is_call = F.lit(call) | kind.isin("tool_use", "tool_call", "function_call", "custom_tool_call", "local_shell_call") | F.try_variant_get(b, "$.functionCall", "variant").isNotNull()
-    is_result = kind.isin("tool_result", "function_response", "function_call_output", "custom_tool_call_output", "tool_call_output") | F.try_variant_get(b, "$.functionResponse", "variant").isNotNull()
-    answer = F.coalesce(*(F.try_variant_get(b, f"$.{p}", "variant") for p in ("content", "output", "functionResponse.response", "response")))
-    plain = F.when(_is(b, "STRING"), F.try_variant_get(b, "$", "string")).when(kind.isin("", "text", "input_text", "output_text", "summary_text"), _field(b))
-    return F.struct(
-        F.when(is_call, "tool_call").when(is_result, "tool_result").otherwise("message").alias("kind"),
-        _get(b, "name", "tool", "toolName", "tool_name", "function.name", "functionCall.name", "functionResponse.name").alias("name"),
-        F.when(is_result, F.coalesce(content_text(answer), F.lit(""))).when(~is_call, plain).alias("text"),
-        F.when(is_call, _args(b)).alias("args"),
-        F.coalesce(*(F.try_variant_get(b, f"$.{p}", "boolean") for p in ("is_error", "isError", "error"))).alias("flag"),
-        _get(b, "status", "state").alias("status"),
-    )
+
+    def told(k: Column) -> Column:
+        is_call = F.lit(call) | k.isin("tool_use", "tooluse", "tool_call", "function_call", "custom_tool_call", "local_shell_call") | F.try_variant_get(b, "$.functionCall", "variant").isNotNull()
+        is_result = k.isin("tool_result", "toolresult", "function_response", "function_call_output", "custom_tool_call_output", "tool_call_output") | F.try_variant_get(b, "$.functionResponse", "variant").isNotNull()
+        return bound(F.struct(k.alias("type"), F.when(is_call, "tool_call").when(is_result, "tool_result").otherwise("message").alias("kind")), filled)
+
+    def filled(k: Column) -> Column:
+        answer = F.coalesce(*(F.try_variant_get(b, f"$.{p}", "variant") for p in ("content", "result", "output", "functionResponse.response", "response")))
+        plain = F.when(_is(b, "STRING"), F.try_variant_get(b, "$", "string")).when(k["type"].isin("", "text", "input_text", "output_text", "summary_text"), _field(b))
+        return F.struct(
+            k["kind"].alias("kind"),
+            _get(b, "name", "tool", "toolName", "tool_name", "function.name", "functionCall.name", "functionResponse.name").alias("name"),
+            F.when(k["kind"] == "tool_result", F.coalesce(content_text(answer), F.lit(""))).when(k["kind"] == "message", plain).alias("text"),
+            F.when(k["kind"] == "tool_call", _args(b)).alias("args"),
+            F.coalesce(*(F.try_variant_get(b, f"$.{p}", "boolean") for p in ("is_error", "isError", "error"))).alias("flag"),
+            _get(b, "status", "state").alias("status"),
+        )
+
+    return bound(kind, told)
 
 
 def _pieces(r: Column, each_block: bool) -> Column:
     """What a record says: its text first, then its calls and results, inside the content or beside it."""
     message = F.try_variant_get(r, "$.message", "variant")
     content = F.coalesce(F.try_variant_get(r, "$.message.content", "variant"), F.try_variant_get(r, "$.content", "variant"), F.when(_is(message, "STRING"), message))
-    parts = F.concat(_array(r, "message.parts"), _array(r, "parts"))
+    return bound(F.struct(content.alias("content"), F.concat(_array(r, "message.parts"), _array(r, "parts")).alias("parts")), lambda c: _said(r, c["content"], c["parts"], each_block))
+
+
+def _said(r: Column, content: Column, parts: Column, each_block: bool) -> Column:
     blocks = F.concat(F.when(_is(content, "ARRAY"), F.try_variant_get(content, "$", "array<variant>")).otherwise(F.array().cast("array<variant>")), parts)
     calls = F.concat(*(_array(r, f"{level}{name}") for level in ("message.", "") for name in CALLS))
     prose = F.array_join(F.filter(F.transform(parts, _field), lambda x: x.isNotNull()), "\n")
-    said = F.coalesce(F.nullif(F.trim(prose), F.lit("")), F.nullif(content_text(content), F.lit("")), _get(r, "text", "prompt", "value", "output"))
+    said = F.coalesce(F.nullif(F.trim(prose), F.lit("")), _get(r, "part.text", "part.content"), F.nullif(content_text(content), F.lit("")), _get(r, "text", "prompt", "value", "output"))
     whole = F.array(F.struct(F.lit("message").alias("kind"), F.lit(None).cast("string").alias("name"), said.alias("text"), F.lit(None).cast("string").alias("args"), F.lit(None).cast("boolean").alias("flag"), F.lit(None).cast("string").alias("status")))
     made = F.transform(blocks, lambda b: _piece(b))
     if each_block:
@@ -172,30 +221,106 @@ def recovered(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: rescue(t or ""))
 
 
+def _files(spark: SparkSession, path: str, glob: str, whole: bool) -> DataFrame:
+    return spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path, wholetext=whole, lineSep=None if whole else "\n")
+
+
+def _path() -> Column:
+    """The path of a row's file as it is on disk; Spark gives it percent-encoded."""
+    return F.try_url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def _records(spark: SparkSession, path: str, layout: Layout, most_file: int) -> DataFrame:
-    """(source, mtime, line, r, about): the records of all files, in order; about is the document around them."""
-    files = spark.read.option("pathGlobFilter", layout.glob).option("recursiveFileLookup", "true").text(path, wholetext=True)
-    meta = F.col("_metadata")
-    files = files.where((meta["file_size"] > 0) & (meta["file_size"] <= most_file)).select(meta["file_path"].alias("source"), meta["file_modification_time"].alias("mtime"), "value")
+    """(source, mtime, block, line, r, about): the records of all files; about is the document around them.
+
+    Lines are read by splits of files, so many tasks share a large file; block,
+    where the split begins, and line, which grows within it, give their order.
+    """
+    files, meta = _files(spark, path, layout.glob, layout.document), F.col("_metadata")
+    files = files.where((meta["file_size"] > 0) & (meta["file_size"] <= most_file))
+    source = [_path().alias("source"), meta["file_modification_time"].alias("mtime"), meta["file_block_start"].alias("block")]
     if not layout.document:
-        lines = files.select("source", "mtime", F.posexplode(F.split("value", "\n")).alias("line", "raw")).where(F.trim("raw").startswith("{"))
-        return lines.select("source", "mtime", "line", F.try_parse_json("raw").alias("r"), F.lit(None).cast("variant").alias("about")).where("r is not null")
-    parsed = files.withColumn("doc", F.try_parse_json("value"))
+        lines = files.select(*source, F.monotonically_increasing_id().alias("line"), "value").where(F.trim("value").startswith("{"))
+        return lines.select("source", "mtime", "block", "line", F.try_parse_json("value").alias("r"), F.lit(None).cast("variant").alias("about")).where("r is not null")
+    parsed = files.select(*source, "value", F.try_parse_json("value").alias("doc"))
     doc = F.col("doc")
     lists = [F.try_variant_get(doc, f"$.{inner}{name}", "array<variant>") for inner in ["", *(f"{i}." for i in INNER)] for name in LISTS]
-    found = F.coalesce(F.try_variant_get(doc, "$", "array<variant>"), *(F.when(F.size(x) > 0, x) for x in lists))
-    good = parsed.where("doc is not null").select("source", "mtime", F.posexplode(found).alias("line", "r"), F.when(_is(doc, "OBJECT"), doc).alias("about"))
-    cut = parsed.where("doc is null").select("source", "mtime", F.posexplode(recovered("value")).alias("line", "raw"))
-    return good.union(cut.select("source", "mtime", "line", F.try_parse_json("raw"), F.lit(None).cast("variant")))
+    found = F.coalesce(F.try_variant_get(doc, "$", "array<variant>"), F.get(F.filter(F.array(*lists), lambda x: F.size(x) > 0), 0))
+    good = parsed.where("doc is not null").select("source", "mtime", "block", F.posexplode(found).alias("line", "r"), F.when(_is(doc, "OBJECT"), doc).alias("about"))
+    cut = parsed.where("doc is null").select("source", "mtime", "block", F.posexplode(recovered("value")).alias("line", "raw"))
+    made = good.union(cut.select("source", "mtime", "block", "line", F.try_parse_json("raw"), F.lit(None).cast("variant")))
+    return made.withColumn("line", F.col("line").cast("long"))
+
+
+def _owner(path: Column, pattern: str) -> Column:
+    """What the pattern finds in a path; of its alternatives, the first that fits."""
+    found = [F.nullif(F.regexp_extract(path, pattern, k + 1), F.lit("")) for k in range(pattern.count("(") - pattern.count("(?"))]
+    return F.coalesce(*found)
+
+
+def _siblings(spark: SparkSession, path: str, about: About) -> DataFrame:
+    """(owner, sibling): what the files beside the transcripts say, one row for each owner."""
+    doc = _files(spark, path, about.glob, True).select(_owner(_path(), about.owner).alias("owner"), F.try_parse_json("value").alias("d")).where("owner is not null and d is not null")
+    d, none = F.col("d"), F.lit(None).cast("string")
+    said = F.struct(
+        (_get(d, *about.title) if about.title else none).alias("title"), (_get(d, *about.id) if about.id else none).alias("id"), _get(d, *about.folder).alias("folder"),
+        (_time(d, list(about.begun)) if about.begun else F.lit(None).cast("timestamp")).alias("begun"), F.coalesce(F.lower(_get(d, "session_kind")) == "subagent", F.lit(False)).alias("subagent"),
+    )
+    return doc.groupBy("owner").agg(F.min(said).alias("sibling"))
 
 
 def _first(value: Column) -> Column:
-    return F.min_by(value, F.when(value.isNotNull(), F.col("line")))
+    return F.min_by(value, F.when(value.isNotNull(), F.struct("block", "line")))
 
 
 def _folder(v: Column) -> Column:
     """The first field of a record, or of what it holds about itself, that names a folder."""
-    return F.coalesce(*(F.when(F.try_variant_get(v, f"$.{p}{n}", "string").rlike(r"[/\\]"), F.try_variant_get(v, f"$.{p}{n}", "string")) for p in ["", *(f"{a}." for a in ABOUT)] for n in FOLDERS))
+    found = F.array(*(F.try_variant_get(v, f"$.{p}{n}", "string") for p in ["", *(f"{a}." for a in ABOUT)] for n in FOLDERS))
+    return F.get(F.filter(found, lambda x: x.rlike(r"[/\\]")), 0)
+
+
+def _pieces_of(rows: DataFrame, layout: Layout) -> DataFrame:
+    """A row for each piece of each record that is a turn, and what records tell about their session."""
+    r, inner = F.col("r"), F.col("r")
+    for name in layout.unwrap:
+        inner = F.coalesce(F.when(_is(F.try_variant_get(r, f"$.{name}", "variant"), "OBJECT"), F.try_variant_get(r, f"$.{name}", "variant")), r)
+    rows = rows.withColumn("x", inner)
+    x, about = F.col("x"), F.col("about")
+    told = F.struct(
+        F.coalesce(_get(r, "sessionId", "session_id"), _get(x, "sessionId", "session_id"), F.when(_get(r, "type") == "session_meta", _get(x, "id")), _get(about, "sessionId", "session_id", "id")).alias("id"),
+        F.coalesce(_get(r, "aiTitle", "title"), _get(about, "title", "summary", "name")).alias("title"),
+        F.coalesce(_folder(r), _folder(x), _folder(about)).alias("folder"),
+        _get(r, "gitBranch").alias("branch"),
+        _time(about, ["startTime", "start_time", "createdAt", "lastUpdated"]).alias("begun"),
+    )
+    kind = F.lower(F.coalesce(_get(r, "type"), F.lit("")))
+    side = F.coalesce(F.try_variant_get(r, "$.isSidechain", "boolean"), F.lit(False)) | F.coalesce(_get(r, "promptSource").isin("sdk", "system"), F.lit(False))
+    says = F.lower(F.coalesce(_get(x, "message.role", "role", "type", "speaker", "author", "sender"), F.lit("")))
+
+    def speaker(spoken: Column) -> Column:
+        actor = F.lit(None).cast("string")
+        for who, names in SPEAKERS.items():
+            actor = F.when(spoken.isin(*names), F.lit(who)).otherwise(actor)
+        return actor
+
+    def judged(o: Column) -> Column:
+        # Calls and results that are records themselves have no role.
+        alone = o["own"]["kind"] != "message"
+        pieces = F.when(alone & ~o["spoken"].isin("user", "assistant"), F.array(o["own"])).otherwise(_pieces(x, layout.each_block))
+        who = F.when(alone, F.lit("assistant")).otherwise(speaker(o["spoken"]))
+        return F.struct(F.coalesce(who, F.lit("assistant")).alias("who"), F.when(~F.coalesce(who == "system", F.lit(False)), pieces).alias("pieces"))
+
+    if layout.spoken:
+        who = F.lit(None).cast("string")
+        for begins, name in reversed(layout.spoken):
+            who = F.when(kind.startswith(begins), F.lit(name)).otherwise(who)
+        turn = F.struct(who.alias("who"), F.when(who.isNotNull(), _pieces(x, layout.each_block)).alias("pieces"))
+    else:
+        turn = F.when(~side & ~kind.isin(*layout.skip), bound(F.struct(_piece(x).alias("own"), says.alias("spoken")), judged))
+    at = F.coalesce(_time(r, TIMES), _time(x, TIMES), _time(x, ["message.timestamp", "message.createdAt"]))
+    rows = rows.select("source", "mtime", "block", "line", told.alias("told"), at.alias("at"), turn.alias("turn"))
+    # A record that is no turn keeps a row for what it tells.
+    return rows.select("source", "mtime", "block", "line", "told", "at", F.col("turn.who").alias("who"), F.posexplode_outer("turn.pieces").alias("part", "p"))
 
 
 def read_transcripts(spark: SparkSession, path: str, agent: str = "generic", home: str = "", most_file: int = MOST_FILE, keep_mail: bool = False) -> DataFrame:
@@ -206,58 +331,56 @@ def read_transcripts(spark: SparkSession, path: str, agent: str = "generic", hom
     texts and arguments redacted and cut, calls that are no work dropped, and at
     most 4000 turns of a session kept. Empty files and those over ``most_file``
     bytes are left out. Undated turns stay undated where the tool dates its
-    records, and take the file's time elsewhere.
+    records, and take the file's time elsewhere. Titles, folders and ids that a
+    tool keeps in a file beside the transcript come from there; sessions that
+    such a file calls a subagent's are left out. Pieces of records are written
+    once to the shared folder, then what they tell is joined back.
     """
     layout = LAYOUTS[agent]
-    rows = _records(spark, path, layout, most_file)
-    r, inner = F.col("r"), F.col("r")
-    for name in layout.unwrap:
-        inner = F.coalesce(F.when(_is(F.try_variant_get(r, f"$.{name}", "variant"), "OBJECT"), F.try_variant_get(r, f"$.{name}", "variant")), r)
-    rows = rows.withColumn("x", inner)
-    x, about = F.col("x"), F.col("about")
-    name_of = F.regexp_replace(F.element_at(F.split("source", "/"), -2 if layout.folder_id else -1), r"(?:\.messages)?\.jsonl?$", "")
-    told = rows.groupBy("source").agg(
-        _first(F.coalesce(_get(r, "sessionId", "session_id"), _get(x, "sessionId", "session_id"), F.when(_get(r, "type") == "session_meta", _get(x, "id")), _get(about, "sessionId", "session_id", "id"))).alias("told_id"),
-        _first(F.coalesce(_get(r, "aiTitle", "title"), _get(about, "title", "summary", "name"))).alias("title"),
-        _first(F.coalesce(_folder(r), _folder(x), _folder(about))).alias("workspace"),
-        _first(_get(r, "gitBranch")).alias("branch"),
-        _first(_time(about, ["startTime", "start_time", "createdAt", "lastUpdated"])).alias("begun"),
-    )
-    kind = F.lower(F.coalesce(_get(r, "type"), F.lit("")))
-    side = F.coalesce(F.try_variant_get(r, "$.isSidechain", "boolean"), F.lit(False)) | F.coalesce(_get(r, "promptSource").isin("sdk", "system"), F.lit(False))
-    spoken = F.lower(F.coalesce(_get(x, "message.role", "role", "type", "speaker", "author", "sender"), F.lit("")))
-    actor = F.lit(None).cast("string")
-    for who, names in SPEAKERS.items():
-        actor = F.when(spoken.isin(*names), F.lit(who)).otherwise(actor)
-    # Calls and results that are records themselves have no role.
-    own = _piece(x)
-    alone = own["kind"] != "message"
-    rows = rows.where(~side & ~kind.isin(*layout.skip)).withColumn("who", F.when(alone, F.lit("assistant")).otherwise(actor)).where("who is null or who <> 'system'")
-    pieces = F.when(alone & ~spoken.isin("user", "assistant"), F.array(own)).otherwise(_pieces(x, layout.each_block))
-    each = rows.select("source", "mtime", "line", F.coalesce("who", F.lit("assistant")).alias("who"), F.coalesce(_time(r, TIMES), _time(x, TIMES), _time(x, ["message.timestamp", "message.createdAt"])).alias("at"), F.posexplode(pieces).alias("part", "p"))
-    each = each.join(told, "source")
+    each = written(_pieces_of(_records(spark, path, layout, most_file), layout))
+    told = each.groupBy("source").agg(*(_first(F.col(f"told.{c}")).alias(c) for c in ("id", "title", "folder", "branch", "begun")))
+    nothing = F.lit(None)
+    if layout.about:
+        told = told.withColumn("owner", _owner(F.col("source"), layout.about.transcript)).join(_siblings(spark, path, layout.about), "owner", "left").where("not coalesce(sibling.subagent, false)")
+    else:
+        told = told.withColumn("sibling", F.struct(*(nothing.cast("string").alias(c) for c in ("title", "id", "folder")), nothing.cast("timestamp").alias("begun")))
+    name = F.col("source")
+    slug = _owner(name, layout.project) if layout.project else nothing.cast("string")
+    project = F.when(~slug.isin("projects", "empty-window"), F.concat(F.lit("/"), F.replace(slug, F.lit("-"), F.lit("/")))) if layout.slug else F.try_url_decode(slug)
+    by_path = _owner(name, layout.session)
+    # Where a tool keeps one folder for each session, the folder's name is its id.
+    session = F.coalesce("sibling.id", by_path if layout.spoken else F.coalesce("id", by_path))
+    folder = F.coalesce("sibling.folder", "folder", project, F.lit(""))
+    told = told.select(name, session.alias("session"), redact(F.coalesce("sibling.title", "title"), home, keep_mail).alias("title"), (F.replace(folder, F.lit(home), F.lit("${HOME}")) if home else folder).alias("workspace"), "branch", F.coalesce("sibling.begun", "begun").alias("begun"))
+
     of_tool = (F.col("who") == "tool") & (F.col("p.kind") == "message")
     kind = F.when(of_tool, F.lit("tool_result")).otherwise(F.col("p.kind"))
+    each = each.where("p is not null").join(told, "source").withColumn("kind", kind)
     raw = repair_punctuation(F.col("p.text"))
-    prompt = (kind == "message") & (F.col("who") == "user")
-    clean = F.transform_values(flatten_args(F.col("p.args")), lambda k, v: redact(v, home, keep_mail))
-    args = F.transform_values(clean, lambda k, v: F.when(F.char_length(v) > MOST_ARG, F.concat(F.substring(v, 1, MOST_ARG), F.lit("…"))).otherwise(v))
-    each = each.withColumn("shown", redact(F.when(prompt, clean_prompt(raw)).otherwise(raw), home, keep_mail))
-    shown = F.col("shown")
-    at = F.coalesce("at", "begun", "mtime") if layout.mtime else F.col("at")
-    workspace = F.replace(F.coalesce("workspace", F.lit("")), F.lit(home), F.lit("${HOME}")) if home else F.coalesce("workspace", F.lit(""))
-    out = each.select(
-        F.lit(agent).alias("agent"), F.coalesce("told_id", name_of).alias("session"), "source", "title", workspace.alias("workspace"), repo_name(workspace).alias("repo"), "branch", "line", "part",
-        F.when(kind == "tool_result", "tool").otherwise(F.col("who")).alias("actor"), kind.alias("kind"), at.alias("at"),
-        F.when(F.char_length(shown) > MOST_TEXT, F.concat(F.substring(shown, 1, MOST_TEXT), F.lit("…"))).otherwise(shown).alias("text"),
-        F.when(kind == "tool_call", canonical_tool(F.col("p.name"))).alias("tool"), F.when(kind == "tool_call", args).alias("args"),
-        (kind == "tool_result").__and__(failed(raw, F.col("p.flag"), F.col("p.status"))).alias("is_error"), F.when(prompt, skill_refs(raw)).alias("skills"),
+    prompt = (F.col("kind") == "message") & (F.col("who") == "user")
+
+    def cut(text: Column, most: int) -> Column:
+        return F.when(F.char_length(text) > most, F.concat(F.substring(text, 1, most), F.lit("…"))).otherwise(text)
+
+    shown = bound(raw, lambda t: bound(redact(F.when(prompt, clean_prompt(t)).otherwise(t), home, keep_mail), lambda s: cut(s, MOST_TEXT)))
+    args = F.transform_values(flatten_args(F.col("p.args")), lambda k, v: bound(redact(v, home, keep_mail), lambda s: cut(s, MOST_ARG)))
+    call = F.col("kind") == "tool_call"
+    # Written, so that no filter below is carried into these expressions.
+    made = written(each.select(
+        F.lit(agent).alias("agent"), "session", "source", "title", "workspace", "branch", "block", "line", "part", "kind",
+        F.when(F.col("kind") == "tool_result", "tool").otherwise(F.col("who")).alias("actor"), (F.coalesce("at", "begun", "mtime") if layout.mtime else F.col("at")).alias("at"), shown.alias("text"),
+        F.when(call, canonical_tool(F.col("p.name"))).alias("tool"), F.when(call, args).alias("args"),
+        ((F.col("kind") == "tool_result") & failed(raw, F.col("p.flag"), F.col("p.status"))).alias("is_error"), F.when(prompt, skill_refs(raw)).alias("skills"),
+    ))
+    out = made.where("(kind != 'tool_call' or tool != '') and (kind != 'message' or text != '')")
+    shape = F.nullif(command_shape(extract_command(F.col("args"))), F.lit(""))
+    order = Window.partitionBy("session").orderBy("source", "block", "line", "part")
+    out = out.withColumn("idx", F.row_number().over(order)).where(F.col("idx") <= MOST_TURNS)
+    text = F.when(F.size("skills") > 0, without_skill_refs(F.col("text"))).otherwise(F.col("text"))
+    return out.select(
+        "agent", "session", "source", "title", "workspace", repo_name(F.col("workspace")).alias("repo"), "branch", "idx", "actor", "kind", "at", text.alias("text"), "tool", "args",
+        F.when(F.col("tool") == "shell", shape).alias("command"), path_shapes(F.col("args")).alias("paths"), "skills", "is_error",
     )
-    out = out.where("(kind != 'tool_call' or tool != '') and (kind != 'message' or text != '')")
-    shape = F.when(F.col("tool") == "shell", command_shape(extract_command(F.col("args"))))
-    out = out.withColumns({"command": F.when(shape != "", shape), "paths": path_shapes(F.col("args")), "text": F.when(F.size("skills") > 0, without_skill_refs(F.col("text"))).otherwise(F.col("text"))})
-    order = Window.partitionBy("session").orderBy("source", "line", "part")
-    return out.withColumn("idx", F.row_number().over(order)).where(F.col("idx") <= MOST_TURNS).drop("line", "part")
 
 
 def read_jsonl(spark: SparkSession, path: str, agent: str = "generic", home: str = "") -> DataFrame:
