@@ -33,7 +33,7 @@ def _marker(pattern: str) -> str:
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, with the value standing in the expression once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), 0)
+    return F.get(F.transform(F.array(value), lambda v: body(v)), 0)
 
 
 def tokens(text: Column, stopwords: list[str] | tuple[str, ...] = tuple(STOPWORDS)) -> Column:

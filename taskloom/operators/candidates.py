@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fingerprint, first_line, log_lift, round3, tokens
+from ..written import written
+from .leaders import greedy_groups, numbered
 
 #: Words that say little in a phrase; words that open a request.
 LITTLE = (
@@ -100,23 +102,21 @@ def phrase_scores(texts: DataFrame, by: str, words: Column, key: str, min_share:
     return found.select(by, "phrase", "count", "df", value.alias("score"))
 
 
-def top_phrases(scored: DataFrame, by: str, n: int = 3, looked_at: int = 64) -> DataFrame:
+def top_phrases(scored: DataFrame, by: str, n: int = 3) -> DataFrame:
     """(by, phrases): the best phrases of a group of which no two share a word.
 
-    They are chosen among a group's best ``looked_at``, a parameter that bounds
-    what one row holds; with three-word phrases 64 hold far more than n choices.
+    Each turn takes the best phrase of every group and drops those that share a
+    word with it, so all phrases of a group are looked at, in no row together.
     """
-    order = Window.partitionBy(by).orderBy(F.col("score").desc(), F.col("df").desc(), "phrase")
-    best = scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= looked_at)
-    lists = best.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("r", "phrase", "score"))).alias("all"))
-    none = F.array().cast("array<struct<phrase:string,score:double>>")
-
-    def choose(done: Column, x: Column) -> Column:
-        words = F.flatten(F.transform(done, lambda d: F.split(d["phrase"], " ")))
-        free = (F.size(done) < n) & ~F.arrays_overlap(words, F.split(x["phrase"], " "))
-        return F.when(free, F.array_append(done, F.struct(x["phrase"].alias("phrase"), round3(x["score"]).alias("score")))).otherwise(done)
-
-    return lists.select(by, F.aggregate("all", none, choose).alias("phrases"))
+    left = written(scored.select(by, "phrase", "score", "df", F.split("phrase", " ").alias("words")))
+    chosen = None
+    for turn in range(n):
+        best = left.groupBy(by).agg(F.min(F.struct((-F.col("score")).alias("s"), (-F.col("df")).alias("d"), "phrase", "words")).alias("best"))
+        best = best.select(by, F.lit(turn).alias("turn"), F.col("best.phrase").alias("phrase"), round3(-F.col("best.s")).alias("score"), F.col("best.words").alias("taken"))
+        left = left.join(best.select(by, "taken"), by).where(~F.arrays_overlap("words", "taken")).drop("taken")
+        chosen = best if chosen is None else chosen.union(best)
+    lists = chosen.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("turn", "phrase", "score"))).alias("phrases"))
+    return lists.select(by, F.transform("phrases", lambda p: F.struct(p["phrase"].alias("phrase"), p["score"].alias("score"))).alias("phrases"))
 
 
 def wish_tokens(text: Column) -> Column:
@@ -124,14 +124,30 @@ def wish_tokens(text: Column) -> Column:
     return F.filter(tokens(text), lambda t: ~t.isin(*MARKERS))
 
 
+def group_wishes(wishes: DataFrame, order: list[str], threshold: float = 0.34) -> DataFrame:
+    """wishes (text and others) with ``id``, their number in the order of the columns, and ``group``.
+
+    Taken in that order, a wish joins the group whose words so far are likest to
+    its own, or begins one. Wishes of fewer than two words are left out.
+    """
+    words = F.array_distinct(wish_tokens(F.col("text")))
+    placed = written(numbered(wishes.withColumn("words", words).where("size(words) >= 2"), *order).withColumnRenamed("n", "id"))
+    rows, items = placed.select(F.col("id").alias("n")), placed.select(F.col("id").alias("n"), F.explode("words").alias("item"))
+    nothing = items.select("n", F.col("item").alias("token"), F.lit(0.0).alias("weight")).where("false")
+    found = greedy_groups(rows, items, nothing, threshold, 0.0)
+    return placed.drop("words").join(found.select(F.col("n").alias("id"), F.col("leader").alias("group")), "id")
+
+
 def rule_groups(wishes: DataFrame, grouped: DataFrame, min_runs: int = 2, min_sessions: int = 2) -> DataFrame:
-    """(rule_id, text, theme, occurrences, sessions, keywords): wishes (id, session, text) in their groups (id, group).
+    """(rule_id, text, theme, occurrences, sessions, agents, repos, keywords): wishes (id, session, text) in their groups (id, group).
 
     The text is the one that covers most of what the group shares in the fewest
-    words; keywords are the eight most frequent tokens.
+    words; keywords are the eight most frequent tokens. Wishes may have agent
+    and repo, whose sorted sets a rule has then.
     """
     each = wishes.join(grouped, "id").withColumn("words", F.array_distinct(wish_tokens(F.col("text"))))
-    kept = each.groupBy("group").agg(F.count("*").alias("occurrences"), F.countDistinct("session").alias("sessions")).where((F.col("occurrences") >= min_runs) & (F.col("sessions") >= min_sessions))
+    named = [F.array_sort(F.collect_set(F.nullif(c, F.lit("")))).alias(f"{c}s") for c in ("agent", "repo") if c in wishes.columns]
+    kept = each.groupBy("group").agg(F.count("*").alias("occurrences"), F.countDistinct("session").alias("sessions"), *named).where((F.col("occurrences") >= min_runs) & (F.col("sessions") >= min_sessions))
     counts = each.select("group", F.explode("words").alias("token")).groupBy("group", "token").agg(F.count("*").alias("c"))
     top = counts.withColumn("r", F.row_number().over(Window.partitionBy("group").orderBy(F.col("c").desc(), "token"))).where("r <= 8")
     keywords = top.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "token"))), lambda x: x["token"]).alias("keywords"))
@@ -140,7 +156,7 @@ def rule_groups(wishes: DataFrame, grouped: DataFrame, min_runs: int = 2, min_se
     best = each.join(fit, ["group", "id"]).groupBy("group").agg(F.min(F.struct((-F.col("fit")).alias("less"), "id", "text")).alias("best"))
     out = kept.join(keywords, "group").join(best, "group")
     rule_id = fingerprint(F.lit("rule"), F.array_join("keywords", " "))
-    return out.select(rule_id.alias("rule_id"), F.col("best.text").alias("text"), F.array_join(F.slice("keywords", 1, 3), " ").alias("theme"), "occurrences", "sessions", "keywords")
+    return out.select(rule_id.alias("rule_id"), F.col("best.text").alias("text"), F.array_join(F.slice("keywords", 1, 3), " ").alias("theme"), "occurrences", "sessions", *(c for c in ("agents", "repos") if c in kept.columns), "keywords")
 
 
 def ranks(truths: DataFrame, findings: DataFrame, least: float = 0.45) -> DataFrame:
@@ -178,5 +194,3 @@ def find(ranked: DataFrame, name: str) -> DataFrame:
     exact = (F.col("id") == name) | (F.col("slug") == name)
     begins = F.lit(len(name) >= 3) & (F.col("id").startswith(name) | F.col("slug").startswith(name))
     return ranked.where(exact | begins).orderBy((~exact).cast("int"), "rank").limit(1)
-
-

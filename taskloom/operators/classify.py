@@ -30,7 +30,7 @@ def is_reference(steps: Column) -> Column:
     return (F.size(steps) >= 2) & (changing == 0) & (reading / F.greatest(F.size(steps), F.lit(1)) >= 0.8)
 
 
-def classify(candidates: DataFrame, min_score: float = 35.0) -> DataFrame:
+def classify(candidates: DataFrame, min_score: float = 28.0) -> DataFrame:
     """candidates with kind and confidence.
 
     They have total, steps, first_support, regularity, skill_ref and

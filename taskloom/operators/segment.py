@@ -46,16 +46,35 @@ def arc_turns(turns: DataFrame, idle_minutes: int = 90) -> DataFrame:
     return t.withColumn("action", F.when(F.col("kind") == "tool_call", action))
 
 
+def _optional(turns: DataFrame, **types: str) -> DataFrame:
+    """turns with the columns of these types that they lack, as nulls."""
+    return turns.withColumns({c: F.lit(None).cast(t) for c, t in types.items() if c not in turns.columns})
+
+
 def arcs(turns: DataFrame, idle_minutes: int = 90, min_steps: int = 2, most_prompts: int = 12) -> DataFrame:
-    """One row per arc of at least ``min_steps`` steps or with a correction. Undated turns take the time of one beside them first."""
+    """One row per arc of at least ``min_steps`` steps or with a correction. Undated turns take the time of one beside them first.
+
+    Next to counts, steps and prompts an arc has its intent (the opening prompt,
+    else the first skill it calls for, else its first steps), the sorted sets of
+    its tools, commands and paths, its skills in order, and the corrections as
+    (idx, at, kind, text). Turns may have agent, repo, skills and paths.
+    """
+    turns = _optional(turns, agent="string", repo="string", skills="array<string>", paths="array<string>")
     t = arc_turns(backfill(turns), idle_minutes)
     of_arc = Window.partitionBy("session", "arc").orderBy("idx")
     calls = Window.partitionBy("session", "arc", F.col("action").isNotNull()).orderBy("idx")
     failed = F.coalesce(F.last(F.when(F.col("kind") == "tool_result", F.coalesce("is_error", F.lit(False))), ignorenulls=True).over(of_arc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
     t = t.withColumn("same", F.col("action").eqNullSafe(F.lag("action").over(calls)) & F.col("action").isNotNull()).withColumn("failed", failed)
-    counted = (F.col("kind") == "tool_call") | F.col("prompt") | ((F.col("actor") == "assistant") & (F.col("kind") == "message"))
-    touched = F.col("first") | (F.col("kind") == "tool_call") | ((F.col("actor") == "assistant") & (F.col("kind") == "message"))
+    call = F.col("kind") == "tool_call"
+    counted = call | F.col("prompt") | ((F.col("actor") == "assistant") & (F.col("kind") == "message"))
+    touched = F.col("first") | call | ((F.col("actor") == "assistant") & (F.col("kind") == "message"))
+    wish = F.when(F.col("prompt") & ~F.col("first"), correction_kind(F.col("text")))
+
+    def sorted_set(name: str):
+        return F.array_sort(F.collect_set(F.when(call, F.nullif(name, F.lit(""))))).alias(f"{name}s")
+
     out = t.groupBy("session", "arc").agg(
+        F.first("agent", ignorenulls=True).alias("agent"), F.first("repo", ignorenulls=True).alias("repo"),
         F.min(F.when(touched, F.col("at"))).alias("start"),
         F.max(F.when(touched, F.col("at"))).alias("end"),
         F.sum(counted.cast("int")).cast("long").alias("turns"),
@@ -63,10 +82,17 @@ def arcs(turns: DataFrame, idle_minutes: int = 90, min_steps: int = 2, most_prom
         F.array_sort(F.collect_list(F.when(F.col("prompt"), F.struct("idx", "text")))).alias("prompts"),
         F.sum(((F.col("kind") == "tool_result") & F.coalesce("is_error", F.lit(False))).cast("int")).cast("long").alias("errors"),
         F.sum((F.col("same") & F.col("failed")).cast("int")).cast("long").alias("retries"),
-        F.sum((F.col("prompt") & ~F.col("first") & correction_kind(F.col("text")).isNotNull()).cast("int")).cast("long").alias("corrections"),
-        F.min(F.when(F.col("first"), F.struct("idx", F.coalesce(F.when(F.col("prompt"), truncate(F.col("text"), 80)), F.lit("anonymous")).alias("opening"), F.col("at").alias("opened")))).alias("head"),
-    )
+        F.sum(wish.isNotNull().cast("int")).cast("long").alias("corrections"),
+        F.array_sort(F.collect_list(F.when(wish.isNotNull(), F.struct("idx", "at", wish.alias("kind"), F.trim("text").alias("text"))))).alias("wishes"),
+        F.min(F.when(F.col("first"), F.struct("idx", F.coalesce(F.when(F.col("prompt"), truncate(F.col("text"), 80)), F.lit("anonymous")).alias("opening"), F.col("at").alias("opened"), F.when(F.col("prompt"), F.col("text")).alias("said")))).alias("head"),
+        sorted_set("tool"), sorted_set("command"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(call, F.col("paths")))))).alias("paths"),
+        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.size("skills") > 0, F.struct("idx", "skills")))), lambda x: x["skills"]))).alias("skills"),
+    )
     out = out.withColumn("steps", F.transform("steps", lambda s: s["action"])).withColumn("prompts", F.slice(F.transform("prompts", lambda s: s["text"]), 1, most_prompts))
     opened = F.date_format("head.opened", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    out = out.withColumn("arc_id", fingerprint(F.col("session").cast("string"), opened, F.col("head.opening"))).drop("head")
+    skill = F.when(F.size("skills") > 0, F.concat(F.lit("ran the "), F.get("skills", F.lit(0)), F.lit(" skill")))
+    steps = F.when(F.size("steps") > 0, F.concat(F.lit("untitled work: "), F.array_join(F.slice("steps", 1, 3), ", ")))
+    intent = F.coalesce(F.nullif(F.trim("head.said"), F.lit("")), skill, steps, F.lit(""))
+    out = out.withColumn("arc_id", fingerprint(F.col("session").cast("string"), opened, F.col("head.opening"))).withColumn("intent", intent).drop("head")
     return out.where((F.size("steps") >= min_steps) | (F.col("corrections") > 0))

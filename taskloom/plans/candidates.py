@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import commands, prompts
 from ..functions import text as T
-from ..operators import candidates, classify as kinds, mining, scoring, segment, similar
+from ..operators import candidates, classify as kinds, clusters, mining, scoring, segment, similar
 from .events import event_turns
 from .queries import _CADENCE_SQL, _arcs_sql, _quoted, _tokens_sql, query
 
@@ -86,9 +86,9 @@ def _items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return mining.tfidf(d, "id", T.tokens(F.col("text"))), sets
 
 
-@query(f"WITH {_ITEMS} SELECT a, b, floor(jaccard * 1000 + 0.5) / 1000 AS jaccard FROM jaccards WHERE jaccard >= 0.05")
+@query(f"WITH {_ITEMS} SELECT a, b, floor(jaccard * 1000 + 0.5) / 1000 AS jaccard FROM jaccards WHERE jaccard >= 0.02")
 def jaccard_pairs(spark, sf_dir):
-    return similar.jaccard_pairs(_items(spark, sf_dir)[1], 0.05).withColumn("jaccard", T.round3(F.col("jaccard")))
+    return similar.jaccard_pairs(_items(spark, sf_dir)[1], 0.02).withColumn("jaccard", T.round3(F.col("jaccard")))
 
 
 @query(f"WITH {_ITEMS} SELECT a, b, floor(cosine * 1000 + 0.5) / 1000 AS cosine FROM cosines WHERE cosine >= 0.1")
@@ -207,3 +207,19 @@ HAVING max(ts) >= TIMESTAMP '2024-01-15' AND bool_or(event_type = 'signup') AND
 def kept_sessions(spark, sf_dir):
     t = event_turns(spark, sf_dir).withColumn("workspace", F.concat(F.lit("Team"), F.col("session") % 3))
     return candidates.kept_sessions(t, "2024-01-15", "M1").select("session", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("stop"))
+
+
+@query()
+def arc_clusters(spark, sf_dir):
+    """Arcs of all users in the order of time, grouped by what was asked and what was done; no SQL, as each choice depends on all before it."""
+    members, groups = clusters.cluster_arcs(_arcs(spark, sf_dir))
+    return members.join(groups, "cluster").select("session", "arc_id", "cluster", "runs", "cohesion")
+
+
+@query()
+def rule_groups(spark, sf_dir):
+    """What people say again in other conversations: the opening lines of all their turns, grouped as standing wishes are."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'").select(F.col("conv_id").alias("session"), "turn", T.first_line(F.col("text")).alias("text"))
+    grouped = candidates.group_wishes(c.where("text is not null"), ["session", "turn", "text"])
+    rules = candidates.rule_groups(grouped.drop("group"), grouped.select("id", "group"))
+    return rules.select("rule_id", "text", "theme", "occurrences", "sessions", F.array_join("keywords", " ").alias("keywords"))

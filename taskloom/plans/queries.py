@@ -52,16 +52,21 @@ arcs AS (SELECT * FROM (SELECT session, arc, min(t) FILTER (first OR kind = 'cal
   count(*) FILTER (opener) AS turns, coalesce(string_agg(event_type, ' ' ORDER BY idx) FILTER (kind = 'call' AND NOT same), '') AS steps,
   count(*) FILTER (kind = 'call' AND NOT same) AS n_steps, count(*) FILTER (kind = 'result') AS errors, count(*) FILTER (same AND failed) AS retries,
   count(*) FILTER (correction AND NOT first) AS corrections,
+  coalesce(arg_min(coalesce(said, ''), idx) FILTER (first), '') AS opening,
+  coalesce(array_to_string(list_sort(list(DISTINCT event_type) FILTER (kind = 'call')), ' '), '') AS tools,
   substr(sha256(session || chr(0) || strftime(min(t) FILTER (first), '%Y-%m-%dT%H:%M:%SZ') || chr(0) || coalesce(arg_min(coalesce(said, 'anonymous'), idx) FILTER (first), 'anonymous') || chr(0)), 1, 10) AS arc_id
   FROM f GROUP BY session, arc) WHERE n_steps >= 2 OR corrections > 0)"""
 
 
 def _arcs(spark: SparkSession, sf_dir: str, minutes: int) -> DataFrame:
     a = segment.arcs(event_turns(spark, sf_dir), minutes)
-    return a.select("session", "arc", "arc_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("stop"), "turns", F.array_join("steps", " ").alias("steps"), "errors", "retries", "corrections")
+    lists = (F.array_join(c, " ").alias(c) for c in ("steps", "tools", "commands"))
+    return a.select("session", "arc", "arc_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("stop"), "turns", *lists, "errors", "retries", "corrections", "intent", F.array_join(F.transform("wishes", lambda w: w["kind"]), " ").alias("wishes"))
 
 
-_ARC_COLUMNS = "SELECT session, arc::BIGINT AS arc, arc_id, start, stop, turns, steps, errors, retries, corrections FROM arcs"
+_ARC_COLUMNS = """SELECT session, arc::BIGINT AS arc, arc_id, start, stop, turns, steps, tools, '' AS commands, errors, retries, corrections,
+  CASE WHEN opening <> '' THEN opening WHEN n_steps > 0 THEN 'untitled work: ' || array_to_string(string_split(steps, ' ')[1:3], ', ') ELSE '' END AS intent,
+  array_to_string(list_transform(range(corrections), lambda x: 'preference'), ' ') AS wishes FROM arcs"""
 
 
 @query(f"WITH {_arcs_sql(90)} {_ARC_COLUMNS}")

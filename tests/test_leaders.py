@@ -70,10 +70,12 @@ def frames(spark, rows):
     return ns, items, tokens
 
 
-@pytest.mark.parametrize(("seed", "block"), [(1, 12), (2, 2)])
-def test_leader_pass_and_merges(spark, monkeypatch, seed, block):
-    monkeypatch.setattr(leaders, "BLOCK_BITS", block)
-    rows = random_rows(seed)
+@pytest.mark.parametrize(("seed", "in_turn", "n"), [(1, 2000, 300), (2, 9, 26)])
+def test_leader_pass_and_merges(spark, monkeypatch, seed, in_turn, n):
+    """In one block, and by passes over all rows with small blocks where they don't settle."""
+    monkeypatch.setattr(leaders, "IN_TURN", in_turn)
+    monkeypatch.setattr(leaders, "BLOCK_BITS", 2)
+    rows = random_rows(seed, n)
     groups, sets, centres = leaders.leader_pass(*frames(spark, rows))
     want, states = plain_leaders(rows)
     assert [r.leader for r in groups.orderBy("n").collect()] == want
@@ -82,8 +84,9 @@ def test_leader_pass_and_merges(spark, monkeypatch, seed, block):
     assert got == pytest.approx({(g["n"], t): x for g in states for t, x in g["sum"].items()})
 
 
-def test_jaccard_alone(spark):
-    rows = [(items, {}) for items, _ in random_rows(3, 60) if items]
+def test_jaccard_alone_by_passes(spark, monkeypatch):
+    monkeypatch.setattr(leaders, "IN_TURN", 1)
+    rows = [(items, {}) for items, _ in random_rows(3, 24) if items]
     got = leaders.greedy_groups(*frames(spark, rows), 0.34, 0.0)
     assert [r.leader for r in got.orderBy("n").collect()] == plain_pass(rows, 0.34, 0.0)[0]
 
