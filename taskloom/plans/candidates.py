@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import commands, prompts
 from ..functions import text as T
-from ..operators import candidates, classify as kinds, clusters, mining, scoring, segment, similar
+from ..operators import candidates, classify as kinds, clusters, findings as found, mining, naming, scoring, segment, similar
 from .events import event_turns
 from .queries import _CADENCE_SQL, _arcs_sql, _quoted, _tokens_sql, query
 
@@ -22,33 +22,43 @@ def _arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.arcs(event_turns(spark, sf_dir), 1440)
 
 
-def _values(rows: dict[str, str]) -> str:
-    quote = lambda s: "'" + s.replace("'", "''") + "'"
-    return ", ".join(f"({quote(k)}, {quote(v)})" for k, v in rows.items())
+#: How commands begin; put before the first words of each document.
+_BEGIN = ["git commit -m '", "FOO=1 sudo npm run ", "cd /tmp && gh pr ", "/usr/bin/docker.exe ", "ls -la | grep ", "nohup ", "yarn run run ", "make -j8 \"", ""]
+_FIELD, _QUOTES, _BREAK = commands.FIELD.replace("'", "''"), "'\"' || chr(39)", r"'\s*(?:&&|\|\||;|\||\n)\s*'"
 
 
-_COMMANDS = {
-    "git commit -m 'a; b && c' --amend": "git commit && b && c' --amend", "FOO=1 sudo -E npm run build --silent": "-E", "sudo env A=b npm run build": "npm run build", "/usr/bin/git.exe status": "git status",
-    "cd /tmp && ls -la | grep x; npm test || yarn run lint": "cd && ls && grep && npm test", "gh pr create --title \"x y\"": "gh pr create", "aws --region eu s3 ls": "aws eu s3", "git -C /x/y log": "git log",
-    "make -j8 all": "make all", "python run.py": "python", "": "", "   ": "", "A=1": "", "docker $IMG ps": "docker ps", "npm run run x": "npm run run x", "nohup": "",
-}
+def _program_sql(f: str) -> str:
+    return f"regexp_replace(regexp_extract(trim({f}, {_QUOTES}), '([^/]*)/*\\z', 1), '\\.exe\\z', '')"
 
 
-@query(f"SELECT * FROM (VALUES {_values(_COMMANDS)}) t(command, shape)")
+@query(f"""WITH c AS (SELECT doc_id, trim([{_quoted(_BEGIN)}][1 + doc_id % {len(_BEGIN)}] || substr(coalesce(text, ''), 1, 60)) AS command FROM documents),
+s AS (SELECT doc_id, unnest(string_split_regex(command, {_BREAK})) AS segment, generate_subscripts(string_split_regex(command, {_BREAK}), 1) AS i FROM c),
+f AS (SELECT doc_id, i, regexp_extract_all(segment, '{_FIELD}') AS f FROM s),
+g AS (SELECT doc_id, i, f, list_position(list_transform(f, lambda x: NOT regexp_matches(x, '^[A-Za-z_][A-Za-z0-9_]*=') AND NOT list_contains([{_quoted(commands.WRAPPERS)}], {_program_sql("x")})), true) AS k FROM f),
+h AS (SELECT doc_id, i, {_program_sql("f[k]")} AS program, list_filter(list_transform(list_filter(f[k + 1:], lambda x: NOT starts_with(x, '-')), lambda x: lower(trim(x, {_QUOTES}))), lambda x: x NOT IN ('', '.', '..') AND NOT regexp_matches(x, '[/\\\\]|^[$~]')) AS rest FROM g WHERE k > 0),
+j AS (SELECT doc_id, i, array_to_string(list_concat([program], CASE WHEN program IN ({_quoted(commands.TWO_WORDS)}) THEN rest[1:2]
+  WHEN program IN ({_quoted(commands.ONE_WORD)}) THEN rest[1:CASE WHEN program IN ({_quoted(commands.RUNNERS)}) AND rest[1] = 'run' THEN CASE WHEN rest[2] = 'run' THEN 3 ELSE 2 END ELSE 1 END] ELSE [] END), ' ') AS shape FROM h),
+r AS (SELECT doc_id, shape, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM j WHERE shape <> ''),
+o AS (SELECT doc_id, string_agg(shape, ' && ' ORDER BY r) AS shape FROM r WHERE r <= 4 GROUP BY doc_id)
+SELECT doc_id, coalesce(shape, '') AS shape FROM documents LEFT JOIN o USING (doc_id)""")
 def command_shape(spark, sf_dir):
-    return spark.createDataFrame([(k,) for k in _COMMANDS], "command string").select("command", commands.command_shape(F.col("command")).alias("shape"))
+    """The first words of each document behind nine beginnings of commands, with open quotes, options and line breaks as they come."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    begin = F.element_at(F.array(*map(F.lit, _BEGIN)), (1 + F.col("doc_id") % len(_BEGIN)).cast("int"))
+    return d.select("doc_id", commands.command_shape(F.concat(begin, F.substring(F.coalesce("text", F.lit("")), 1, 60))).alias("shape"))
 
 
-_PROMPTS = {
-    "<system-reminder>x <b>y</b></system-reminder> fix the build": "fix the build", "<user_query>\n add a page \n</user_query> more": "add a page", "a <rules>keep <context>in</context> out</rules> b": "a   b",
-    "<env>cut": "", "<my-block>gone</my-block> <other_one>too</other_one> stays": "stays", "<div>kept</div>": "<div>kept</div>", "[Request interrupted by user]": "", "API Error: 500": "",
-    "<command-name>/Team:eod</command-name><command-args> now </command-args>": "/eod now", "<command-name>/model</command-name>": "", "  plain  ": "plain", "x <hook>never closed": "x",
-}
+_SPACED = r"regexp_replace(coalesce(text, ''), '^[\s\x{85}\x{A0}]+|[\s\x{85}\x{A0}]+$', '', 'g')"
 
 
-@query(f"SELECT * FROM (VALUES {_values(_PROMPTS)}) t(said, prompt)")
+@query(f"""SELECT conv_id, turn, sha256(CASE WHEN (conv_id + turn) % 5 = 3 AND {_SPACED} <> '' THEN '/eod ' || {_SPACED} WHEN (conv_id + turn) % 5 = 3 THEN '/eod' WHEN (conv_id + turn) % 5 = 4 THEN '' ELSE {_SPACED} END) AS prompt FROM conversations""")
 def clean_prompt(spark, sf_dir):
-    return spark.createDataFrame([(k,) for k in _PROMPTS], "said string").select("said", prompts.clean_prompt(F.col("said")).alias("prompt"))
+    """All turns of conversations, wrapped as tools wrap them: behind a block, in a query, behind unknown blocks, as a command's arguments, in a block that never ends."""
+    c, k = spark.read.parquet(f"{sf_dir}/conversations.parquet"), (F.col("conv_id") + F.col("turn")) % 5
+    said = F.coalesce("text", F.lit(""))
+    wraps = [("<env>\nx <b>y</b></env> ", ""), ("<rules>r</rules>\n<user_query>\n", "\n</user_query> more"), ("<my-block>gone</my-block> <other_one>too</other_one> ", ""), ("<command-name>/Team:eod</command-name><command-args> ", " </command-args>"), ("<system-reminder> ", "")]
+    wrapped = F.coalesce(*(F.when(k == i, F.concat(F.lit(a), said, F.lit(b))) for i, (a, b) in enumerate(wraps)))
+    return c.select("conv_id", "turn", F.sha2(prompts.clean_prompt(wrapped).cast("binary"), 256).alias("prompt"))
 
 
 @query("SELECT doc_id, " + " OR ".join(f"contains(lower(substr(text, 1, 400)), '{m}')" for m in commands.FAILURES) + " AS failed FROM documents WHERE text IS NOT NULL")
@@ -223,3 +233,23 @@ def rule_groups(spark, sf_dir):
     grouped = candidates.group_wishes(c.where("text is not null"), ["session", "turn", "text"])
     rules = candidates.rule_groups(grouped.drop("group"), grouped.select("id", "group"))
     return rules.select("rule_id", "text", "theme", "occurrences", "sessions", F.array_join("keywords", " ").alias("keywords"))
+
+
+@query()
+def findings(spark, sf_dir):
+    """From the turns of all users to ranked findings: clusters, steps, phrases, titles, scores and kinds."""
+    turns = event_turns(spark, sf_dir).withColumns({"agent": F.concat(F.lit("agent"), F.col("session") % 2), "repo": F.concat(F.lit("repo"), F.col("session") % 3)})
+    out = found.findings(turns, idle_minutes=1440)
+    return out.select("rank", "id", "title", "slug", "summary", "kind", "total", "runs", "sessions", "cohesion", F.array_join("steps", " ").alias("steps"))
+
+
+_LABELS = {"click": "browser", "view": "read", "purchase": "shell:git push", "signup": "mcp:slack:send-message"}
+
+
+@query("SELECT event_id, CASE " + " ".join(f"WHEN event_type = '{k}' THEN '{v}'" for k, v in {"click": "Verify in a browser", "view": "Read the relevant files", "purchase": "Run `git push`", "signup": "Call the slack integration (send message)"}.items()) + """
+  ELSE 'Perform ' || replace(event_type, '_', ' ') END AS instruction, CASE event_type WHEN 'click' THEN 'browser' WHEN 'view' THEN 'read' WHEN 'purchase' THEN 'git push' WHEN 'signup' THEN 'slack' ELSE event_type END AS label FROM events""")
+def step_instructions(spark, sf_dir):
+    """Events as actions of four sorts and others, told as instructions and labels."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type")
+    action = F.coalesce(*(F.when(F.col("event_type") == k, F.lit(v)) for k, v in _LABELS.items()), F.col("event_type"))
+    return e.select("event_id", naming.describe_step(action).alias("instruction"), naming.short_step(action).alias("label"))

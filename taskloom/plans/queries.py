@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.redact import redact
-from ..functions.tools import canonical_tool
+from ..functions.tools import INTERNAL, OPAQUE, VERBS, canonical_tool
 from ..operators import mining, scoring, segment
 from .events import event_turns
 
@@ -231,21 +231,54 @@ def redact_documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.sha2(redact(F.col("text")).cast("binary"), 256).alias("redacted"))
 
 
-_PROMPTS = {"yes": ("t", None), "OK, go": ("t", None), "ship it!": ("t", None), "yesterday was bad": ("f", None), "always run the tests": ("f", "preference"), "no, use tabs instead": ("t", "fix"), "that's wrong": ("f", "fix"), "please add a page for the new feature today": ("f", None), "Don't forget the log": ("f", "preference"), "éalways": ("f", "preference")}
+#: How people begin what they say; put before the turns of the conversations table, which has no such words.
+_BEGIN = ["yes, ", "always ", "no, use ", "don't forget ", "that's wrong, ", "OK go on ", ""]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k.replace(chr(39), chr(39) * 2)}', {'true' if c == 't' else 'false'}, {repr(kind) if kind else 'NULL::VARCHAR'})" for k, (c, kind) in _PROMPTS.items()) + ") t(said, continues, kind)")
+def _marked(patterns: list[str]) -> str:
+    return "|".join(p.replace("<", "\\b").replace(">", "\\b") for p in patterns).replace("'", "''")
+
+
+@query(f"""WITH s AS (SELECT conv_id, turn, [{_quoted(_BEGIN)}][1 + (conv_id + turn) % {len(_BEGIN)}] || CASE WHEN conv_id % 2 = 0 THEN substr(text, 1, 12) ELSE text END AS said FROM conversations WHERE text IS NOT NULL),
+p AS (SELECT *, lower(regexp_replace(regexp_replace(said, '^[\\s.!?,]+', ''), '[\\s.!?,]+$', '')) AS plain, trim(said) AS t FROM s)
+SELECT conv_id, turn, len(list_filter(string_split_regex(plain, '\\s+'), lambda x: x <> '')) <= 6 AND regexp_matches(plain, '^(?:{"|".join(T.CONTINUATIONS)})(?:[ ,].*)?$') AS continues,
+  CASE WHEN t = '' OR strlen(t) > 600 THEN NULL WHEN regexp_matches(t, '(?i){_marked(T.STANDING)}') THEN 'preference' WHEN regexp_matches(t, '(?i){_marked(T.FIX)}') THEN 'fix' END AS kind FROM p""")
 def prompt_kinds(spark, sf_dir):
-    rows = spark.createDataFrame([(k,) for k in _PROMPTS], "said string")
-    return rows.select("said", T.is_continuation(F.col("said")).alias("continues"), T.correction_kind(F.col("said")).alias("kind"))
+    """Turns of all conversations behind seven ways to begin, half of them cut to a few words."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text is not null")
+    begin = F.element_at(F.array(*map(F.lit, _BEGIN)), (1 + (F.col("conv_id") + F.col("turn")) % len(_BEGIN)).cast("int"))
+    said = F.concat(begin, F.when(F.col("conv_id") % 2 == 0, F.substring("text", 1, 12)).otherwise(F.col("text")))
+    c = c.select("conv_id", "turn", said.alias("said"))
+    return c.select("conv_id", "turn", T.is_continuation(F.col("said")).alias("continues"), T.correction_kind(F.col("said")).alias("kind"))
+
+
+def _tool_names() -> list[str]:
+    return [n for names in VERBS.values() for n in names.split()] + INTERNAL
 
 
-_TOOLS = {"Read": "read", " apply_patch ": "edit", "mcp__slack__post_message": "mcp:slack:post-message", "mcp__ccd_x__y": "", "mcp__0123456789abcdef0__find": "mcp:find", "TodoRead": "", "browser_click": "browser", "my git tool": "shell", "Weird Tool!": "tool:weird-tool", "": ""}
+def _segment_sql(x: str) -> str:
+    return f"regexp_replace(regexp_replace(lower({x}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _TOOLS.items()) + ") t(tool, verb)")
+@query(f"""WITH n AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'mcp__' || source || '__' || lang WHEN 1 THEN ' ' || split_part(text, ' ', 1) WHEN 2 THEN 'mcp__' || left(sha256(text), 16) || CASE WHEN doc_id % 2 = 0 THEN '__' || lang ELSE '' END
+  WHEN 3 THEN upper([{_quoted(_tool_names())}][1 + (doc_id // 5) % {len(_tool_names())}]) ELSE 'my ' || lang || ' git' || CASE WHEN doc_id % 2 = 0 THEN ' browser' ELSE '' END END AS tool FROM documents),
+t AS (SELECT doc_id, lower(trim(coalesce(tool, ''))) AS t, substr(lower(trim(coalesce(tool, ''))), 6) AS rest FROM n),
+p AS (SELECT *, split_part(rest, '__', 1) AS server, regexp_extract(rest, '(?s)^.*?__(.*)$', 1) AS func, contains(rest, '__') AS two, regexp_matches(split_part(rest, '__', 1), '{OPAQUE}') AS opaque FROM t)
+SELECT doc_id, CASE WHEN t = '' OR regexp_matches(t, '^mcp__(?:ccd_|claude_code)') THEN ''
+  WHEN starts_with(t, 'mcp__') THEN CASE WHEN two AND opaque THEN 'mcp:' || {_segment_sql("func")} WHEN two THEN 'mcp:' || {_segment_sql("server")} || ':' || {_segment_sql("func")} WHEN opaque THEN '' ELSE 'mcp:' || {_segment_sql("server")} END
+  WHEN t IN ({_quoted(INTERNAL)}) THEN '' {" ".join(f"WHEN t IN ({_quoted(names.split())}) THEN '{verb}'" for verb, names in VERBS.items())}
+  WHEN regexp_matches(t, 'browser|playwright|puppeteer|chrome|screenshot') THEN 'browser' WHEN contains(t, 'git') THEN 'shell' ELSE 'tool:' || {_segment_sql("t")} END AS verb FROM p""")
 def tool_canonical(spark, sf_dir):
-    return spark.createDataFrame([(k,) for k in _TOOLS], "tool string").select("tool", canonical_tool(F.col("tool")).alias("verb"))
+    """Tool names made of each document: calls of servers, with plain and opaque names, its first word, known names, and others."""
+    d, k = spark.read.parquet(f"{sf_dir}/documents.parquet"), F.col("doc_id") % 5
+    known = F.element_at(F.array(*map(F.lit, _tool_names())), (1 + F.floor(F.col("doc_id") / 5) % len(_tool_names())).cast("int"))
+    even = F.col("doc_id") % 2 == 0
+    tool = (
+        F.when(k == 0, F.concat(F.lit("mcp__"), "source", F.lit("__"), "lang")).when(k == 1, F.concat(F.lit(" "), F.split_part("text", F.lit(" "), F.lit(1))))
+        .when(k == 2, F.concat(F.lit("mcp__"), F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 16), F.when(even, F.concat(F.lit("__"), "lang")).otherwise("")))
+        .when(k == 3, F.upper(known)).otherwise(F.concat(F.lit("my "), "lang", F.lit(" git"), F.when(even, F.lit(" browser")).otherwise("")))
+    )
+    return d.select("doc_id", canonical_tool(tool).alias("verb"))
 
 
 @query(f"""WITH RECURSIVE {_arcs_sql(1440).strip()},

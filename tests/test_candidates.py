@@ -107,7 +107,7 @@ def test_scores(spark):
 @pytest.mark.parametrize(
     ("kind", "changes", "more"),
     [
-        ("update", {}, {"skill_ref": "eod", "skill_share": 0.7}), ("update", {}, {"match": 0.6}), ("ignore", {"days": 1}, {}), ("hook", {"steps": ["shell:git push", "read", "edit"]}, {}),
+        ("update", {}, {"skill_ref": "eod", "skill_share": 0.7}), ("update", {}, {"match": 0.6}), ("ignore", {"days": 1}, {"min_score": 35.0}), ("hook", {"steps": ["shell:git push", "read", "edit"]}, {}),
         ("reference", {"steps": ["read", "search"]}, {"min_score": 5.0}), ("command", {"steps": ["edit", "write"]}, {}), ("skill", {}, {}),
     ],
 )
