@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import commands, prompts
 from ..functions import text as T
-from ..operators import candidates, classify as kinds, clusters, findings as found, mining, naming, scoring, segment, similar
+from ..operators import candidates, classify as kinds, clusters, evaluation, findings as found, leaders, mining, naming, scoring, segment, similar
+from ..written import written
 from .events import event_turns
 from .queries import _CADENCE_SQL, _arcs_sql, _quoted, _tokens_sql, query
 
@@ -253,3 +254,16 @@ def step_instructions(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type")
     action = F.coalesce(*(F.when(F.col("event_type") == k, F.lit(v)) for k, v in _LABELS.items()), F.col("event_type"))
     return e.select("event_id", naming.describe_step(action).alias("instruction"), naming.short_step(action).alias("label"))
+
+
+@query()
+def recall_as_of(spark, sf_dir):
+    """Each user's last arc as a truth of its day: was its work among the groups of arcs that were there before it, and at which rank?"""
+    arcs = _arcs(spark, sf_dir)
+    words = clusters.intent_tokens(F.col("intent"), F.col("prompts"), F.col("tools"))
+    rows = written(leaders.numbered(arcs.select("session", "arc", "start", words.alias("tokens"), similar.step_set(F.col("steps")).alias("set")), "start", "session", "arc"))
+    each = rows.select("n", F.explode("tokens").alias("token"))
+    groups = leaders.greedy_groups(rows, rows.select("n", F.explode("set").alias("item")), mining.tfidf(rows, "n", F.col("tokens")), 0.42, 0.55)
+    last = rows.groupBy("session").agg(F.max(F.struct("arc", "start", "tokens")).alias("last"))
+    truths = last.select(F.col("session").alias("truth_id"), F.col("last.start").alias("cutoff"), F.col("last.tokens").alias("tokens"))
+    return candidates.recall(evaluation.ranks_as_of(truths, rows.select("n", "start"), groups, each))
