@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.fpm import FPGrowth
+from pyspark.ml.fpm import FPGrowth, FPGrowthModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,29 +74,60 @@ def _token_classes(rows: DataFrame, least: int) -> DataFrame:
     return seen.groupBy("n", "h1", "h2").agg(F.min("token").alias("rep"), F.collect_list("token").alias("tokens")).select("rep", F.explode("tokens").alias("token"))
 
 
+#: Rows that a rule must hold for at least, however few the labelled rows are: less says nothing, and on few rows a share of them bounds no combination.
+LEAST_ROWS = 20
+
+
+def _good_rules(model: FPGrowthModel, n: int, min_confidence: float, min_lift: float) -> DataFrame:
+    """(rule, confidence, lift, support) that no shorter good rule of as much confidence implies.
+
+    Sizes are taken in turn: all subsets of a frequent set are frequent, so the
+    surest good rule within a set is the surest of what its subsets of one token
+    less hold, and sets are joined with these alone, never with all rules.
+    """
+    sets = model.freqItemsets
+    with_block = sets.where(F.array_contains("items", BLOCK))
+    blocked = F.array_sort(F.array_remove("items", BLOCK))
+    all_ = with_block.where(F.size("items") == 1).select(F.col("freq").alias("n_block"))
+    each = with_block.where(F.size("items") > 1).select(blocked.alias("rule"), F.col("freq").alias("both")).join(sets.select(F.array_sort("items").alias("rule"), "freq"), "rule")
+    each = each.join(F.broadcast(all_)).select("rule", (F.col("both") / F.col("freq")).alias("confidence"), (F.col("both") / F.col("freq") / (F.col("n_block") / n)).alias("lift"), (F.col("both") / n).alias("support"))
+    each = stored(each.withColumn("good", (F.col("confidence") >= min_confidence) & (F.col("lift") >= min_lift)))
+    found, surest = None, None
+    for size in range(1, (each.agg(F.max(F.size("rule"))).first()[0] or 0) + 1):
+        mine = each.where(F.size("rule") == size)
+        if surest is not None:
+            parts = mine.select("rule", F.explode(F.transform("rule", lambda t: F.array_remove("rule", t))).alias("part"))
+            within = parts.join(surest.withColumnRenamed("rule", "part"), "part").groupBy("rule").agg(F.max("surest").alias("within"))
+            mine = mine.join(within, "rule", "left")
+        else:
+            mine = mine.withColumn("within", F.lit(None).cast("double"))
+        mine = stored(mine)
+        surest = mine.select("rule", F.greatest("within", F.when(F.col("good"), F.col("confidence"))).alias("surest"))
+        kept = mine.where("good and (within is null or within < confidence)").select("rule", "confidence", "lift", "support")
+        found = kept if found is None else found.union(kept)
+    return found if found is not None else each.select("rule", "confidence", "lift", "support")
+
+
 def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5, min_lift: float = 1.2, url: str = "url", block: str = "block") -> DataFrame:
     """(rule, confidence, lift, support): token sets that go with ``block``.
 
     ``labelled`` has a URL and a boolean; rows where either is null teach
     nothing. Repeated rows count as often as they stand. No labelled row, or
-    none of the rules good enough, gives no rule. A rule that contains a kept
-    shorter rule of no less confidence is dropped.
+    none of the rules good enough, gives no rule. A rule holds for
+    ``min_support`` of the rows and for ``LEAST_ROWS`` rows at least. A rule
+    that contains a kept shorter rule of no less confidence is dropped.
     """
     rows = stored(labelled.where(F.col(url).isNotNull() & F.col(block).isNotNull()).select(F.array_sort(tokens(F.col(url))).alias("t"), F.col(block).alias("block")))
     # Tokens below the support are in no rule. Tokens of the very same rows are mined as one: a rule with two of them says no more than with one.
-    classes = stored(_token_classes(rows, math.ceil(min_support * rows.count())))
+    n = max(1, rows.count())
+    least = max(LEAST_ROWS, math.ceil(min_support * n))
+    classes = stored(_token_classes(rows, least))
     sets = rows.select("t").distinct()
     mapped = sets.select("t", F.explode("t").alias("token")).join(classes, "token").groupBy("t").agg(F.collect_set("rep").alias("reps"))
     reps = F.coalesce("reps", F.array().cast("array<string>"))
     items = rows.join(mapped, "t", "left").select(F.when(F.col("block"), F.array_append(reps, F.lit(BLOCK))).otherwise(reps).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(stored(items))
-    found = model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK))).where(F.col("lift") >= min_lift)
-    found = stored(found.select(F.array_sort("antecedent").alias("rule"), "confidence", "lift", "support"))
-    # A shorter rule is among the subsets of a longer one.
-    parts = found.select("rule", "confidence", F.explode("rule").alias("token"))
-    shorter = found.select(F.col("rule").alias("small"), F.col("confidence").alias("as_sure"), F.element_at("rule", 1).alias("token"))
-    implied = parts.join(shorter, "token").where((F.size("small") < F.size("rule")) & (F.size(F.array_except("small", "rule")) == 0) & (F.col("as_sure") >= F.col("confidence"))).select("rule").distinct()
-    kept = found.join(implied, "rule", "left_anti")
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / n), minConfidence=min_confidence).fit(stored(items))
+    kept = stored(_good_rules(model, n, min_confidence, min_lift))
     # Each rule once for every choice of a token from each of its classes.
     members = classes.groupBy("rep").agg(F.collect_list("token").alias("tokens"))
     choices = kept.select("rule", F.explode("rule").alias("rep")).join(members, "rep").groupBy("rule").agg(F.collect_list("tokens").alias("choices"))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from taskloom.llm import align, decontaminate, resample, topk
+from taskloom.llm import align, decontaminate, resample, topk, url_filter
 from taskloom.llm.queries import TOKENIZERS
 
 A_FILE, B_FILE = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model"
@@ -182,3 +182,28 @@ def test_empty_tables(spark, tmp_path):
     assert topk.top_k(none, F.col("vec_id") % 10 == 0).count() == 0
     some = written(spark, tmp_path / "g", [(1, "one two three " * 9, "", 1, "", "", 0.0)])
     assert resample.resample(some, docs).select("n_features", "rank").collect() == [(53, None)]
+
+
+def test_rules_of_many_overlapping_keys(spark):
+    """The rules of 8 keys are those of a naive miner; 20 keys on 1,000 URLs end, too."""
+    rng = random.Random(8)
+
+    def labelled(keys, n=1000):
+        rows = []
+        for _ in range(n):
+            mine = [k for k in range(keys) if rng.random() < 0.5]
+            rows.append(("http://a.b/?" + "&".join(f"k{k}" for k in mine), rng.random() < 0.3 + 0.4 * (1 in mine and 2 in mine) + 0.2 * (3 in mine)))
+        return rows
+
+    rows = labelled(8)
+    got = {tuple(r.rule): (round(r.confidence, 9), round(r.support, 9)) for r in url_filter.mine_rules(spark.createDataFrame(rows, "url string, block boolean")).collect()}
+    good, base = {}, sum(b for _, b in rows) / len(rows)
+    sets = [(frozenset(x for x in url.partition("?")[2].split("&") if x), b) for url, b in rows]
+    for mask in range(1, 256):
+        want = frozenset(f"k{k}" for k in range(8) if mask >> k & 1)
+        held = [b for s, b in sets if want <= s]
+        if sum(held) >= 20 and sum(held) / len(held) >= max(0.5, 1.2 * base):
+            good[want] = (sum(held) / len(held), sum(held) / len(rows))
+    kept = {r: v for r, v in good.items() if not any(s < r and good[s][0] >= v[0] for s in good)}
+    assert kept and got == {tuple(sorted(f"q:{k}" for k in r)): (round(c, 9), round(s, 9)) for r, (c, s) in kept.items()}
+    assert url_filter.mine_rules(spark.createDataFrame(labelled(20), "url string, block boolean")).where("size(rule) = 2").count() > 0
