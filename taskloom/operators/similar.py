@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, shingles
+from ..written import written
 
 
 def _pairs(index: DataFrame) -> DataFrame:
@@ -18,15 +19,21 @@ def _pairs(index: DataFrame) -> DataFrame:
 def jaccard_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, jaccard): all pairs of (id, items) with a similarity of ``threshold`` (over 0) or more, a < b.
 
-    Only the rarest items of a set, whose number its size fixes, are joined.
-    Empty sets are in no pair; ids must differ.
+    Only the rarest items of a set, whose number its size fixes, are joined, and
+    only sets whose sizes and places of the item leave room for the similarity.
+    Empty sets are in no pair; ids must differ. Equal sets make pairs like
+    others: where many are equal, join their ``classes``.
     """
     s = sets.select("id", F.array_distinct("items").alias("items")).where("size(items) > 0")
     each = s.select("id", F.size("items").alias("n"), F.explode("items").alias("token"))
     df = each.groupBy("token").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
     index = each.join(df, "token").withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
-    found = _pairs(index).join(s.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(s.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
+    a, b = (index.select("token", F.col("id").alias(x), F.col("n").alias(f"n{x}"), (F.col("n") - F.col("r")).alias(f"left{x}")) for x in "ab")
+    need = F.ceil((F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9)
+    room = (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9) & (F.least("lefta", "leftb") + F.least(F.col("na") - F.col("lefta"), F.col("nb") - F.col("leftb")) >= need)
+    pairs = a.join(b, "token").where("a < b").where(room).select("a", "b").distinct()
+    found = pairs.join(s.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(s.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
     return found.select("a", "b", jaccard(F.col("x"), F.col("y")).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
@@ -107,9 +114,25 @@ def groups(ids: DataFrame, links: DataFrame, most_rounds: int = 50) -> DataFrame
     raise RuntimeError("groups did not settle")
 
 
-def cluster_arcs(vectors: DataFrame, sets: DataFrame, threshold: float = 0.42, min_runs: int = 3) -> DataFrame:
-    """(id, group): arcs whose blended similarity holds them together, in groups of ``min_runs`` at least."""
-    found = groups(sets.select("id"), blended_pairs(vectors, sets, threshold))
+def classes(vectors: DataFrame, sets: DataFrame, threshold: float = 0.42, weight: float = 0.55) -> DataFrame:
+    """(id, class): rows with the very same vector and set stand together, named by the least id.
+
+    A row that is not even like itself by the threshold, having no vector, is a
+    class of its own.
+    """
+    told = vectors.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("token", "weight"))).alias("vector"))
+    rows = sets.select("id", F.array_sort(F.array_distinct("items")).alias("items")).join(told, "id", "left").withColumn("alone", F.when(F.col("vector").isNull() & F.lit(1 - weight < threshold), F.col("id")))
+    same = rows.groupBy("items", "vector", "alone").agg(F.min("id").alias("class"))
+    on = [rows[c].eqNullSafe(same[c]) for c in ("items", "vector", "alone")]
+    return rows.join(same, on).select("id", "class")
+
+
+def alike_groups(vectors: DataFrame, sets: DataFrame, threshold: float = 0.42, min_runs: int = 3) -> DataFrame:
+    """(id, group): rows that blended similarity holds together, in groups of ``min_runs`` at least; only different rows are joined."""
+    of = written(classes(vectors, sets, threshold))
+    firsts = of.where(F.col("id") == F.col("class")).select("id")
+    found = groups(firsts, blended_pairs(vectors.join(firsts, "id", "left_semi"), sets.join(firsts, "id", "left_semi"), threshold))
+    found = of.join(found.withColumnRenamed("id", "class"), "class").select("id", "group")
     kept = found.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") >= min_runs).select("group")
     return found.join(kept, "group").select("id", "group")
 

@@ -73,7 +73,7 @@ def test_pairs_and_groups(spark):
     cohesion = {r.group: r.cohesion for r in similar.cohesion(members, v, s).collect()}
     alone = next(i for i in root if list(root.values()).count(root[i]) == 1 and items[i])
     assert cohesion[alone] == pytest.approx(1.0) and all(0 <= c <= 1 + 1e-9 for c in cohesion.values())
-    assert {r.id for r in similar.cluster_arcs(v, s).collect()} == {i for i in root if list(root.values()).count(root[i]) >= 3}
+    assert {r.id for r in similar.alike_groups(v, s).collect()} == {i for i in root if list(root.values()).count(root[i]) >= 3}
 
 
 def test_phrases_verbs_and_rules(spark):
@@ -129,3 +129,10 @@ def test_evidence_is_spread(spark):
     arcs = spark.createDataFrame([("g", f"a{i:02}", dt.datetime(2024, 1, 1 + i)) for i in range(20)] + [("h", "b", None)], "g string, arc_id string, start timestamp")
     got = sorted((r.g, r.pick, r.arc_id) for r in candidates.evidence(arcs, "g").collect())
     assert got == [("g", i, f"a{int(i * 19 / 7 + 0.5):02}") for i in range(8)] + [("h", 0, "b")]
+
+
+def test_many_equal_rows_are_one_class(spark):
+    n = 100_000
+    sets = spark.range(n + 2).select("id", F.when(F.col("id") < n, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("z"))).alias("items"))
+    vectors = spark.range(n).select("id", F.lit("t").alias("token"), F.lit(1.5).alias("weight"))
+    assert [tuple(r) for r in similar.alike_groups(vectors, sets).groupBy("group").count().collect()] == [(0, n)]
