@@ -191,13 +191,17 @@ def score_total(spark, sf_dir):
     return _scored(spark, sf_dir).select("session", "total", "raw", *parts)
 
 
-@query(f"""WITH {_SCORED} SELECT session, CASE WHEN session % 11 = 0 THEN 'update' WHEN session % 13 = 0 THEN 'update' WHEN total < 20 THEN 'ignore'
-  WHEN len(steps) >= 2 AND len(list_filter(steps, lambda s: s IN ('edit', 'write', 'browser') OR s LIKE 'shell:%')) = 0 AND len(list_filter(steps, lambda s: s IN ('read', 'search', 'list', 'web_fetch'))) / len(steps)::DOUBLE >= 0.8 THEN 'reference'
-  WHEN len(steps) <= 3 AND regularity > 0.4 THEN 'command' ELSE 'skill' END AS kind FROM totals""")
+@query(f"""WITH {_SCORED}, told AS (SELECT *, CASE session % 7 WHEN 3 THEN ['read', 'search', 'list'] WHEN 5 THEN ['shell:git push', 'edit', 'write', 'browser'] ELSE steps END AS done FROM totals)
+SELECT session, CASE WHEN session % 11 = 0 THEN 'update' WHEN session % 13 = 0 THEN 'update' WHEN total < 66 THEN 'ignore' WHEN session % 7 = 5 THEN 'hook'
+  WHEN len(done) >= 2 AND len(list_filter(done, lambda s: s IN ('edit', 'write', 'browser') OR s LIKE 'shell:%')) = 0 AND len(list_filter(done, lambda s: s IN ('read', 'search', 'list', 'web_fetch'))) / len(done)::DOUBLE >= 0.8 THEN 'reference'
+  WHEN len(done) <= 3 AND regularity > 0.4 THEN 'command' ELSE 'skill' END AS kind FROM told""")
 def classify_kind(spark, sf_dir):
+    """Scored users; the number of some gives them a skill, a match, or the steps of a reference or a hook."""
     u = F.col("session")
     c = _scored(spark, sf_dir).withColumns({"skill_ref": F.when(u % 11 == 0, F.lit("eod")), "skill_share": F.when(u % 11 == 0, F.lit(0.7)), "match": F.when(u % 13 == 0, F.lit(0.6))})
-    return kinds.classify(c, 20.0).select("session", "kind")
+    reading, pushing = (F.array(*map(F.lit, x)) for x in (["read", "search", "list"], ["shell:git push", "edit", "write", "browser"]))
+    c = c.withColumns({"steps": F.when(u % 7 == 3, reading).when(u % 7 == 5, pushing).otherwise(F.col("steps")), "first_support": F.when(u % 7 == 5, F.lit(0.9)).otherwise(F.lit(0.0))})
+    return kinds.classify(c, 66.0).select("session", "kind")
 
 
 @query(f"""WITH {_tokens_sql('documents', 'doc_id')}, t AS (SELECT DISTINCT doc_id, token FROM tok),
