@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.commands import command_shape, extract_command, failed, flatten_args, path_shapes, repo_name
-from ..functions.prompts import clean_prompt, repair_punctuation, skill_refs, without_skill_refs
+from ..functions.prompts import clean_prompt, gist, repair_punctuation, skill_refs, without_skill_refs
 from ..functions.redact import redact
 from ..functions.text import bound
 from ..functions.tools import canonical_tool
@@ -288,7 +288,7 @@ def _pieces_of(rows: DataFrame, layout: Layout) -> DataFrame:
     x, about = F.col("x"), F.col("about")
     told = F.struct(
         F.coalesce(_get(r, "sessionId", "session_id"), _get(x, "sessionId", "session_id"), F.when(_get(r, "type") == "session_meta", _get(x, "id")), _get(about, "sessionId", "session_id", "id")).alias("id"),
-        F.coalesce(_get(r, "aiTitle", "title"), _get(about, "title", "summary", "name")).alias("title"),
+        F.coalesce(_get(r, "aiTitle", "title"), _get(about, "title", "summary", "name"), F.when(_get(x, "type") == "task_complete", gist(_get(x, "last_agent_message"), 90))).alias("title"),
         F.coalesce(_folder(r), _folder(x), _folder(about)).alias("folder"),
         _get(r, "gitBranch").alias("branch"),
         _time(about, ["startTime", "start_time", "createdAt", "lastUpdated"]).alias("begun"),
@@ -351,8 +351,14 @@ def read_transcripts(spark: SparkSession, path: str, agent: str = "generic", hom
     # Where a tool keeps one folder for each session, the folder's name is its id.
     session = F.coalesce("sibling.id", by_path if layout.spoken else F.coalesce("id", by_path))
     folder = F.coalesce("sibling.folder", "folder", project, F.lit(""))
-    told = told.select(name, session.alias("session"), redact(F.coalesce("sibling.title", "title"), home, keep_mail).alias("title"), (F.replace(folder, F.lit(home), F.lit("${HOME}")) if home else folder).alias("workspace"), "branch", F.coalesce("sibling.begun", "begun").alias("begun"))
+    told = told.select(name, session.alias("session"), F.coalesce("sibling.title", "title").alias("title"), folder.alias("folder"), "branch", F.coalesce("sibling.begun", "begun").alias("begun"))
+    return _turns(each, told, agent, home, keep_mail, layout.mtime)
 
+
+def _turns(each: DataFrame, told: DataFrame, agent: str, home: str, keep_mail: bool, mtime: bool) -> DataFrame:
+    """Turns of the pieces (source, mtime, block, line, part, who, at, p) and of what is told of each source (session, title, folder, branch, begun)."""
+    folder = F.coalesce("folder", F.lit(""))
+    told = told.withColumn("title", redact(F.col("title"), home, keep_mail)).withColumn("workspace", F.replace(folder, F.lit(home), F.lit("${HOME}")) if home else folder).drop("folder")
     of_tool = (F.col("who") == "tool") & (F.col("p.kind") == "message")
     kind = F.when(of_tool, F.lit("tool_result")).otherwise(F.col("p.kind"))
     each = each.where("p is not null").join(told, "source").withColumn("kind", kind)
@@ -368,7 +374,7 @@ def read_transcripts(spark: SparkSession, path: str, agent: str = "generic", hom
     # Written, so that no filter below is carried into these expressions.
     made = written(each.select(
         F.lit(agent).alias("agent"), "session", "source", "title", "workspace", "branch", "block", "line", "part", "kind",
-        F.when(F.col("kind") == "tool_result", "tool").otherwise(F.col("who")).alias("actor"), (F.coalesce("at", "begun", "mtime") if layout.mtime else F.col("at")).alias("at"), shown.alias("text"),
+        F.when(F.col("kind") == "tool_result", "tool").otherwise(F.col("who")).alias("actor"), (F.coalesce("at", "begun", "mtime") if mtime else F.col("at")).alias("at"), shown.alias("text"),
         F.when(call, canonical_tool(F.col("p.name"))).alias("tool"), F.when(call, args).alias("args"),
         ((F.col("kind") == "tool_result") & failed(raw, F.col("p.flag"), F.col("p.status"))).alias("is_error"), F.when(prompt, skill_refs(raw)).alias("skills"),
     ))

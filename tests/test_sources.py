@@ -1,8 +1,10 @@
 import json
+import sqlite3
 
 import pytest
 
 from taskloom.sources import transcripts
+from taskloom.sources.store import read_store
 from taskloom.sources.transcripts import LAYOUTS, agent_stats, read_jsonl, read_transcripts
 
 
@@ -47,7 +49,7 @@ def test_payloads(spark, tmp_path):
     ]
     write(tmp_path, "c.jsonl", rows)
     assert turns(spark, tmp_path, "codex") == [("user", "message", "fix the lint", None, None, False), ("assistant", "tool_call", None, "shell", "npm run lint", False), ("tool", "tool_result", "Error: lint", None, None, True)]
-    assert {(r.session, r.repo) for r in read_transcripts(spark, str(tmp_path), "codex").collect()} == {("c1", "api")}
+    assert {(r.session, r.repo, r.title) for r in read_transcripts(spark, str(tmp_path), "codex").collect()} == {("c1", "api", "done")}
 
 
 PARTS = [
@@ -142,3 +144,34 @@ def test_large_files_are_split(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert [r.idx for r in got] == list(range(1, 4001)) and [int(r.text.split()[1]) for r in got] == list(range(4000))
+
+
+def test_databases(spark, tmp_path):
+    """The tables of today and the older ones; child sessions, bookkeeping rows and broken payloads are left out."""
+    new, old = sqlite3.connect(tmp_path / "new.db"), sqlite3.connect(tmp_path / "old.db")
+    sessions = "(id TEXT, directory TEXT, title TEXT, time_created INTEGER, time_updated INTEGER, parent_id TEXT)"
+    new.execute(f"CREATE TABLE session_v2 {sessions}")
+    new.execute("CREATE TABLE session_message (session_id TEXT, type TEXT, seq INTEGER, time_created INTEGER, data TEXT)")
+    new.executemany("INSERT INTO session_v2 VALUES (?, ?, ?, ?, ?, ?)", [("a", "/w/shop", "Lint", 1704103200000, 0, None), ("kid", "/w", "", 0, 0, "a")])
+    tool = {"type": "tool", "tool": "bash", "state": {"input": {"command": "npm run lint"}, "output": "1 problem", "status": "error"}}
+    said = [
+        ("a", "assistant", 2, 1704103320000, json.dumps({"content": [{"type": "text", "text": "on it"}, tool, {"type": "patch", "files": ["ui/a.ts", "ui/b.ts"]}]})), ("a", "user", 1, 1704103260000, json.dumps({"text": "lint it"})),
+        ("a", "agent-switched", 3, 0, "{}"), ("a", "user", 4, 0, "{broken"), ("kid", "user", 1, 0, json.dumps({"text": "aside"})), ("none", "user", 1, 0, json.dumps({"text": "aside"})),
+    ]
+    new.executemany("INSERT INTO session_message VALUES (?, ?, ?, ?, ?)", said)
+    old.execute(f"CREATE TABLE session {sessions}")
+    old.execute("CREATE TABLE message (id TEXT, session_id TEXT, time_created INTEGER, data TEXT)")
+    old.execute("CREATE TABLE part (message_id TEXT, time_created INTEGER, data TEXT)")
+    old.execute("INSERT INTO session VALUES ('b', '/w/api', '', 0, 0, '')")
+    old.executemany("INSERT INTO message VALUES (?, ?, ?, ?)", [("m2", "b", 1704103400000, '{"role": "assistant"}'), ("m1", "b", 1704103300000, '{"role": "user"}')])
+    old.executemany("INSERT INTO part VALUES (?, ?, ?)", [("m2", 2, json.dumps({"type": "tool-call", "name": "read", "input": {"path": "src/x/y.go"}})), ("m1", 1, json.dumps({"type": "text", "text": "read it"})), ("m2", 1, json.dumps({"type": "text", "text": "so"})), ("m2", 3, "broken")])
+    for db in (new, old):
+        db.commit()
+        db.close()
+    (tmp_path / "other.db").write_bytes(b"no database")
+    got = [(r.session, r.title, r.repo, r.actor, r.kind, r.text, r.tool, r.command, r.is_error, r.paths) for r in read_store(spark, str(tmp_path)).orderBy("session", "idx").collect()]
+    assert got == [
+        ("a", "Lint", "shop", "user", "message", "lint it", None, None, False, []), ("a", "Lint", "shop", "assistant", "message", "on it", None, None, False, []), ("a", "Lint", "shop", "assistant", "tool_call", None, "shell", "npm run lint", False, []),
+        ("a", "Lint", "shop", "tool", "tool_result", "1 problem", None, None, True, []), ("a", "Lint", "shop", "assistant", "tool_call", None, "edit", None, False, ["ui/*.ts", "ui/*.ts"]),
+        ("b", "", "api", "user", "message", "read it", None, None, False, []), ("b", "", "api", "assistant", "message", "so", None, None, False, []), ("b", "", "api", "assistant", "tool_call", None, "read", None, False, ["src/x/*.go"]),
+    ]
