@@ -126,30 +126,38 @@ def test_line_links(docs):
     assert got == {r: (removed[r], links[r], root[r]) for r in root}
 
 
-def test_near_groups(docs):
+@pytest.mark.parametrize("rarity", [False, True])
+def test_near_groups(docs, rarity):
     rows = docs.select("doc_id", "text").collect()
     sets = []
     for r in rows:
         w = re.findall(r"[a-z0-9\u0080-\U0010ffff]+", (r.text or "").lower())
-        c = collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else {}
-        sets.append({(k, m) for k, v in c.items() for m in range(v)})
+        sets.append(collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else {})
+    n, held = sum(map(bool, sets)), collections.Counter(x for s in sets for x in s)
+    sets = [{x: c * (np.log1p(n / held[x]) if rarity else 1) for x, c in s.items()} for s in sets]
     root = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
-            both = len(sets[i] & sets[j])
-            if both and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+            both = sum(min(w, sets[j].get(x, 0)) for x, w in sets[i].items())
+            if both and both >= 0.8 * (sum(sets[i].values()) + sum(sets[j].values()) - both):
                 old, new = root[i], root[j]
                 root = [new if x == old else x for x in root]
-    got = near_dedup.near_groups(plain(docs)).collect()
+    got = near_dedup.near_groups(plain(docs), rarity=rarity).collect()
     assert len(got) == len(rows) and sum(r.kept for r in got) == len(set(root))
-    assert sorted(collections.Counter(root).values()) == sorted(r.group_size for r in got if r.kept)
+    groups: dict[int, list] = collections.defaultdict(list)
+    for r, c in zip(rows, root):
+        groups[c].append(r.doc_id)
+    least = {c: min((x for x in g if x is not None), default=None) for c, g in groups.items()}
+    assert collections.Counter((r.doc_id, r.group_id, r.group_size) for r in got) == collections.Counter((r.doc_id, least[c], len(groups[c])) for r, c in zip(rows, root))
 
 
 def test_signatures_estimate_weighted_jaccard():
-    a, b = np.arange(400, dtype=np.uint64), np.arange(80, 480, dtype=np.uint64)
-    doc = np.repeat([0, 1], 400)
-    sig = near_dedup.dart_signatures(doc, near_dedup.bytetext.mix(np.concatenate([a, b]) + np.uint64(1)), 2, 2000)
-    assert abs((sig[0] == sig[1]).mean() - 320 / 480) < 0.05
+    rng = np.random.default_rng(3)
+    for a, b in ((np.ones(400), np.ones(400)), (rng.exponential(3.0, 400), rng.exponential(3.0, 400)), (rng.integers(1, 30, 400) * 1.0, np.full(400, 7.5))):
+        element = np.concatenate([np.arange(400), np.arange(80, 480)]).astype(np.uint64)
+        sig = near_dedup.dart_signatures(np.repeat([0, 1], 400), element, np.concatenate([a, b]), 2, 4000)
+        both = np.minimum(a[80:], b[:320]).sum()
+        assert abs((sig[0] == sig[1]).mean() - both / (a.sum() + b.sum() - both)) < 0.04
 
 
 def test_vectors(spark, tmp_path):
