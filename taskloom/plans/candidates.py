@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import commands, prompts
 from ..functions import text as T
-from ..operators import candidates, classify as kinds, clusters, evaluation, findings as found, leaders, mining, naming, scoring, segment, similar
+from ..operators import candidates, classify as kinds, clusters, evaluation, findings as found, leaders, mining, naming, report, scoring, segment, similar
+from ..sources.transcripts import agent_stats
 from ..written import written
 from .events import event_turns
 from .queries import _CADENCE_SQL, _arcs_sql, _quoted, _tokens_sql, query
@@ -271,3 +272,45 @@ def recall_as_of(spark, sf_dir):
     last = rows.groupBy("session").agg(F.max(F.struct("arc", "start", "tokens")).alias("last"))
     truths = last.select(F.col("session").alias("truth_id"), F.col("last.start").alias("cutoff"), F.col("last.tokens").alias("tokens"))
     return candidates.recall(evaluation.ranks_as_of(truths, rows.select("n", "start"), groups, each))
+
+
+@query("""WITH s AS (SELECT event_type AS agent, count(DISTINCT user_id) AS sessions, min(ts) AS earliest, max(ts) AS latest FROM events GROUP BY event_type)
+SELECT min(earliest) AS earliest, max(latest) AS latest, coalesce(sum(sessions), 0)::BIGINT AS sessions, count(*) AS agents,
+  CASE WHEN min(earliest) IS NULL THEN 'undated' ELSE strftime(min(earliest), '%Y-%m-%d') || ' → ' || strftime(max(latest), '%Y-%m-%d') END AS range FROM s""")
+def report_window(spark, sf_dir):
+    """What a report over all events covers, each type of event being an agent."""
+    w = report.window(agent_stats(event_turns(spark, sf_dir).withColumn("agent", F.coalesce("tool", "actor"))))
+    return w.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("earliest", "latest")})
+
+
+@query("""WITH n AS (SELECT max(ts) AS now FROM events), s AS (SELECT user_id AS session, min(ts) AS a, max(ts) AS z, any_value(now) AS now FROM events, n GROUP BY user_id)
+SELECT session, CASE WHEN a IS NULL THEN 'undated' ELSE strftime(a, '%Y-%m-%d') || ' → ' || strftime(z, '%Y-%m-%d') END AS range,
+  CASE WHEN z IS NULL THEN 'unknown' WHEN date_sub('second', z, now) < 60 THEN 'just now' WHEN date_sub('second', z, now) < 3600 THEN date_sub('minute', z, now) || ' minutes ago'
+    WHEN date_sub('second', z, now) < 86400 THEN date_sub('hour', z, now) || ' hours ago' ELSE date_sub('hour', z, now) // 24 || ' days ago' END AS age FROM s""")
+def session_ages(spark, sf_dir):
+    """Days of each user's first and last event, and how long before the last of all events the user's last was."""
+    t = event_turns(spark, sf_dir)
+    now = t.agg(F.max("at").alias("now")).scalar()
+    s = t.groupBy("session").agg(F.min("at").alias("a"), F.max("at").alias("z"))
+    return s.select("session", report.range_label(F.col("a"), F.col("z")).alias("range"), report.age_label(F.col("z"), now).alias("age"))
+
+
+@query(f"""WITH lines AS (SELECT trim(unnest(list_distinct(string_split(text, chr(10))))) AS line, doc_id FROM documents),
+rules AS (SELECT line, count(*) AS occurrences FROM (SELECT DISTINCT line, doc_id FROM lines WHERE line <> '') GROUP BY line HAVING count(*) >= 2),
+{_tokens_sql('rules', 'line', 'line')}, w AS (SELECT DISTINCT line, token FROM tok), wn AS (SELECT line, count(*) AS n FROM w GROUP BY line),
+h AS (SELECT DISTINCT item_id::VARCHAR AS item, token FROM (SELECT item_id, regexp_replace(unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_\\-.]*')), '^[\\-._]+|[\\-._]+$', '', 'g') AS token FROM benchmark)),
+c AS (SELECT w.line, item, count(*)::DOUBLE / any_value(n) AS match FROM w JOIN h USING (token) JOIN wn ON wn.line = w.line GROUP BY w.line, item),
+b AS (SELECT line, item, match FROM c WHERE match >= 0.55 QUALIFY row_number() OVER (PARTITION BY line ORDER BY match DESC, item) = 1),
+d AS (SELECT sha256(line) AS rule_id, occurrences, item AS existing, match FROM rules LEFT JOIN b USING (line))
+SELECT rule_id, occurrences, coalesce(existing, '') AS existing, CASE WHEN existing IS NULL THEN 'rule' ELSE 'ignore' END AS kind, floor((CASE WHEN existing IS NULL THEN least(occurrences / 5, 1) ELSE match END) * 1000 + 0.5) / 1000 AS confidence,
+  CASE WHEN existing IS NULL THEN row_number() OVER (PARTITION BY existing IS NULL ORDER BY occurrences DESC, rule_id) ELSE 0 END AS rank FROM d""")
+def rule_decisions(spark, sf_dir):
+    """Lines of two documents or more as standing wishes, benchmark items as installed rules files: what is covered (rank 0), and the rank of the others."""
+    d, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    lines = d.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.trim("line").alias("line")).where("line <> ''").distinct()
+    rules = lines.groupBy("line").agg(F.count("*").alias("occurrences")).where("occurrences >= 2")
+    rules = rules.select(F.sha2(F.col("line").cast("binary"), 256).alias("rule_id"), "occurrences", T.tokens(F.col("line")).alias("keywords"))
+    name = F.col("item_id").cast("string")
+    told = written(report.decided(rules, items.select(F.lit("rules").alias("kind"), name.alias("name"), name.alias("path"), T.tokens(F.col("text")).alias("tokens"))))
+    ranked = report.actionable_rules(told).select("rule_id", "rank")
+    return told.join(ranked, "rule_id", "left").select("rule_id", "occurrences", F.coalesce("existing", F.lit("")).alias("existing"), "kind", T.round3(F.col("confidence")).alias("confidence"), F.coalesce("rank", F.lit(0)).alias("rank"))
