@@ -309,7 +309,7 @@ def rule_decisions(spark, sf_dir):
     d, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     lines = d.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.trim("line").alias("line")).where("line <> ''").distinct()
     rules = lines.groupBy("line").agg(F.count("*").alias("occurrences")).where("occurrences >= 2")
-    rules = rules.select(F.sha2(F.col("line").cast("binary"), 256).alias("rule_id"), "occurrences", T.tokens(F.col("line")).alias("keywords"))
+    rules = written(rules.select(F.sha2(F.col("line").cast("binary"), 256).alias("rule_id"), "occurrences", T.tokens(F.col("line")).alias("keywords")))
     name = F.col("item_id").cast("string")
     told = written(report.decided(rules, items.select(F.lit("rules").alias("kind"), name.alias("name"), name.alias("path"), T.tokens(F.col("text")).alias("tokens"))))
     ranked = report.actionable_rules(told).select("rule_id", "rank")
