@@ -274,6 +274,41 @@ def test_decontaminate_null_items(spark, docs):
     assert len(got) == docs.count() and all(r.n_items == 0 for r in got) and any(r.n_hit for r in got)
 
 
+def test_decontaminate_against_plain_windows(spark, docs):
+    """Spans and items of all documents; items shorter than a window, repeated, sharing windows, and of words that no document has."""
+    rng = random.Random(8)
+    pattern = decontaminate.word_pattern()
+    texts = [r.text for r in docs.select("text").collect() if r.text and len(r.text) > 400]
+    asked = []
+    for i in range(40):
+        w = rng.choice(texts).split()
+        a = rng.randrange(max(1, len(w) - 20))
+        asked.append((i % 30, " ".join(w[a : a + rng.choice([1, 3, 9, 10, 14, 30])]).upper()))
+    lowered = str.maketrans(decontaminate.UPPER, decontaminate.LOWER)
+    asked += [(50, "abc " * 10), (51, "abc " * 12), (52, "never seen words"), (53, "..."), (54, None), (55, asked[0][1]), (None, asked[1][1])]
+    for window in (10, 3):
+        wins = collections.defaultdict(set)
+        for item, text in asked:
+            w = pattern.findall((text or "").translate(lowered))
+            for s in range(max(1, len(w) - window + 1) if w else 0):
+                wins[tuple(w[s : s + window])].add(item)
+        want = collections.Counter()
+        for text in (r.text for r in docs.select("text").collect()):
+            w = pattern.findall((text or "").translate(lowered))
+            hit, items = set(), set()
+            for n in {len(x) for x in wins}:
+                for s in range(len(w) - n + 1):
+                    if tuple(w[s : s + n]) in wins:
+                        hit |= set(range(s, s + n))
+                        items |= wins[tuple(w[s : s + n])]
+            want[len(w), len(hit), tuple(sorted(str(i) for i in items if i is not None))] += 1
+        items = spark.createDataFrame(asked, "item_id long, text string").repartition(3)
+        got = decontaminate.contamination(plain(docs), items, window).collect()
+        assert collections.Counter((r.n_words, r.n_hit, tuple(r["items"])) for r in got) == want
+        counted, spans = decontaminate.contaminated_spans(plain(docs), items, window)
+        assert {r._rid for r in spans.collect()} == {r._rid for r in got if r.n_hit} and counted.count() == len(got)
+
+
 CLASHES = ["row", "k", "n", "gone", "removed_lines", "removed", "n_removed", "kept_text", "size", "copies", "rank", "line", "component"]
 
 
