@@ -216,17 +216,16 @@ def slug(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", T.slug(F.col("url")).alias("slug"))
 
 
-def _redact_sql() -> str:
+def redacted_sql(out: str) -> str:
     from ..functions import redact as R
 
-    out = "text"
     for pattern, to in [*R.RULES, (R.MAIL, "[redacted:email]")]:
         p = pattern.replace(R._B, "\\b").replace(R._E, "\\b").replace("'", "''")
         out = f"regexp_replace({out}, '{p}', '{to.replace('$1', chr(92) + '1')}', 'g')"
-    return f"SELECT doc_id, sha256({out}) AS redacted FROM documents"
+    return out
 
 
-@query(_redact_sql())
+@query(f"SELECT doc_id, sha256({redacted_sql('text')}) AS redacted FROM documents")
 def redact_documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.sha2(redact(F.col("text")).cast("binary"), 256).alias("redacted"))
 

@@ -238,11 +238,16 @@ def _records(spark: SparkSession, path: str, layout: Layout, most_file: int) ->
     """
     files, meta = _files(spark, path, layout.glob, layout.document), F.col("_metadata")
     files = files.where((meta["file_size"] > 0) & (meta["file_size"] <= most_file))
-    source = [_path().alias("source"), meta["file_modification_time"].alias("mtime"), meta["file_block_start"].alias("block")]
+    raw = files.select(_path().alias("source"), meta["file_modification_time"].alias("mtime"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("line"), "value")
+    return _parsed(raw, layout)
+
+
+def _parsed(raw: DataFrame, layout: Layout) -> DataFrame:
+    """The records of lines, or of whole documents, as ``_records`` gives them."""
     if not layout.document:
-        lines = files.select(*source, F.monotonically_increasing_id().alias("line"), "value").where(F.trim("value").startswith("{"))
+        lines = raw.where(F.trim("value").startswith("{"))
         return lines.select("source", "mtime", "block", "line", F.try_parse_json("value").alias("r"), F.lit(None).cast("variant").alias("about")).where("r is not null")
-    parsed = files.select(*source, "value", F.try_parse_json("value").alias("doc"))
+    parsed = raw.select("source", "mtime", "block", "value", F.try_parse_json("value").alias("doc"))
     doc = F.col("doc")
     lists = [F.try_variant_get(doc, f"$.{inner}{name}", "array<variant>") for inner in ["", *(f"{i}." for i in INNER)] for name in LISTS]
     found = F.coalesce(F.try_variant_get(doc, "$", "array<variant>"), F.get(F.filter(F.array(*lists), lambda x: F.size(x) > 0), 0))
@@ -337,11 +342,33 @@ def read_transcripts(spark: SparkSession, path: str, agent: str = "generic", hom
     once to the shared folder, then what they tell is joined back.
     """
     layout = LAYOUTS[agent]
-    each = written(_pieces_of(_records(spark, path, layout, most_file), layout))
+    siblings = _siblings(spark, path, layout.about) if layout.about else None
+    return _sessions(_records(spark, path, layout, most_file), layout, siblings, agent, home, keep_mail)
+
+
+def turns_of_records(records: DataFrame, agent: str = "generic", home: str = "", keep_mail: bool = False) -> DataFrame:
+    """Turns of transcripts that a table holds: (source, line, value), one record a row, or one whole document where the tool writes such.
+
+    value is the JSON text as it stood in the file, source the file's path, which
+    for some tools tells the session or its folder, line a long that orders the
+    records of a source; the order of records with the same line is not defined.
+    Null and malformed values are left out, records without a source too. Other
+    columns play no part. Undated turns stay undated, nothing is known of files
+    beside the transcripts, and no source is too large; else as
+    ``read_transcripts``. An empty table gives none.
+    """
+    raw = records.select("source", F.lit(None).cast("timestamp").alias("mtime"), F.lit(0).cast("long").alias("block"), F.col("line").cast("long").alias("line"), "value")
+    layout = LAYOUTS[agent]
+    return _sessions(_parsed(raw.where("source is not null"), layout), layout, None, agent, home, keep_mail)
+
+
+def _sessions(records: DataFrame, layout: Layout, siblings: DataFrame | None, agent: str, home: str, keep_mail: bool) -> DataFrame:
+    """Turns of records, with what their sources, and the files beside those, tell of each session."""
+    each = written(_pieces_of(records, layout))
     told = each.groupBy("source").agg(*(_first(F.col(f"told.{c}")).alias(c) for c in ("id", "title", "folder", "branch", "begun")))
     nothing = F.lit(None)
-    if layout.about:
-        told = told.withColumn("owner", _owner(F.col("source"), layout.about.transcript)).join(_siblings(spark, path, layout.about), "owner", "left").where("not coalesce(sibling.subagent, false)")
+    if layout.about and siblings is not None:
+        told = told.withColumn("owner", _owner(F.col("source"), layout.about.transcript)).join(siblings, "owner", "left").where("not coalesce(sibling.subagent, false)")
     else:
         told = told.withColumn("sibling", F.struct(*(nothing.cast("string").alias(c) for c in ("title", "id", "folder")), nothing.cast("timestamp").alias("begun")))
     name = F.col("source")

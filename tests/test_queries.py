@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from taskloom.plans import candidates  # noqa: F401  (registers its queries)
+from taskloom.plans import candidates, records  # noqa: F401  (register their queries)
 from taskloom.plans.queries import ORACLES, QUERIES
 
 SF = Path("/root/testdata/sf0.001")

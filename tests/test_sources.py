@@ -5,7 +5,7 @@ import pytest
 
 from taskloom.sources import transcripts
 from taskloom.sources.store import read_store
-from taskloom.sources.transcripts import LAYOUTS, agent_stats, read_jsonl, read_transcripts
+from taskloom.sources.transcripts import LAYOUTS, agent_stats, read_jsonl, read_transcripts, turns_of_records
 
 
 def write(folder, name, rows, tail=""):
@@ -146,6 +146,23 @@ def test_large_files_are_split(spark, tmp_path):
     assert [r.idx for r in got] == list(range(1, 4001)) and [int(r.text.split()[1]) for r in got] == list(range(4000))
 
 
+def test_records_in_a_table(spark, tmp_path):
+    """The same turns as from a file; null and broken values, rows without a source and other columns change nothing; whole documents, an empty table."""
+    rows = [{"type": "user", "sessionId": "s", "cwd": "/w/shop", "timestamp": 1704103320, "message": {"role": "user", "content": "lint it" + " again" * 3000}}]
+    rows += [{"type": "assistant", "message": {"role": "assistant", "content": [{"type": "text", "text": "on it"}, {"type": "tool_use", "name": "Bash", "input": {"command": "npm run lint"}}]}}] * 2
+    write(tmp_path, "a.jsonl", rows)
+    table = [("/w/a.jsonl", n, json.dumps(r)) for n, r in enumerate(rows)] + [("/w/a.jsonl", 7, None), ("/w/a.jsonl", 8, '{"cut": '), ("/w/a.jsonl", 9, ""), (None, 1, json.dumps(rows[0]))]
+    schema = "source string, line int, value string, r string, told string, block string"
+    records = spark.createDataFrame([(*t, "x", "x", "x") for t in table], schema).repartition(3)
+    asked = ("session", "repo", "idx", "actor", "kind", "at", "text", "tool", "command", "skills", "is_error")
+    got, want = (df.select(*asked).orderBy("idx").collect() for df in (turns_of_records(records, "claude"), read_transcripts(spark, str(tmp_path), "claude")))
+    assert got == want and len(got) == 5 and got[0].text.endswith("…") and got[0].session == "s"
+    assert turns_of_records(records.limit(0), "claude").count() == 0
+    whole = json.dumps({"sessionId": "g", "messages": PARTS})
+    documents = spark.createDataFrame([("/w/g.json", 0, whole), ("/w/h.json", 0, whole[: whole.index(', {"role": "model"') + 30]), ("/w/i.json", 0, None)], "source string, line int, value string")
+    assert [(r.source, r.kind) for r in turns_of_records(documents, "gemini").orderBy("source", "idx").collect()] == [("/w/g.json", "message"), ("/w/g.json", "message"), ("/w/g.json", "tool_call"), ("/w/g.json", "tool_result"), ("/w/h.json", "message")]
+
+
 def test_databases(spark, tmp_path):
     """The tables of today and the older ones; child sessions, bookkeeping rows and broken payloads are left out."""
     new, old = sqlite3.connect(tmp_path / "new.db"), sqlite3.connect(tmp_path / "old.db")
