@@ -8,7 +8,10 @@ on the words themselves. A line goes when a line before it, in (key, row, line)
 order, is as similar as that, whether or not that one stays.
 
 ``similar_lines`` gives the whole join: every verified link between classes of
-lines with equal sets, and the members of the classes. ``removed_lines`` asks for
+lines with equal sets, and the members of the classes. ``line_links`` counts the
+links: in a large group of near copies most pairs are similar for sure by how far
+both are from one line of the group, and such links are counted by size and
+distance, not one by one. ``removed_lines`` asks for
 less: one similar line before it settles a line. There, lines first try their
 neighbours in the postings of a few prefix words; those that no neighbour settles
 are joined with every line before them. Words are told by hashes: 48 bits in the
@@ -20,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, dropped, key_filter, stored, with_row_id
+from .common import connected_components, dense_runs, dropped, key_filter, stored, with_row_id
 
 #: Rarity is counted in so many buckets of words: the table sent to tasks has a fixed size.
 BUCKETS = 1 << 18
@@ -29,6 +32,8 @@ _LOW = (1 << 31) - 1
 PARTS, NEIGHBOURS = 4, 3
 #: Postings of late lines that may be sent to all tasks, about 100 bytes each; more are shuffled.
 SENT = 200_000
+#: Lines with the same key from which on they may be a family.
+FAMILY = 16
 
 
 def _plain(text: Column) -> Column:
@@ -54,10 +59,9 @@ def _frequencies(base: DataFrame) -> Column:
     # Lower-casing is fast on ASCII alone: by lines, more of the text is.
     words = _lines(base).select(F.explode(F.split(_plain(F.col("s")), " ")).alias("w"))
     counts = words.groupBy(_bucket(F.xxhash64("w")).alias("bucket")).agg(F.count("*").alias("n"))
-    level = F.coalesce(F.floor(F.log2("n") * 8).cast("int") + 1, F.lit(0))
-    cells = base.sparkSession.range(BUCKETS).join(counts, F.col("id") == F.col("bucket"), "left").select("id", level.alias("level"))
-    runs = cells.groupBy(F.shiftright("id", 10).alias("run")).agg(F.array_sort(F.collect_list(F.struct("id", "level"))).alias("cells"))
-    joined = {r.run: r.levels for r in runs.select("run", F.array_join(F.transform("cells", lambda c: c["level"].cast("string")), ",").alias("levels")).collect()}  # BUCKETS levels
+    level = F.floor(F.log2("n") * 8) + 1
+    runs = dense_runs(counts.select(F.col("bucket").alias("at"), level.alias("value")), BUCKETS)
+    joined = {r.run: r.levels for r in runs.select("run", F.array_join(F.transform("cells", lambda c: c.cast("string")), ",").alias("levels")).collect()}  # BUCKETS levels
     return F.split(F.lit(",".join(joined[k] for k in sorted(joined))), ",").cast("array<long>")
 
 
@@ -157,15 +161,43 @@ def _tried(classes: DataFrame, threshold: float) -> DataFrame:
     return best.groupBy("two").agg(F.min("near").alias("near")).select("near.one", "two")
 
 
-def _index(classes: DataFrame) -> DataFrame:
-    """The postings of all prefix words."""
-    return classes.select("k", "_rid", "line", "n", "bits1", "bits2", F.posexplode("prefix").alias("at", "word")).select("word", "k", "_rid", "line", _packed(F.col("at")), "bits1", "bits2")
+def _families(base: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(k, _rid, line, lines, family, m, d, n): the lines that resemble the line which their family is named after.
+
+    A line has two keys, the least and greatest hashes of its rarer and of its
+    commoner words. It joins the first line of its keys' lines, or the one that
+    this joins. The named line has m words; a member has n words and lacks d of
+    the m. A line is in one family or none, and any choice of families is right:
+    they only say which links need not be verified one by one.
+    """
+    line = F.struct("k", "_rid", "line", _packed(F.lit(0)), "bits1", "bits2")
+    keyed = classes.select(line.alias("two"), F.explode(F.array(F.xxhash64("least", "most"), F.xxhash64(F.lit(1), "low", "high"))).alias("key"))
+    firsts = keyed.groupBy("key").agg(F.min("two").alias("one"), F.count("*").alias("of")).where(F.col("of") >= FAMILY).drop("of")
+    named = stored(keyed.join(firsts, "key").groupBy("two").agg(F.min("one").alias("one")))
+    further = named.select(F.col("two").alias("one"), F.col("one").alias("next"))
+    pairs = named.join(further, "one").select(F.col("next").alias("one"), "two").where(_fits("one", "two", threshold) | (_place("one") == _place("two")))
+    pairs = stored(pairs.select(_place("one").alias("one"), _place("two").alias("two")))
+    texts = _texts(pairs, base)
+    near = _measured(pairs, texts).where(F.col("common") >= _needed(F.col("n1"), F.col("n2"), threshold))
+    near = near.select(F.col("two.k").alias("k"), F.col("two._rid").alias("_rid"), F.col("two.line").alias("line"), F.xxhash64("one").alias("family"), F.col("n1").alias("m"), (F.col("n1") - F.col("common")).alias("d"), F.col("n2").alias("n"))
+    found = stored(near.join(classes.select("_rid", "line", "lines"), ["_rid", "line"]))
+    for t in (named, pairs, texts):
+        dropped(t)
+    return found
 
 
-def _candidates(classes: DataFrame, threshold: float) -> DataFrame:
-    """(one, two): all pairs of lines that share a prefix word and fit."""
-    index = _index(classes)
-    hit = (F.col("a.word") == F.col("b.word")) & _fits("a", "b", threshold)
+def _sure(a: str, b: str, threshold: float) -> Column:
+    """Whether two of a family are similar whatever their words: they share those of the m that neither lacks."""
+    m, d1, d2, n1, n2 = (F.col(c) for c in (f"{a}.m", f"{a}.d", f"{b}.d", f"{a}.n", f"{b}.n"))
+    return (F.col(f"{a}.family") == F.col(f"{b}.family")) & (m - d1 - d2 >= _needed(n1, n2, threshold))
+
+
+def _candidates(classes: DataFrame, families: DataFrame, threshold: float) -> DataFrame:
+    """(one, two): all pairs of lines that share a prefix word and fit, but for those that their family makes sure."""
+    index = classes.select("k", "_rid", "line", F.col("n").alias("size"), "bits1", "bits2", "prefix").join(families.select("_rid", "line", "family", "m", "d", "n"), ["_rid", "line"], "left")
+    index = index.select("k", "_rid", "line", "size", "bits1", "bits2", "family", "m", "d", "n", F.posexplode("prefix").alias("at", "word"))
+    index = index.select("word", "k", "_rid", "line", F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("n_at"), "bits1", "bits2", "family", "m", "d", "n")
+    hit = (F.col("a.word") == F.col("b.word")) & _fits("a", "b", threshold) & ~F.coalesce(_sure("a", "b", threshold), F.lit(False))
     return index.alias("a").join(index.alias("b"), hit).select(_place("a").alias("one"), _place("b").alias("two")).distinct()
 
 
@@ -194,13 +226,17 @@ def _texts(pairs: DataFrame, base: DataFrame) -> DataFrame:
     return found
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (one, two) whose word sets are as similar as that."""
+def _measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (one, two) with the words of both (n1, n2) and those in common."""
     flat = pairs.select(F.col("one._rid").alias("r1"), F.col("one.line").alias("l1"), F.col("two._rid").alias("r2"), F.col("two.line").alias("l2"), "one", "two")
     t1, t2 = (texts.select(F.col("_rid").alias(f"r{i}"), F.col("line").alias(f"l{i}"), F.col("s").alias(f"s{i}")) for i in (1, 2))
     both = flat.join(t2, ["r2", "l2"]).join(t1, ["r1", "l1"]).select("one", "two", _hashes(F.col("s1")).alias("w1"), _hashes(F.col("s2")).alias("w2"))
-    common, n1, n2 = (F.size(w) - 1 for w in (F.array_intersect("w1", "w2"), "w1", "w2"))
-    return both.where(common >= _needed(n1, n2, threshold)).select("one", "two")
+    return both.select("one", "two", *((F.size(w) - 1).alias(c) for c, w in (("common", F.array_intersect("w1", "w2")), ("n1", F.col("w1")), ("n2", F.col("w2")))))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (one, two) whose word sets are as similar as that."""
+    return _measured(pairs, texts).where(F.col("common") >= _needed(F.col("n1"), F.col("n2"), threshold)).select("one", "two")
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -218,11 +254,12 @@ def _classes(base: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     sets = sets.select("_rid", "k", "line", F.xxhash64("t").alias("c1"), F.hash("t").alias("c2"), F.size("t").alias("n"), F.transform("t", lambda x: x.bitwiseAND(_LOW).cast("int")).alias("w"))
     n, (bits1, bits2) = F.col("n"), _bitmap(F.col("w"), F.col("n"))
     prefix = F.slice("w", F.lit(1), n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int") + 1)
-    rarer = F.slice("w", F.lit(1), F.ceil(n / 2).cast("int"))
+    half = F.ceil(n / 2).cast("int")
+    rarer, other = F.slice("w", F.lit(1), half), F.slice("w", half + 1, n)
     # Lines without words go after the table is written: a filter before it would make every word set twice.
-    sets = stored(sets.select("_rid", "k", "line", "c1", "c2", "n", prefix.alias("prefix"), F.array_min(rarer).alias("least"), F.array_max(rarer).alias("most"), bits1.alias("bits1"), bits2.alias("bits2")))
+    sets = stored(sets.select("_rid", "k", "line", "c1", "c2", "n", prefix.alias("prefix"), F.array_min(rarer).alias("least"), F.array_max(rarer).alias("most"), F.array_min(other).alias("low"), F.array_max(other).alias("high"), bits1.alias("bits1"), bits2.alias("bits2")))
     some = sets.where("n > 0")
-    place, kept = F.struct("k", "_rid", "line"), ["n", "prefix", "least", "most", "bits1", "bits2"]
+    place, kept = F.struct("k", "_rid", "line"), ["n", "prefix", "least", "most", "low", "high", "bits1", "bits2"]
     classes = some.groupBy("c1", "c2").agg(F.min(F.struct(place.alias("place"), *kept)).alias("first"), F.count("*").alias("lines"))
     return some, stored(classes.select("first.place.*", *(f"first.{c}" for c in kept), "c1", "c2", "lines"))
 
@@ -237,15 +274,42 @@ def similar_lines(docs: DataFrame, threshold: float = 0.8, text: str = "text", k
     ``one`` being before ``two``. Order, nulls, ties, empty tables and other
     columns as in ``removed_lines``.
     """
+    members, links, families = _similar(docs, threshold, text, key)
+    both = families.alias("a").join(families.alias("b"), _sure("a", "b", threshold) & (_place("a") < _place("b")))
+    return members, links.union(both.select(_place("a").alias("one"), _place("b").alias("two")))
+
+
+def _similar(docs: DataFrame, threshold: float, text: str, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, links, families): as ``similar_lines``, links without those that families make sure."""
     base = _base(docs, text, key)
     some, classes = _classes(base, threshold)
-    pairs = stored(_candidates(classes, threshold))
+    families = _families(base, classes, threshold)
+    pairs = stored(_candidates(classes, families, threshold))
     texts = _texts(pairs, base)
     links = stored(_verified(pairs, texts, threshold))
     for t in (pairs, texts):
         dropped(t)
     firsts = classes.select("c1", "c2", F.struct("k", "_rid", "line").alias("first"), "lines")
-    return some.select("k", "_rid", "line", "c1", "c2").join(firsts, ["c1", "c2"]).drop("c1", "c2"), links
+    return some.select("k", "_rid", "line", "c1", "c2").join(firsts, ["c1", "c2"]).drop("c1", "c2"), links, families
+
+
+def _sure_links(families: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """((first, far, late) of lines, (a, b) of texts): what the sure links say, by size and distance within a family.
+
+    Lines of one size and distance are a cell. Two cells are sure or not as
+    wholes, so the lines in a line's sure cells are its links, itself left out
+    where its own cell is among them. Each line hangs together with the first
+    line of one of its sure cells, and these with each other.
+    """
+    of = ["family", "m", "d", "n"]
+    place = F.struct("k", "_rid", "line")
+    cells = stored(families.groupBy(*of).agg(F.sum("lines").alias("lines"), F.min(place).alias("place")))
+    both = cells.alias("a").join(cells.alias("b"), _sure("a", "b", threshold))
+    own = (F.col("a.d") == F.col("b.d")) & (F.col("a.n") == F.col("b.n"))
+    both = stored(both.select(*(F.col(f"a.{c}").alias(c) for c in of), F.col("a.place").alias("here"), F.col("b.place").alias("there"), F.col("b.lines").alias("lines"), own.alias("own")))
+    around = both.groupBy(*of).agg(F.sum("lines").alias("all"), F.max("own").alias("own"), F.min("there").alias("there"))
+    lines = stored(families.join(around, of).select(place.alias("first"), (F.col("all") - F.when(F.col("own"), F.col("lines")).otherwise(0)).alias("far"), (F.col("there") < place).alias("late"), F.col("_rid").alias("a"), F.col("there._rid").alias("b")))
+    return lines.select("first", "far", "late"), lines.select("a", "b").union(both.select(F.col("here._rid").alias("a"), F.col("there._rid").alias("b")))
 
 
 def line_links(docs: DataFrame, threshold: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -256,16 +320,18 @@ def line_links(docs: DataFrame, threshold: float = 0.8, text: str = "text", key:
     of the same text and equal ones included. Texts with similar lines hang
     together; component is the least _rid of those that do.
     """
-    members, links = similar_lines(docs, threshold, text, key)
+    members, links, families = _similar(docs, threshold, text, key)
     members = stored(members)
+    sure, held = _sure_links(families, threshold)
     sides = links.select(F.col("one").alias("first"), F.col("two").alias("other")).union(links.select(F.col("two").alias("first"), F.col("one").alias("other")))
     sizes = members.where(F.struct("k", "_rid", "line") == F.col("first")).select(F.col("first").alias("other"), F.col("lines").alias("far"))
-    of_class = sides.join(sizes, "other").groupBy("first").agg(F.sum("far").alias("far"), F.max(F.col("other") < F.col("first")).alias("late"))
+    each = sides.join(sizes, "other").select("first", "far", (F.col("other") < F.col("first")).alias("late")).union(sure)
+    of_class = each.groupBy("first").agg(F.sum("far").alias("far"), F.max("late").alias("late"))
     lines = members.join(of_class, "first", "left")
     gone = F.col("late") | (F.struct("k", "_rid", "line") != F.col("first"))
     by_text = lines.groupBy("_rid").agg(F.array_sort(F.collect_list(F.when(gone, F.col("line")))).alias("removed"), F.sum(F.coalesce("far", F.lit(0)) + F.col("lines") - 1).alias("n_links"))
     edges = links.select(F.col("one._rid").alias("a"), F.col("two._rid").alias("b")).union(members.select(F.col("first._rid").alias("a"), F.col("_rid").alias("b")))
-    parts = connected_components(edges).withColumnRenamed("id", "_rid")
+    parts = connected_components(edges.union(held)).withColumnRenamed("id", "_rid")
     return by_text.join(parts, "_rid", "left").select("_rid", "removed", "n_links", F.coalesce("component", "_rid").alias("component"))
 
 

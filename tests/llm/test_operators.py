@@ -126,6 +126,49 @@ def test_line_links(docs):
     assert got == {r: (removed[r], links[r], root[r]) for r in root}
 
 
+def test_links_within_families(spark, tmp_path, monkeypatch):
+    """Groups of near copies with one to nine words edited: all links count, and not all are verified one by one."""
+    monkeypatch.setattr(line_dedup, "FAMILY", 8)
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choices("abcdefgh", k=5))
+    groups = [[word() for _ in range(n)] for n in (9, 40, 60)]
+
+    def edited(words):
+        out = list(words)
+        for _ in range(draw.choice([0, 1, 1, 2, 3, 9])):
+            at = draw.randrange(len(out))
+            out[at : at + 1] = draw.choice([[], [word()], [out[at], word()]])
+        return " ".join(out)
+
+    texts = ["\n".join([edited(draw.choice(groups)), " ".join(word() for _ in range(8))][: draw.choice([1, 1, 2])]) for _ in range(150)]
+    spark.createDataFrame([(k // 2, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    rows = sorted(with_row_id(docs).collect(), key=lambda r: (r.doc_id, r._rid))
+    lines = [(r.doc_id, r._rid, i, frozenset(s.split())) for r in rows for i, s in enumerate(r.text.split("\n"))]
+    first = {}
+    for *place, w in lines:
+        first.setdefault(w, tuple(place))
+    sets = list(first)
+    want = {(first[a], first[b]) for k, a in enumerate(sets) for b in sets[k + 1 :] if len(a & b) >= 0.8 * len(a | b) - 1e-9}
+    members, links = line_dedup.similar_lines(docs)
+    got = [(tuple(r.one), tuple(r.two)) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    rest = line_dedup._similar(docs, 0.8, "text", "doc_id")[1].count()
+    assert rest < len(want)
+    alike, root = collections.Counter(), {r._rid: r._rid for r in rows}
+    gone = collections.defaultdict(set)
+    for k, (_, r, i, w) in enumerate(lines):
+        for _, s, j, v in lines[:k]:
+            if len(w & v) >= 0.8 * len(w | v) - 1e-9:
+                alike[r] += 1
+                alike[s] += 1
+                gone[r].add(i)
+                old, new = max(root[r], root[s]), min(root[r], root[s])
+                root = {x: new if y == old else y for x, y in root.items()}
+    found = {r._rid: (r.removed, r.n_links, r.component) for r in line_dedup.line_links(docs).collect()}
+    assert found == {r: (sorted(gone[r]), alike[r], root[r]) for r in root}
+
+
 @pytest.mark.parametrize("rarity", [False, True])
 def test_near_groups(docs, rarity):
     rows = docs.select("doc_id", "text").collect()
