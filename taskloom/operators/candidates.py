@@ -145,9 +145,11 @@ def rule_groups(wishes: DataFrame, grouped: DataFrame, min_runs: int = 2, min_se
     words; keywords are the eight most frequent tokens. Wishes may have agent
     and repo, whose sorted sets a rule has then.
     """
-    each = wishes.join(grouped, "id").withColumn("words", F.array_distinct(wish_tokens(F.col("text"))))
+    each = wishes.join(grouped, "id")
     named = [F.array_sort(F.collect_set(F.nullif(c, F.lit("")))).alias(f"{c}s") for c in ("agent", "repo") if c in wishes.columns]
     kept = each.groupBy("group").agg(F.count("*").alias("occurrences"), F.countDistinct("session").alias("sessions"), *named).where((F.col("occurrences") >= min_runs) & (F.col("sessions") >= min_sessions))
+    kept = written(kept)
+    each = written(each.join(kept.select("group"), "group", "left_semi").withColumn("words", F.array_distinct(wish_tokens(F.col("text")))))
     counts = each.select("group", F.explode("words").alias("token")).groupBy("group", "token").agg(F.count("*").alias("c"))
     top = counts.withColumn("r", F.row_number().over(Window.partitionBy("group").orderBy(F.col("c").desc(), "token"))).where("r <= 8")
     keywords = top.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "token"))), lambda x: x["token"]).alias("keywords"))

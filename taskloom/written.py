@@ -23,4 +23,14 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet and read back: its lineage is cut, and it outlives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/taskloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path  # for removed(): an empty table tells no files
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Removes the files of ``written`` tables that nothing will read again."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._written)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

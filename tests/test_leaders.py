@@ -2,6 +2,7 @@
 
 import random
 from math import sqrt
+from pathlib import Path
 
 import pytest
 
@@ -95,3 +96,28 @@ def test_numbers_follow_the_order(spark):
     rows = spark.createDataFrame([(i * 7 % 50, None if i % 9 == 0 else i % 4) for i in range(50)], "k long, t long")
     got = leaders.numbered(rows, "t", "k").orderBy("n").collect()
     assert [r.n for r in got] == list(range(50)) and [(r.t is not None, r.t or 0, r.k) for r in got] == sorted((r.t is not None, r.t or 0, r.k) for r in got)
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_sets_alone_in_several_blocks(spark, monkeypatch, seed):
+    """Rows that only a grown group is like, copies, and rows without items; compared by sixteen, settled by twenty."""
+    monkeypatch.setattr(leaders, "COMPARED", 16)
+    monkeypatch.setattr(leaders, "IN_TURN", 20)
+    rng = random.Random(seed)
+    rows = [({f"i{min(k + rng.randint(0, 4), 59)}" for _ in range(rng.randint(3, 6))}, {}) for k in (rng.randint(0, 59) for _ in range(110))]
+    rows += [({f"{n}x", f"{n}y", f"{n}z"}, {}) for n in range(30)]
+    rng.shuffle(rows)
+    rows += [(set(), {}), ({"i1"}, {}), (set(), {})]
+    got = leaders.greedy_groups(*frames(spark, rows), 0.34, 0.0)
+    assert [r.leader for r in got.orderBy("n").collect()] == plain_pass(rows, 0.34, 0.0)[0]
+
+
+def test_grouping_keeps_no_table_but_its_result(spark):
+    """Each pass left its pairs, sums and choices behind, which grow with the square of the rows that share words."""
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    rows = [({f"a{n}", f"a{n + 1}", "b", "c"}, {}) for n in range(40)]
+    ns, items, tokens = frames(spark, rows)
+    before = {*folder.glob("taskloom-*")}
+    got = leaders.greedy_groups(ns, items, tokens, 0.34, 0.0)
+    assert len({*folder.glob("taskloom-*")} - before) == 1
+    assert [r.leader for r in got.orderBy("n").collect()] == plain_pass(rows, 0.34, 0.0)[0]
