@@ -121,3 +121,15 @@ def test_grouping_keeps_no_table_but_its_result(spark):
     got = leaders.greedy_groups(ns, items, tokens, 0.34, 0.0)
     assert len({*folder.glob("taskloom-*")} - before) == 1
     assert [r.leader for r in got.orderBy("n").collect()] == plain_pass(rows, 0.34, 0.0)[0]
+
+
+@pytest.mark.parametrize("first", [False, True])
+def test_rows_of_few_kinds(spark, monkeypatch, first):
+    """Kept in a table, over three blocks; each block is two tables written at most, where a pass over all rows wrote eight and settled few."""
+    monkeypatch.setattr(leaders, "IN_TURN", 50)
+    kinds, rng, calls = random_rows(6, 16), random.Random(7), []
+    rows = [rng.choice(kinds) for _ in range(140)]
+    monkeypatch.setattr(leaders, "written", lambda df, f=leaders.written: calls.append(1) or f(df))
+    got = leaders.greedy_groups(*frames(spark, rows), 0.42, 0.55, first)
+    assert [r.leader for r in got.orderBy("n").collect()] == plain_pass(rows, 0.42, 0.55, first)[0]
+    assert len(calls) <= 8
